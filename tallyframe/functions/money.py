@@ -17,9 +17,16 @@ def dbl(value: Column) -> Column:
     return value.cast("double")
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Double rounded half away from zero on the scaled value."""
+    col = dbl(F.col(value) if isinstance(value, str) else value)
+    scale = float(10**digits)
+    return F.signum(col) * F.floor(F.abs(col) * scale + 0.5) / F.lit(scale)
+
+
 def ratio(numerator: Column, denominator: Column, digits: int = 6) -> Column:
     """Rounded quotient as double; a zero denominator gives NULL."""
-    return F.round(F.try_divide(dbl(numerator), dbl(denominator)), digits)
+    return rounded(F.try_divide(dbl(numerator), dbl(denominator)), digits)
 
 
 def ratio_or_zero(numerator: Column, denominator: Column, digits: int = 6) -> Column:
@@ -29,7 +36,7 @@ def ratio_or_zero(numerator: Column, denominator: Column, digits: int = 6) -> Co
 
 def percent_or_zero(numerator: Column, denominator: Column, digits: int = 6) -> Column:
     quotient = F.try_divide(dbl(numerator), dbl(denominator)) * F.lit(100.0)
-    return F.when(denominator > 0, F.round(quotient, digits)).otherwise(F.lit(0.0))
+    return F.when(denominator > 0, rounded(quotient, digits)).otherwise(F.lit(0.0))
 
 
 def round_floor(value: Column, digits: int = 2) -> Column:

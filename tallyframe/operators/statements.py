@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.constants import ASSET_LIABILITY_RULES
-from tallyframe.functions.money import dbl, inflow, outflow, percent_or_zero, ratio, ratio_or_zero, total
+from tallyframe.functions.money import dbl, inflow, outflow, percent_or_zero, ratio, ratio_or_zero, rounded, total
 from tallyframe.functions.rules import first_match
 
 
@@ -29,8 +29,8 @@ def profit_loss(df: DataFrame, keys: Sequence[str] = ("tenant",)) -> DataFrame:
     )
     gross, net = dbl(F.col("gross_profit")), F.col("net_income")
     return (
-        money.withColumn("net_income", F.round(gross - F.col("taxes"), 4))
-        .withColumn("taxes", F.round("taxes", 4))
+        money.withColumn("net_income", rounded(gross - F.col("taxes"), 4))
+        .withColumn("taxes", rounded("taxes", 4))
         .withColumn("gross_margin", percent_or_zero(F.col("gross_profit"), revenue))
         .withColumn("operating_margin", F.col("gross_margin"))
         .withColumn("net_margin", percent_or_zero(net, revenue))
@@ -110,7 +110,7 @@ def balance_estimates(df: DataFrame, keys: Sequence[str] = ("tenant",), n: int =
         out = out.join(side, list(keys), "left")
 
     def part(col: str, share: float) -> Column:
-        return F.round(dbl(F.coalesce(F.col(col), F.lit(0))) * share, 4)
+        return rounded(dbl(F.coalesce(F.col(col), F.lit(0))) * share, 4)
 
     fixed = dbl(F.col("_equipment") + F.col("_furniture") + F.col("_software"))
     positive = F.greatest(dbl(F.col("_net")), F.lit(0.0))
@@ -119,13 +119,13 @@ def balance_estimates(df: DataFrame, keys: Sequence[str] = ("tenant",), n: int =
         part("_recent_income", 0.2).alias("accounts_receivable"),
         part("_recent_stock", 0.3).alias("inventory"),
         part("_prepaid", 0.5).alias("prepaid_expenses"),
-        F.round(fixed * 0.3, 4).alias("accumulated_depreciation"),
+        rounded(fixed * 0.3, 4).alias("accumulated_depreciation"),
         part("_recent_expense", 0.15).alias("accounts_payable"),
         part("_accrued", 0.1).alias("accrued_expenses"),
-        F.round(positive * 0.2, 4).alias("taxes_payable"),
-        F.round(positive * 0.8, 4).alias("retained_earnings"),
+        rounded(positive * 0.2, 4).alias("taxes_payable"),
+        rounded(positive * 0.8, 4).alias("retained_earnings"),
         part("_income", 0.1).alias("owners_equity"),
-        F.round(positive * 0.1, 4).alias("cash"),
+        rounded(positive * 0.1, 4).alias("cash"),
     )
 
 
@@ -183,14 +183,14 @@ def basic_statements(totals: DataFrame) -> DataFrame:
     income, expenses = dbl(F.col("inflow")), dbl(F.col("outflow"))
     net = dbl(F.col("net"))
     keep = F.greatest(net, F.lit(0.0))
-    r4 = lambda c: F.round(c, 4)
-    margin = F.when(income > 0, F.round(net / income * 100, 6)).otherwise(F.lit(0.0))
+    r4 = lambda c: rounded(c, 4)
+    margin = F.when(income > 0, rounded(net / income * 100, 6)).otherwise(F.lit(0.0))
     return totals.select(
         "*",
         # balance sheet
         keep.alias("bs_assets"), net.alias("bs_equity"), F.lit(None).cast("double").alias("bs_current_ratio"),
-        F.round(F.try_divide(F.lit(0.0), net), 2).alias("bs_debt_to_equity"),
-        F.round(F.try_divide(net, keep) * 100, 2).alias("bs_return_on_assets"),
+        rounded(F.try_divide(F.lit(0.0), net), 2).alias("bs_debt_to_equity"),
+        rounded(F.try_divide(net, keep) * 100, 2).alias("bs_return_on_assets"),
         # profit and loss
         income.alias("pl_revenue"), expenses.alias("pl_cogs"), net.alias("pl_net_income"), margin.alias("pl_margin"),
         # assets and liabilities

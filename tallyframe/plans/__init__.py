@@ -7,7 +7,7 @@ import importlib
 from tallyframe.plans import registry
 
 MODULES = (
-    "cash", "ledger", "statements",
+    "cash", "ledger", "statements", "budget", "forecast", "tax", "currency",
 )
 
 

@@ -28,7 +28,7 @@ BALANCES = f"""{ENTRIES}, {CHART}, bal AS (
          CASE WHEN c.normal_balance = 'Debit' THEN coalesce(sum(debit), 0) - coalesce(sum(credit), 0)
               ELSE coalesce(sum(credit), 0) - coalesce(sum(debit), 0) END AS balance
   FROM (SELECT DISTINCT tenant FROM txn) t CROSS JOIN chart c LEFT JOIN entries e ON e.tenant = t.tenant AND e.account = c.account
-  GROUP BY ALL
+  GROUP BY t.tenant, c.account, c.account_name, c.account_type, c.normal_balance
 )"""
 NEEDED = ("tenant", "txn_id", "date", "description", "category", "amount")
 

@@ -12,7 +12,7 @@ from tallyframe.functions.rules import sql_first_match
 from tallyframe.functions.tax import percent_in_text
 from tallyframe.operators import tax
 from tallyframe.plans.registry import report
-from tallyframe.sources.adapters import TXN, transactions
+from tallyframe.sources.adapters import TXN, lookup, transactions
 
 AS_OF = "1998-05-20"
 TAGS = {
@@ -36,12 +36,9 @@ TAXED = f"""{TXN}, taxed AS (SELECT tenant, txn_id, date, amount, CASE category
 
 def taxed(spark, d):
     txn = transactions(spark, d, "tenant", "txn_id", "date", "description", "amount", "category")
-    tag = F
-    for k, v in TAGS.items():
-        tag = tag.when(F.col("category") == k, F.lit(v))
-    return txn.withColumn("description", F.concat(tag.otherwise(""), "description")).withColumn(
-        "category", F.when(F.col("category") == "Travel", "Tax").otherwise(F.col("category"))
-    )
+    return txn.withColumn(
+        "description", F.concat(lookup(F.col("category"), TAGS, ""), F.col("description"))
+    ).withColumn("category", F.when(F.col("category") == "Travel", "Tax").otherwise(F.col("category")))
 
 
 def entries(spark, d):

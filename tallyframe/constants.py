@@ -141,3 +141,210 @@ ADVICE_TITLES = [
     (["budget", "expense"], "Budget Management Advice"),
     (["cash", "flow", "liquidity"], "Cash Flow Management"),
 ]
+
+# First-match category words, in order (three variants).
+CATEGORY_BASIC = [
+    (["vat", "tax"], "Tax"),
+    (["transaction", "fee"], "Transaction Fees"),
+    (["service"], "Service Fees"),
+    (["software", "license"], "Software"),
+    (["office", "supplies"], "Office"),
+    (["equipment", "hardware"], "Equipment"),
+    (["travel", "transport"], "Travel"),
+    (["marketing", "advertising"], "Marketing"),
+    (["utility", "electric", "internet"], "Utilities"),
+    (["professional", "consulting"], "Professional"),
+    (["insurance", "premium"], "Insurance"),
+    (["rent", "lease"], "Rent"),
+    (["loan", "debt"], "Debt"),
+]
+CATEGORY_FALLBACK = [
+    (["transaction", "fee", "query"], "Transaction Fees"),
+    (["vat", "tax", "gst"], "Tax"),
+    (["service", "maintenance", "support"], "Service Fees"),
+    (["office", "supplies", "stationery"], "Office"),
+    (["software", "license", "subscription"], "Software"),
+    (["travel", "flight", "hotel", "transport"], "Travel"),
+    (["marketing", "advertising", "promotion"], "Marketing"),
+    (["utilities", "electric", "water", "internet"], "Utilities"),
+    (["legal", "consulting", "professional"], "Professional"),
+    (["equipment", "hardware", "computer"], "Equipment"),
+]
+CATEGORY_SERVER = [
+    (["transaction", "fee"], "Transaction Fees"),
+    (["vat", "tax"], "Tax"),
+    (["service"], "Service Fees"),
+    (["software", "license"], "Software"),
+    (["office", "supplies"], "Office Supplies"),
+]
+
+# Ledger categories with their display names and their English and Arabic words.
+GL_NAMES = {
+    "office_supplies": "Office Supplies",
+    "software": "Software & Licenses",
+    "travel": "Travel & Transportation",
+    "meals": "Meals & Entertainment",
+    "utilities": "Utilities",
+    "rent": "Rent & Facilities",
+    "marketing": "Marketing & Advertising",
+    "professional_services": "Professional Services",
+    "equipment": "Equipment & Hardware",
+    "training": "Training & Education",
+    "insurance": "Insurance",
+    "legal": "Legal & Compliance",
+    "taxes": "Taxes & Fees",
+    "banking": "Banking & Finance",
+    "telecommunications": "Telecommunications",
+    "maintenance": "Maintenance & Repairs",
+    "other": "Other Expenses",
+}
+GL_WORDS = {
+    "office_supplies": (
+        "pen|pencil|paper|notebook|folder|stapler|clip|envelope|stamp|ink|toner|printer|scanner|desk|chair|office",
+        "مكتب|ورق|قلم|مجلد|مشبك|مظروف|طابع|حبر|طابعة|ماسح|مكتب|كرسي",
+    ),
+    "software": (
+        "software|license|subscription|saas|cloud|microsoft|adobe|google|aws|azure|slack|zoom|teams",
+        "برنامج|ترخيص|اشتراك|سحابي|مايكروسوفت|أدوبي|جوجل|أمازون|أزور|سلاك|زووم|تيمز",
+    ),
+    "travel": (
+        "travel|flight|hotel|taxi|uber|lyft|car rental|gas|fuel|parking|toll|airline|train|bus",
+        "سفر|طيران|فندق|تاكسي|أوبر|ليفت|إيجار سيارة|بنزين|وقود|موقف|طريق|قطار|حافلة",
+    ),
+    "meals": (
+        "meal|food|restaurant|lunch|dinner|breakfast|catering|coffee|tea|snack|dining",
+        "وجبة|طعام|مطعم|غداء|عشاء|فطور|تجهيز|قهوة|شاي|وجبة خفيفة|طعام",
+    ),
+    "utilities": (
+        "electricity|water|gas|internet|phone|electric|utility|power|energy|broadband",
+        "كهرباء|ماء|غاز|إنترنت|هاتف|كهربائي|مرافق|طاقة|طاقة|نطاق عريض",
+    ),
+    "rent": (
+        "rent|lease|office|space|facility|building|warehouse|storage|property|real estate",
+        "إيجار|عقد|مكتب|مساحة|مرفق|مبنى|مستودع|تخزين|عقار|عقارات",
+    ),
+    "marketing": (
+        "marketing|advertising|promotion|campaign|social media|facebook|instagram|twitter|linkedin|google ads",
+        "تسويق|إعلان|ترويج|حملة|وسائل التواصل|فيسبوك|إنستغرام|تويتر|لينكد إن|إعلانات جوجل",
+    ),
+    "professional_services": (
+        "consulting|legal|accounting|audit|lawyer|accountant|consultant|advisor|expert|specialist",
+        "استشارات|قانوني|محاسبة|مراجعة|محامي|محاسب|مستشار|خبير|متخصص",
+    ),
+    "equipment": (
+        "computer|laptop|server|monitor|keyboard|mouse|hardware|equipment|machine|device|tool",
+        "كمبيوتر|لابتوب|خادم|شاشة|لوحة مفاتيح|فأرة|أجهزة|معدات|آلة|جهاز|أداة",
+    ),
+    "training": (
+        "training|course|education|seminar|workshop|conference|learning|certification|skill|development",
+        "تدريب|دورة|تعليم|ندوة|ورشة|مؤتمر|تعلم|شهادة|مهارة|تطوير",
+    ),
+    "insurance": (
+        "insurance|coverage|policy|premium|claim|liability|health|property|business|auto",
+        "تأمين|تغطية|بوليصة|قسط|مطالبة|مسؤولية|صحة|ممتلكات|عمل|سيارة",
+    ),
+    "legal": (
+        "legal|law|court|litigation|contract|agreement|compliance|regulation|patent|trademark",
+        "قانوني|قانون|محكمة|تقاضي|عقد|اتفاق|امتثال|تنظيم|براءة اختراع|علامة تجارية",
+    ),
+    "taxes": (
+        "tax|vat|gst|income tax|property tax|sales tax|tax return|filing|audit|penalty",
+        "ضريبة|ضريبة القيمة المضافة|ضريبة الدخل|ضريبة الممتلكات|ضريبة المبيعات|إقرار ضريبي|تقديم|مراجعة|غرامة",
+    ),
+    "banking": (
+        "bank|banking|loan|credit|interest|fee|charge|transfer|payment|finance|financial",
+        "بنك|مصرف|قرض|ائتمان|فائدة|رسوم|تحويل|دفع|مالي|مالية",
+    ),
+    "telecommunications": (
+        "phone|mobile|telecom|internet|broadband|data|roaming|sim|network|connection",
+        "هاتف|جوال|اتصالات|إنترنت|نطاق عريض|بيانات|تجوال|شريحة|شبكة|اتصال",
+    ),
+    "maintenance": (
+        "maintenance|repair|service|fix|upgrade|installation|cleaning|janitorial|plumbing|electrical",
+        "صيانة|إصلاح|خدمة|إصلاح|ترقية|تركيب|تنظيف|حراسة|سباكة|كهربائية",
+    ),
+}
+
+# Field labels by language; the last group extends the seven core fields.
+FIELD_LABELS = {
+    "total": [
+        "total", "grand total", "amount due", "net total", "final total", "amount", "sum", "subtotal",
+        "total amount", "invoice total", "الإجمالي", "المجموع", "المبلغ الإجمالي", "المبلغ المستحق",
+        "المبلغ النهائي", "المبلغ الصافي", "إجمالي الفاتورة",
+    ],
+    "tax": [
+        "tax", "vat", "gst", "sales tax", "tax amount", "tax total", "value added tax", "taxable amount", "tax rate",
+        "ضريبة", "ضريبة القيمة المضافة", "ضريبة المبيعات", "مبلغ الضريبة", "إجمالي الضريبة", "نسبة الضريبة",
+        "المبلغ الخاضع للضريبة",
+    ],
+    "discount": [
+        "discount", "deduction", "rebate", "discount amount", "discount total", "reduction", "off", "less", "minus",
+        "خصم", "تخفيض", "خصم المبلغ", "إجمالي الخصم", "ناقص", "أقل",
+    ],
+    "shipping": [
+        "shipping", "delivery", "freight", "transport", "shipping cost", "delivery fee", "freight charge",
+        "shipping fee", "الشحن", "التوصيل", "الشحن والتوصيل", "رسوم الشحن", "تكلفة الشحن",
+    ],
+    "invoice_number": [
+        "invoice", "invoice no", "invoice number", "inv no", "inv number", "bill", "bill no", "bill number",
+        "receipt", "receipt no", "فاتورة", "رقم الفاتورة", "فاتورة رقم", "إيصال", "رقم الإيصال",
+    ],
+    "date": [
+        "date", "invoice date", "issue date", "billing date", "created", "due date", "payment due", "expiry",
+        "valid until", "تاريخ", "تاريخ الفاتورة", "تاريخ الإصدار", "تاريخ الاستحقاق", "تاريخ الدفع", "صالح حتى",
+        "تاريخ الانتهاء",
+    ],
+    "vendor": [
+        "from", "vendor", "supplier", "company", "business", "seller", "merchant", "provider", "contractor",
+        "من", "المورد", "المزود", "الشركة", "التاجر", "المقاول",
+    ],
+}
+AMOUNT_FIELDS = ("total", "tax", "discount", "shipping", "subtotal")
+
+# Currency marks per ISO code, first hit wins.
+CURRENCY_MARKS = {
+    "EUR": ["€", "EUR", "euro", "euros", "يورو"],
+    "USD": ["$", "USD", "dollar", "dollars", "دولار"],
+    "GBP": ["£", "GBP", "pound", "pounds", "جنيه"],
+    "JPY": ["¥", "JPY", "yen", "ين"],
+    "SAR": ["SAR", "riyal", "ريال"],
+    "AED": ["AED", "dirham", "درهم"],
+    "EGP": ["EGP", "pound", "جنيه مصري"],
+    "QAR": ["QAR", "riyal", "ريال قطري"],
+    "KWD": ["KWD", "dinar", "دينار"],
+    "BHD": ["BHD", "dinar", "دينار بحريني"],
+}
+
+# Words that mark readable invoice text.
+INVOICE_WORDS_STRICT = [
+    "invoice", "invoice no", "amount", "vat", "total", "net", "gross", "rechnung", "betrag", "mwst", "summe",
+    "netto", "brutto", "€", "$", "£", "¥", "currency", "payment", "terms",
+]
+INVOICE_WORDS = INVOICE_WORDS_STRICT + [
+    "company", "gmbh", "ag", "ltd", "inc", "corp", "address", "phone", "email",
+]
+
+# Arabic letter blocks, and Arabic-Indic and Persian digits.
+ARABIC_BLOCKS = (
+    r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+)
+ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩"
+PERSIAN_DIGITS = "۰۱۲۳۴۵۶۷۸۹"
+
+# Time-to-live multipliers by task.
+TTL_MULTIPLIERS = {"extraction": 2.0, "categorization": 1.5, "validation": 1.0, "analysis": 0.5, "insights": 0.3}
+
+# Softened phrases in health narratives.
+SOFT_TAIL = "suggests underlying revenue-generating activity, though not captured in the data provided"
+SOFT_PHRASES = [
+    ("ability to cover expenses", SOFT_TAIL),
+    ("indicates a functioning revenue stream", SOFT_TAIL),
+    ("shows financial capacity", SOFT_TAIL),
+    ("demonstrates financial health", SOFT_TAIL),
+    ("proves", "suggests"),
+    ("confirms", "indicates"),
+    ("shows", "suggests"),
+    ("demonstrates", "indicates"),
+]
+SOFT_STRONG_WORDS = "stable|good|excellent|outstanding|exceptional|strong|robust|promising|positive"
+SOFT_STRONG_REPLACEMENT = "cannot be confirmed as stable"

@@ -23,8 +23,9 @@ def tax_entries(df: DataFrame, as_of: date | str) -> DataFrame:
     size, cls = F.abs("amount").cast("double"), F.col("_cls")
     return (
         valid.withColumn("_word", tax_word(F.col("description")))
-        .withColumn("_cls", tax_class(F.col("_word"), F.coalesce("category", F.lit("Other"))))
-        .where(cls.isNotNull())
+        # zero or one class per row: the generator drops untaxed rows and keeps later
+        # filters from copying the keyword expressions
+        .select("*", F.explode(F.array_compact(F.array(tax_class(F.col("_word"), F.col("category"))))).alias("_cls"))
         .withColumn("rate", tax_rate(F.col("_word"), cls, F.col("description")))
         .withColumn("_net", size / (1 + F.col("rate")))
         .withColumns(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.money import MONEY, money
+from tallyframe.functions.money import MONEY, money, rounded
 
 TRANSACTION_COLUMNS = (
     "txn_id", "tenant", "date", "description", "vendor", "amount", "currency", "category", "tax_amount",
@@ -37,6 +37,10 @@ def net_price() -> "F.Column":
     return money(F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast(MONEY)))
 
 
+def unit_price() -> "F.Column":
+    return money(rounded(F.col("l_extendedprice") / F.col("l_quantity"), 2))
+
+
 def line_tax() -> "F.Column":
     return money(F.col("l_extendedprice").cast(MONEY) * F.col("l_tax").cast(MONEY))
 
@@ -117,7 +121,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("invoice_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_quantity").alias("quantity"),
-        money(F.col("l_extendedprice").cast(MONEY) / F.col("l_quantity").cast(MONEY)).alias("unit_price"),
+        unit_price().alias("unit_price"),
         net_price().alias("total"),
         line_tax().alias("tax_amount"),
         F.col("l_tax").alias("tax_rate"),
@@ -207,7 +211,7 @@ TXN = f"""txn AS (
 
 LINE = f"""line AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS invoice_id, l_linenumber AS line_no, l_quantity AS quantity,
-         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) / CAST(l_quantity AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS unit_price,
+         CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(18,2)) AS unit_price,
          {SQL_NET} AS total, {SQL_LINE_TAX} AS tax_amount, l_tax AS tax_rate,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS discount,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS gross, l_partkey, l_suppkey, l_returnflag
@@ -231,3 +235,57 @@ AUDIT = """aud AS (
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
   FROM events
 )"""
+
+
+# --- rendered invoice documents ----------------------------------------------
+
+def rendered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per order, so that extraction has a known answer.
+
+    The list gathers the lines of one invoice only.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    price = F.col("l_extendedprice").cast(MONEY)
+    qty = F.col("l_quantity").cast("int").cast("string")
+    unit = unit_price().cast("string")
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+        .select("l_orderkey", line_tax().alias("tax"), F.concat_ws(" ", "p_name", "p_type", qty, unit, price.cast("string")).alias("line"))
+        .groupBy("l_orderkey")
+        .agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("items"), money(F.sum("tax")).alias("tax"))
+    )
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .select(
+            F.col("o_orderkey").cast("string").alias("doc_id"),
+            F.col("o_orderdate").cast("date").alias("day"),
+            F.concat_ws(
+                "\n",
+                F.concat(F.lit("Invoice No: INV-"), F.col("o_orderkey").cast("string")),
+                F.concat(F.lit("Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")),
+                F.concat(F.lit("From: "), F.lower(F.col("c_mktsegment")), F.lit(" goods")),
+                F.lit("Currency EUR"),
+                F.lit("Items"),
+                F.col("items"),
+                F.lit("Summary"),
+                F.concat(F.lit("Tax: "), F.coalesce("tax", money(0)).cast("string")),
+                F.concat(F.lit("Total: "), F.col("o_totalprice").cast(MONEY).cast("string")),
+                F.lit("Payment terms: net 30 days"),
+            ).alias("text"),
+        )
+    )
+
+
+RENDERED = f"""rl AS (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY line) AS items, CAST(sum(tax) AS DECIMAL(18,2)) AS tax FROM (
+   SELECT l_orderkey, {SQL_LINE_TAX} AS tax, concat_ws(' ', p_name, p_type, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR),
+     CAST(CAST(round(l_extendedprice / l_quantity, 2) AS DECIMAL(18,2)) AS VARCHAR),
+     CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)) AS line FROM lineitem LEFT JOIN part ON l_partkey = p_partkey) GROUP BY l_orderkey),
+ docs AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(o_orderdate AS DATE) AS day,
+   concat_ws(chr(10), 'Invoice No: INV-' || o_orderkey, 'Date: ' || strftime(o_orderdate, '%Y-%m-%d'), 'From: ' || lower(c_mktsegment) || ' goods',
+     'Currency EUR', 'Items', items, 'Summary', 'Tax: ' || CAST(coalesce(tax, 0.00) AS VARCHAR), 'Total: ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR),
+     'Payment terms: net 30 days') AS text
+   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN rl ON o_orderkey = l_orderkey)"""

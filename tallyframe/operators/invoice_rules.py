@@ -9,7 +9,7 @@ from tallyframe.constants import (
     ARITHMETIC_TOLERANCE, CATEGORY_CONFIDENCE_MIN, CURRENCY_DECIMALS, DUPLICATE_WINDOW_DAYS, FIELD_CONFIDENCE_MIN,
     FIXABLE_RULES, INVOICE_CURRENCIES,
 )
-from tallyframe.functions.money import dbl
+from tallyframe.functions.money import dbl, rounded
 
 AMOUNTS = ("grand_total", "subtotal", "tax_amount", "discount", "shipping")
 REQUIRED_FIELDS = ("invoice_number", "invoice_date", "vendor", "grand_total", "currency")
@@ -143,7 +143,7 @@ def propose_patches(failure_table: DataFrame, tokens: DataFrame) -> DataFrame:
     out = joined.where(amount | money)
     return out.select(
         "invoice_id", F.when(amount, 1).otherwise(2).alias("seq"), F.lit("replace").alias("op"), "path",
-        F.when(amount, F.format_number("expected", "0.00")).otherwise(F.lit("EUR")).alias("value"),
+        F.when(amount, rounded("expected", 2).cast("decimal(18,2)").cast("string")).otherwise(F.lit("EUR")).alias("value"),
         F.when(amount, F.lit("Expected total makes the arithmetic balance within tolerance"))
         .otherwise(F.lit("Currency mark detected; converted to ISO code EUR")).alias("rationale"),
         F.when(amount, cite("total_at")).otherwise(cite("currency_at")).alias("cites"),

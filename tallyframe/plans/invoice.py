@@ -361,7 +361,7 @@ def patches(spark, d):
     return invoice_rules.propose_patches(fails, rendered_tokens(spark, d))
 
 
-PATCHES = f"""pt AS (SELECT invoice_id, CASE WHEN rule = 'arithmetic_balance' THEN 1 ELSE 2 END AS seq, path, CASE WHEN rule = 'arithmetic_balance' THEN CAST(CAST(expected AS DECIMAL(18,2)) AS VARCHAR) ELSE 'EUR' END AS value
+PATCHES = f"""pt AS (SELECT invoice_id, CASE WHEN rule = 'arithmetic_balance' THEN 1 ELSE 2 END AS seq, path, CASE WHEN rule = 'arithmetic_balance' THEN CAST(CAST(round(expected, 2) AS DECIMAL(18,2)) AS VARCHAR) ELSE 'EUR' END AS value
   FROM fl WHERE rule IN ('arithmetic_balance', 'currency_format'))"""
 
 

@@ -148,7 +148,7 @@ def multi(files: DataFrame, variant: str = "js") -> DataFrame:
             F.when(F.col("completeness") < 0.7, "completeness"), F.when(F.col("consistency") < 0.8, "consistency"),
             F.when(F.col("pattern") < 0.6, "pattern"), F.when(o < 0.5, "overall"),
         ))
-    return out.withColumn("overall", rounded(overall, 3)).withColumn("level", level).withColumn("advice", advice)
+    return out.withColumn("overall", rounded(rounded(overall, 9), 3)).withColumn("level", level).withColumn("advice", advice)
 
 
 def totals_similarity(pairs):

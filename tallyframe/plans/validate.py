@@ -205,7 +205,7 @@ def multi_sql(variant):
         advice = "concat_ws(',', CASE WHEN completeness < 0.7 THEN 'completeness' END, CASE WHEN consistency < 0.8 THEN 'consistency' END, CASE WHEN pattern < 0.6 THEN 'pattern' END, CASE WHEN o < 0.5 THEN 'overall' END)"
     miss = "-0.2" if ts else "0.0"
     return f"""WITH {MULTI}, pr AS (SELECT tenant, month, {comp} AS completeness, CAST({cons} AS DOUBLE) AS consistency, CAST({patt} AS DOUBLE) AS pattern, greatest(0.0, least(1.0, CASE WHEN m % 2 = 0 THEN 0.9 ELSE 0.5 END + CASE WHEN sm <> 0 THEN 0.2 ELSE {miss} END)) AS crossed FROM sim),
-      ov AS (SELECT *, round(completeness * 0.25 + consistency * 0.30 + pattern * 0.20 + 0.5 * 0.15 + crossed * 0.10, 3) AS o FROM pr)
+      ov AS (SELECT *, round(round(completeness * 0.25 + consistency * 0.30 + pattern * 0.20 + 0.5 * 0.15 + crossed * 0.10, 9), 3) AS o FROM pr)
       SELECT tenant, month, round(completeness, 6) AS completeness, round(consistency, 6) AS consistency, round(pattern, 6) AS pattern, round(CAST(crossed AS DOUBLE), 6) AS crossed, round(CAST(o AS DOUBLE), 3) AS overall, {level} AS level, {advice} AS advice FROM ov"""
 
 

@@ -7,7 +7,7 @@ import importlib
 from tallyframe.plans import registry
 
 MODULES = (
-    "cash", "ledger", "statements", "budget", "forecast", "tax", "currency", "signals", "text", "invoice", "validate", "records",
+    "cash", "ledger", "statements", "budget", "forecast", "tax", "currency", "signals", "text", "invoice", "validate", "records", "streams", "model",
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,16 +19,29 @@ def any_word(words: Sequence[str], word_boundary: bool = False) -> str:
     return rf"\b(?:{body})\b" if word_boundary else body
 
 
+def minimal(words: Sequence[str]) -> list[str]:
+    """The words without those that contain another one: a text holds any of the
+    words exactly when it holds any of these."""
+    unique = list(dict.fromkeys(words))
+    return [w for w in unique if not any(v != w and v in w for v in unique)]
+
+
+def holds_any(text: Column, words: Sequence[str]) -> Column:
+    """Plain substring test; byte search, no regex."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in minimal(words)])
+
+
 def has_word(text: Column, words: Sequence[str], word_boundary: bool = False) -> Column:
-    return F.lower(text).rlike(any_word(words, word_boundary))
+    low = F.lower(text)
+    return low.rlike(any_word(words, True)) if word_boundary else holds_any(low, words)
 
 
 def first_match(text: Column, rules: KeywordRules, default: str | None, word_boundary: bool = False) -> Column:
     """Label of the first rule that matches the lower-cased text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = F.coalesce(text, F.lit(""))
     chain = F
     for words, label in rules:
-        chain = chain.when(low.rlike(any_word(words, word_boundary)), F.lit(label))
+        chain = chain.when(has_word(low, words, word_boundary), F.lit(label))
     return chain.otherwise(F.lit(default))
 
 

@@ -11,7 +11,7 @@ from tallyframe.constants import (
     ARABIC_BLOCKS, ARABIC_DIGITS, CURRENCY_MARKS, GL_NAMES, GL_WORDS, INVOICE_WORDS, INVOICE_WORDS_STRICT,
     PERSIAN_DIGITS, SOFT_PHRASES, SOFT_STRONG_REPLACEMENT, SOFT_STRONG_WORDS,
 )
-from tallyframe.functions.rules import any_word
+from tallyframe.functions.rules import has_word, holds_any
 
 # word boundary on ASCII letters, digits and underscore only
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -66,7 +66,7 @@ def is_html(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return F.lower(text).rlike(any_word(words))
+    return has_word(text, words)
 
 
 def garbled_ratio(text: Column) -> Column:
@@ -212,7 +212,7 @@ def currency_iso(text: Column) -> Column:
     """ISO code of the first currency whose mark is in the text, NULL if none."""
     chain = F
     for code, marks in CURRENCY_MARKS.items():
-        chain = chain.when(text.rlike(any_word(marks)), F.lit(code))
+        chain = chain.when(holds_any(text, marks), F.lit(code))
     return chain.otherwise(F.lit(None).cast("string"))
 
 

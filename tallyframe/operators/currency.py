@@ -16,8 +16,9 @@ def with_rates(df: DataFrame, rates: DataFrame, target: str) -> DataFrame:
     ``rates`` holds one row per currency. The target rate is attached to the rate
     rows before the join, so the big side joins once.
     """
-    to_rate = rates.where(F.col("currency") == target).agg(F.max("rate").alias("to_rate"))
-    both = rates.select("currency", F.col("rate").alias("from_rate")).join(to_rate, F.lit(True), "left")
+    to_side = rates.select(F.col("currency").alias("_to"), F.col("rate").alias("to_rate"))
+    from_side = rates.select("currency", F.col("rate").alias("from_rate"), F.lit(target).alias("_to"))
+    both = from_side.join(to_side, "_to", "left").drop("_to")
     return df.join(both, "currency", "left")
 
 

@@ -91,6 +91,24 @@ def cash_period(df: DataFrame, period: str, as_of: date | str) -> DataFrame:
     return cash_between(df, *period_bounds(period, as_of))
 
 
+def cash_periods(
+    df: DataFrame, as_of: date | str, ranges: dict[str, tuple[date | str, date | str]] | None = None,
+    keys: tuple[str, ...] = ("tenant",),
+) -> DataFrame:
+    """Totals of the day, week, month and year of ``as_of`` and of named date ranges.
+
+    Days are summed once; a day then counts for every period that holds it, so the
+    rows are read and shuffled once however many periods are asked for.
+    """
+    bounds = {p: period_bounds(p, as_of) for p in PERIODS}
+    bounds |= {name: (as_date(a), as_date(b)) for name, (a, b) in (ranges or {}).items()}
+    inside = F.array_compact(F.array(*[F.when(F.col("date").between(a, b), F.lit(p)) for p, (a, b) in bounds.items()]))
+    daily = df.groupBy(*keys, "date").agg(*flows())
+    return daily.select("*", F.explode(inside).alias("period")).groupBy("period", *keys).agg(
+        *[F.sum(c).alias(c) for c in ("inflow", "outflow", "net", "txn_count")]
+    )
+
+
 def running_cash(df: DataFrame, keys: tuple[str, ...] = ("tenant",)) -> DataFrame:
     """Balance after each day; the window scans days, never raw rows."""
     daily = df.groupBy(*keys, "date").agg(total(F.col("amount")).alias("net"))

@@ -46,16 +46,9 @@ def ag_cash_week_month(spark, d):
     UNION ALL SELECT 'range', tenant, {FLOWS} FROM txn WHERE date BETWEEN DATE '1997-03-05' AND DATE '1997-09-20' GROUP BY ALL""",
 )
 def ag_cash_period(spark, d):
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
-    txn = transactions(spark, d, "tenant", "date", "amount")
-    parts = [
-        cash.cash_period(txn, p, "1998-06-17").select(F.lit(p).alias("period"), "*") for p in cash.PERIODS
-    ]
-    parts.append(cash.cash_between(txn, "1997-03-05", "1997-09-20").select(F.lit("range").alias("period"), "*"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """All asked periods lie between the first and last day given to the scan."""
+    txn = transactions(spark, d, "tenant", "date", "amount", since="1997-03-05", until="1998-12-31")
+    return cash.cash_periods(txn, "1998-06-17", {"range": ("1997-03-05", "1997-09-20")})
 
 
 @report(

@@ -12,6 +12,7 @@ from tallyframe.functions.text import amounts_in_text
 from tallyframe.operators import fields, invoice_rules, lines, tokens
 from tallyframe.plans.registry import report
 from tallyframe.plans.text import all_text
+from tallyframe.session import staged
 from tallyframe.sources.adapters import INVOICE, LINE, RENDERED, invoice_lines, invoices, rendered_invoices, table
 
 # --- tokens --------------------------------------------------------------------
@@ -51,7 +52,7 @@ CTX_SQL = """SELECT doc_id, page, line_no, md5(string_agg(t2, ' ' ORDER BY gap,
 
 @report("jn_token_context", f"WITH {RTOK} {CTX_SQL}")
 def jn_token_context(spark, d):
-    return tokens.context(rendered_tokens(spark, d)).select("doc_id", "page", "line_no", F.md5("context").alias("context"))
+    return tokens.context(staged(rendered_tokens(spark, d), "tokens")).select("doc_id", "page", "line_no", F.md5("context").alias("context"))
 
 
 def _label(field):
@@ -73,7 +74,7 @@ NEAR = f"""lab AS ({' UNION ALL '.join(f"SELECT *, '{f}' AS field FROM tok WHERE
 
 @report("jn_near_token", f"WITH {RTOK}, {NEAR} SELECT doc_id, page, field, line_no, value_line, value_text, distance FROM near")
 def jn_near_token(spark, d):
-    return fields.labelled_pairs(rendered_tokens(spark, d)).select(
+    return fields.labelled_pairs(staged(rendered_tokens(spark, d), "tokens")).select(
         "doc_id", "page", "field", "line_no", "value_line", "value_text", "distance"
     )
 
@@ -98,7 +99,7 @@ def amount_sql(t):
       page, value_line AS line_no FROM best""",
 )
 def dj_field_extract(spark, d):
-    out = fields.extract_fields(rendered_tokens(spark, d)).drop("bbox")
+    out = fields.extract_fields(staged(rendered_tokens(spark, d), "tokens")).drop("bbox")
     return out.withColumn("confidence", rounded("confidence", 6))
 
 

@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyframe.constants import REPORT_WEIGHTS
 from tallyframe.functions.hashing import translation_key
 from tallyframe.functions.money import rounded
-from tallyframe.functions.periods import as_date, report_period
+from tallyframe.functions.periods import report_period
 from tallyframe.operators import audit as op_audit
 from tallyframe.operators import budget, cash, learn, records, reports, signals, statements, translate
 from tallyframe.plans import budget as p_budget
 from tallyframe.plans import signals as p_signals
 from tallyframe.plans import statements as p_statements
 from tallyframe.plans.registry import report
-from tallyframe.session import shared_dir
+from tallyframe.session import fresh_dir
 from tallyframe.sources import sinks
 from tallyframe.sources.adapters import AUDIT, TXN, audit, table, transactions
 
 
-def fresh_dir(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # --- audit -----------------------------------------------------------------------
 
 KIND = "CASE WHEN k % 9 = 0 THEN 'llm_call' WHEN k % 9 = 1 THEN 'human_review' WHEN k % 9 = 2 THEN 'rule_failure' END"
@@ -418,7 +412,7 @@ def snk_report_json(spark, d):
 def snk_txn_append(spark, d):
     """A quarter of transactions, appended month by month and read back; Travel rows lack a currency."""
     path = fresh_dir(spark, "transactions")
-    t = transactions(spark, d, "txn_id", "tenant", "date", "amount", "currency", "category").where(F.col("date").between(as_date("1998-01-01"), as_date("1998-03-31")))
+    t = transactions(spark, d, "txn_id", "tenant", "date", "amount", "currency", "category", since="1998-01-01", until="1998-03-31")
     sinks.append_transactions(t.withColumn("currency", F.when(F.col("category") != "Travel", F.col("currency"))), path)
     back = spark.read.schema("txn_id string, date date, amount decimal(18,2), currency string, category string, tenant string, month string").parquet(path)
     return back.groupBy("tenant", "month", "currency").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))

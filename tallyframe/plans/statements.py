@@ -150,7 +150,8 @@ def ag_asset_breakdown(spark, d):
     f"WITH {CLASS} SELECT tenant, txn_id, CAST(date AS VARCHAR) AS date, type, CAST(value AS DOUBLE) AS value FROM al WHERE date >= DATE '1998-07-31' - 30",
 )
 def dj_networth_trend(spark, d):
-    rows = statements.networth_rows(al_rows(spark, d), as_date("1998-07-31"), 30)
+    recent = transactions(spark, d, *AL_COLUMNS, since="1998-07-01")
+    rows = statements.networth_rows(statements.asset_liability_rows(recent), as_date("1998-07-31"), 30)
     return rows.select("tenant", "txn_id", "date", "type", "value").orderBy("tenant", "date", "txn_id")
 
 

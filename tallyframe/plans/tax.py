@@ -34,15 +34,15 @@ TAXED = f"""{TXN}, taxed AS (SELECT tenant, txn_id, date, amount, CASE category
           WHEN 'Property Tax' THEN DATE '1998-07-01' WHEN 'Social Security' THEN DATE '1998-06-01' ELSE DATE '1998-06-19' END AS due_date FROM rates)"""
 
 
-def taxed(spark, d):
-    txn = transactions(spark, d, "tenant", "txn_id", "date", "description", "amount", "category")
+def taxed(spark, d, **days):
+    txn = transactions(spark, d, "tenant", "txn_id", "date", "description", "amount", "category", **days)
     return txn.withColumn(
         "description", F.concat(lookup(F.col("category"), TAGS, ""), F.col("description"))
     ).withColumn("category", F.when(F.col("category") == "Travel", "Tax").otherwise(F.col("category")))
 
 
-def entries(spark, d):
-    return tax.tax_entries(taxed(spark, d), AS_OF)
+def entries(spark, d, **days):
+    return tax.tax_entries(taxed(spark, d, **days), AS_OF)
 
 
 @report(
@@ -90,7 +90,9 @@ def ag_tax_totals(spark, d):
     WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY ALL""",
 )
 def ag_tax_liability(spark, d):
-    return tax.tax_liability(entries(spark, d), "1997-01-01", "1997-12-31")
+    return tax.tax_liability(
+        entries(spark, d, since="1997-01-01", until="1997-12-31"), "1997-01-01", "1997-12-31"
+    )
 
 
 REMIND = """rem AS (SELECT tenant, 'tax' AS type, 'Income Tax' AS subcategory, 'Income Tax Q' || (q + 1) || ' 1998' AS description,

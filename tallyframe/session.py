@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "tallyframe", **conf: str) -> SparkSession:
@@ -42,3 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     path = os.environ.get("TALLYFRAME_SHARED_DIR") or tempfile.mkdtemp(prefix="tallyframe-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write once, read back: for a costly input that one plan reads several times.
+
+    The table lies in the shared folder, so a lost executor re-reads it instead of
+    running the lineage again.
+    """
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ Each view joins only what the requested columns need, so a query that reads
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +55,35 @@ def _nation_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def transactions(
+    spark: SparkSession, sf_dir: str, *columns: str, since: str | None = None, until: str | None = None
+) -> DataFrame:
     """Signed transactions: orders are income of the customer's nation, lines are
-    expenses of the supplier's nation."""
+    expenses of the supplier's nation.
+
+    ``since`` and ``until`` (inclusive days) compare the stored timestamps, so they
+    reach the parquet scan; a filter on the derived ``date`` would not.
+    """
     wanted = columns or TRANSACTION_COLUMNS
     need = set(wanted)
-    income = income_side(spark, sf_dir, need)
-    expense = expense_side(spark, sf_dir, need)
+    income = income_side(spark, sf_dir, need, since, until)
+    expense = expense_side(spark, sf_dir, need, since, until)
     return income.select(*wanted).unionByName(expense.select(*wanted))
 
 
-def income_side(spark: SparkSession, sf_dir: str, need: set[str]) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    out = orders
+def _days(df: DataFrame, column: str, since: str | None, until: str | None) -> DataFrame:
+    if since:
+        df = df.where(F.col(column) >= F.lit(f"{since} 00:00:00").cast("timestamp_ntz"))
+    if until:
+        last = datetime.date.fromisoformat(until) + datetime.timedelta(days=1)
+        df = df.where(F.col(column) < F.lit(f"{last} 00:00:00").cast("timestamp_ntz"))
+    return df
+
+
+def income_side(
+    spark: SparkSession, sf_dir: str, need: set[str], since: str | None = None, until: str | None = None
+) -> DataFrame:
+    out = _days(table(spark, sf_dir, "orders"), "o_orderdate", since, until)
     if need & {"tenant", "vendor", "description", "currency"}:
         out = out.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     if "currency" in need:
@@ -84,8 +102,10 @@ def income_side(spark: SparkSession, sf_dir: str, need: set[str]) -> DataFrame:
     return out.select(*[made[c].alias(c) for c in TRANSACTION_COLUMNS if c in need])
 
 
-def expense_side(spark: SparkSession, sf_dir: str, need: set[str]) -> DataFrame:
-    out = table(spark, sf_dir, "lineitem")
+def expense_side(
+    spark: SparkSession, sf_dir: str, need: set[str], since: str | None = None, until: str | None = None
+) -> DataFrame:
+    out = _days(table(spark, sf_dir, "lineitem"), "l_shipdate", since, until)
     if need & {"tenant", "vendor", "currency"}:
         out = out.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     if need & {"description", "category"}:

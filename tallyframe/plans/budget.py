@@ -90,7 +90,7 @@ def ag_budget_month(spark, d):
     grid AS (SELECT t.tenant, s.month, coalesce(sum(p.actual), 0) AS total FROM (SELECT DISTINCT tenant FROM spend) t CROSS JOIN slots s
       LEFT JOIN spend p ON p.tenant = t.tenant AND p.month = s.month GROUP BY t.tenant, s.month)
     SELECT tenant, strftime(DATE '1998-08-01' + INTERVAL (i) MONTH, '%Y-%m') AS month, round(avg_total, 4) AS average, total_trend AS trend_pct,
-      round(avg_total * (1 + total_trend / 100 * i), 4) AS forecast, round(greatest(0.5, 1 - i * 0.1), 4) AS confidence
+      round(avg_total * (1 + total_trend / 100 * i), 4) AS forecast, CAST(greatest(0.5, 1 - i * 0.1) AS DOUBLE) AS confidence
     FROM {trend.sql_last_two('grid', 'tenant', 'month', ['total'])}, range(1, 4) r(i)""",
 )
 def dj_budget_forecast(spark, d):

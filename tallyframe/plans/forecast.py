@@ -41,7 +41,7 @@ def horizon_sql(h):
     inc = f"avg_income * (1 + income_trend / 100 * (CAST(i AS DOUBLE) / {float(p['steps'])}))"
     exp = f"avg_expense * (1 + expense_trend / 100 * (CAST(i AS DOUBLE) / {float(p['steps'])}))"
     return f"""WITH {bucket_sql(h)} SELECT tenant, i AS step, {LABELS[h]} AS bucket, round({inc}, 4) AS income, round({exp}, 4) AS expense,
-      round({inc} - {exp}, 4) AS net, round(greatest({p['floor']}, 1 - i * {p['decay']}), 4) AS confidence
+      round({inc} - {exp}, 4) AS net, CAST(greatest({p['floor']}, 1 - i * {p['decay']}) AS DOUBLE) AS confidence
     FROM {trend.sql_last_two('bk', 'tenant, anchor', 'bucket', ['income', 'expense', 'net'])}, range(1, {p['steps'] + 1}) r(i)"""
 
 
@@ -129,7 +129,7 @@ def wn_trend_last2(spark, d):
 @report(
     "dj_forecast_category",
     f"""WITH {MONTHS} SELECT tenant, category, buckets, round(avg_size, 4) AS average, size_trend AS trend_pct,
-      round(avg_size * (1 + size_trend / 100), 4) AS forecast, round(greatest(0.3, 1 - buckets * 0.05), 4) AS confidence
+      round(avg_size * (1 + size_trend / 100), 4) AS forecast, CAST(greatest(0.3, 1 - buckets * 0.05) AS DOUBLE) AS confidence
     FROM {trend.sql_last_two('cm', 'tenant, category', 'month', ['size'])}""",
 )
 def dj_forecast_category(spark, d):

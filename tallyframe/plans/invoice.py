@@ -103,7 +103,7 @@ def dj_field_extract(spark, d):
     return out.withColumn("confidence", rounded("confidence", 6))
 
 
-@report("fn_currency_iso", f"WITH {RENDERED} SELECT doc_id, 'EUR' AS currency, 0.9 AS confidence FROM docs")
+@report("fn_currency_iso", f"WITH {RENDERED} SELECT doc_id, 'EUR' AS currency, CAST(0.9 AS DOUBLE) AS confidence FROM docs")
 def fn_currency_iso(spark, d):
     return fields.currency_field(rendered_tokens(spark, d))
 

@@ -29,13 +29,20 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def in_utc(spark: SparkSession) -> SparkSession:
+    """Reports state times in UTC, as the stored tables do."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
 def report(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
     """Register a plan under its inventory name, with its SQL check if it has one."""
 
     def wrap(fn: Plan) -> Plan:
         if name in PLANS:
             raise ValueError(f"duplicate report {name}")
-        PLANS[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir))
+        PLANS[name] = lambda spark, sf_dir: plain(fn(in_utc(spark), sf_dir))
         if sql is not None:
             CHECKS[name] = sql
         return fn

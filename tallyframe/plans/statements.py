@@ -23,7 +23,7 @@ PL = f"""{TXN}, b AS (SELECT tenant, sum(CASE WHEN amount > 0 THEN amount ELSE 0
   CASE WHEN revenue > 0 THEN round(CAST(gross_profit AS DOUBLE) / CAST(revenue AS DOUBLE) * 100, 6) ELSE 0 END AS operating_margin,
   CASE WHEN revenue > 0 THEN round(net_income / CAST(revenue AS DOUBLE) * 100, 6) ELSE 0 END AS net_margin,
   CASE WHEN revenue > 0 THEN round((CAST(revenue AS DOUBLE) - net_income) / CAST(revenue AS DOUBLE) * 100, 6) ELSE 0 END AS expense_ratio,
-  CASE WHEN gross_profit > 0 THEN 20.0 ELSE 0.0 END AS tax_rate, {CONFIDENCE} AS confidence FROM n)"""
+  CAST(CASE WHEN gross_profit > 0 THEN 20.0 ELSE 0.0 END AS DOUBLE) AS tax_rate, {CONFIDENCE} AS confidence FROM n)"""
 
 
 @report("ag_profit_loss", f"WITH {PL} SELECT * FROM pl")
@@ -52,7 +52,7 @@ BS = f"""{TXN}, b AS (SELECT tenant, sum(amount) AS net,
    CAST(computer_software AS DOUBLE) AS computer_software, txn_count, CAST(cash AS DOUBLE) AS cash, CAST(cash AS DOUBLE) AS retained_earnings,
    CAST(fixed_assets AS DOUBLE) AS fixed_assets, CAST(cash + fixed_assets AS DOUBLE) AS total_assets, CAST(0 AS DOUBLE) AS total_liabilities,
    CAST(cash AS DOUBLE) AS total_equity, abs(fixed_assets) < 0.01 AS balanced,
-   CASE WHEN cash + fixed_assets > 0 THEN NULL ELSE 0.0 END AS current_ratio, CAST(0 AS DOUBLE) AS debt_to_equity, CAST(0 AS DOUBLE) AS debt_to_asset,
+   CAST(CASE WHEN cash + fixed_assets > 0 THEN NULL ELSE 0.0 END AS DOUBLE) AS current_ratio, CAST(0 AS DOUBLE) AS debt_to_equity, CAST(0 AS DOUBLE) AS debt_to_asset,
    CASE WHEN cash + fixed_assets > 0 THEN round(CAST(cash AS DOUBLE) / CAST(cash + fixed_assets AS DOUBLE), 6) ELSE 0 END AS equity_ratio,
    {CONFIDENCE} AS confidence FROM s)"""
 

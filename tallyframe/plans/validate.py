@@ -109,7 +109,7 @@ SPOILED = f"""{TXN}, sp AS (SELECT tenant, txn_id, strftime(date, '%Y-%m') AS mo
 @report(
     "dj_row_validate",
     f"""WITH {SPOILED}, p AS (SELECT tenant, month, CAST(sum(CAST(pen AS DECIMAL(4,2))) AS DOUBLE) AS pen, count(*) FILTER (n <= 4) AS iss, CAST(month[6:7] AS INTEGER) % 4 AS k FROM spr GROUP BY ALL)
-    SELECT tenant, month, round(greatest(0.0, 1 - pen), 6) AS row_confidence, CASE WHEN k = 1 THEN 0.7 WHEN k = 2 THEN 0.8 ELSE 1.0 END AS totals_confidence,
+    SELECT tenant, month, round(greatest(0.0, 1 - pen), 6) AS row_confidence, CAST(CASE WHEN k = 1 THEN 0.7 WHEN k = 2 THEN 0.8 ELSE 1.0 END AS DOUBLE) AS totals_confidence,
       round(least(greatest(0.0, 1 - pen), CASE WHEN k = 1 THEN 0.7 WHEN k = 2 THEN 0.8 ELSE 1.0 END), 6) AS confidence, iss + CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS issue_count, iss + CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END = 0 AS is_valid FROM p""",
 )
 def dj_row_validate(spark, d):

@@ -348,7 +348,7 @@ SIG = f"""{p_budget.OVERALL}, perf AS ({p_budget.PERF} FROM joined), {p_statemen
  he AS (SELECT tenant, count(*) FILTER (kind = 'alert' AND severity = 'high') AS h, count(*) FILTER (kind = 'highlight' AND contains(type, 'positive')) AS p FROM sig GROUP BY tenant),
  cs AS (SELECT tenant, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS inflow, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS outflow, CAST(sum(amount) AS DOUBLE) AS net FROM txn GROUP BY tenant),
  rep AS (SELECT cs.tenant, inflow, outflow, net, ov.budget AS total_budget, ov.actual AS total_actual, ov.variance AS budget_variance, total_assets, total_liabilities, net_worth, debt_to_asset, h AS high_alerts, p AS positive_highlights,
-   CASE WHEN h = 0 AND p > 0 THEN 'excellent' WHEN h <= 1 AND p > 0 THEN 'good' WHEN h <= 2 THEN 'fair' ELSE 'poor' END AS overall_health FROM cs JOIN ov USING (tenant) JOIN af USING (tenant) JOIN he USING (tenant))"""
+   CASE WHEN h IS NULL THEN 'fair' WHEN h = 0 AND p > 0 THEN 'excellent' WHEN h <= 1 AND p > 0 THEN 'good' WHEN h <= 2 THEN 'fair' ELSE 'poor' END AS overall_health FROM cs LEFT JOIN ov USING (tenant) LEFT JOIN af USING (tenant) LEFT JOIN he USING (tenant))"""
 
 
 def report_inputs(spark, d):

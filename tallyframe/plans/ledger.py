@@ -80,7 +80,7 @@ def fn_expense_account(spark, d):
       CAST(debit_total AS DOUBLE) AS debit_total, CAST(credit_total AS DOUBLE) AS credit_total FROM bal""",
 )
 def jn_account_dim(spark, d):
-    sums = ledger.account_sums(entries(spark, d, "tenant", "description", "category", "amount"))
+    sums = ledger.posted_sums(transactions(spark, d, "tenant", "description", "category", "amount"))
     return ledger.with_chart(sums, spark)
 
 
@@ -91,7 +91,7 @@ def jn_account_dim(spark, d):
       CAST(balance AS DOUBLE) AS balance FROM bal""",
 )
 def ag_account_balance(spark, d):
-    return ledger.account_balances(entries(spark, d, "tenant", "description", "category", "amount"))
+    return ledger.transaction_balances(transactions(spark, d, "tenant", "description", "category", "amount"))
 
 
 @report(
@@ -102,9 +102,8 @@ def ag_account_balance(spark, d):
     UNION ALL SELECT tenant, 'TOTAL', CAST(sum(db) AS DOUBLE), CAST(sum(cb) AS DOUBLE), abs(sum(db) - sum(cb)) < 0.01 FROM act GROUP BY tenant""",
 )
 def ag_trial_balance(spark, d):
-    return ledger.trial_balance(
-        ledger.account_balances(entries(spark, d, "tenant", "description", "category", "amount"))
-    )
+    txn = transactions(spark, d, "tenant", "description", "category", "amount")
+    return ledger.trial_balance(ledger.transaction_balances(txn))
 
 
 @report(

@@ -218,7 +218,7 @@ def dj_signals_bs(spark, d):
 )
 def dj_signals_ledger(spark, d):
     t = transactions(spark, d, "tenant", "description", "category", "amount")
-    bal = ledger.account_balances(ledger.double_entry(t))
+    bal = ledger.transaction_balances(t)
     active = (F.col("debit_total") > 0) | (F.col("credit_total") > 0)
     debit = F.col("normal_balance") == "Debit"
     zero = F.lit(0).cast("decimal(28,2)")

@@ -94,6 +94,13 @@ def test_trial_balance_is_balanced_and_chart_is_complete(spark):
     assert total.balanced and total.debit_balance == total.credit_balance
 
 
+def test_balances_from_sums_equal_balances_from_entries(spark):
+    df = txns(spark, CASH5 + [(date(2024, 1, 6), "Consulting service", "10.00", "EUR", "x"), (date(2024, 1, 6), "z", "0.00", "EUR", "Rent")])
+    a = ledger.account_balances(ledger.double_entry(df)).select("account", "debit_total", "credit_total", "balance")
+    b = ledger.transaction_balances(df).select("account", "debit_total", "credit_total", "balance")
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
 def test_zero_amount_takes_the_expense_branch(spark):
     rows = ledger.double_entry(txns(spark, [(date(2024, 1, 1), "x", "0.00", "EUR", "Rent")])).collect()
     assert {r.account for r in rows} == {"5200", "1000"}

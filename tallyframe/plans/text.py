@@ -30,16 +30,7 @@ RAW = f"""raw AS (SELECT l_orderkey, l_linenumber, l_extendedprice, {RAW_AMOUNT}
 
 
 def raw_amounts(spark, d):
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    kind = F.col("l_linenumber") % 5
-    raw = (
-        F.when(kind == 0, F.concat(F.lit("€"), F.format_number(price, 2)))
-        .when(kind == 1, F.replace(price.cast("string"), F.lit("."), F.lit(",")))
-        .when(kind == 2, F.concat(F.lit("$ -"), price.cast("string")))
-        .when(kind == 3, F.concat(F.lit("n/a "), price.cast("string")))
-        .otherwise("")
-    )
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _raw_col().alias("raw"))
 
 
 STRICT = """CAST(TRY_CAST(nullif(regexp_extract(CASE WHEN regexp_matches(trim(regexp_replace(raw, '[€$£¥]', '', 'g')), ',\\d{2}$')
@@ -577,7 +568,6 @@ CSV = f"""raw AS (SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%
 
 
 def csv_raw(spark, d):
-    base = raw_amounts(spark, d).withColumnRenamed("raw", "Amount")
     line = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     price = line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_index"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"),

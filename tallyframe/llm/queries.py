@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe_codec, decontaminate, quality_model, token_counts, url_filter
+from tallyframe.llm import bpe_codec, decontaminate, quality_model, simhash, token_counts, url_filter
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,6 +89,7 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_bpe_codec": op8_bpe_codec,

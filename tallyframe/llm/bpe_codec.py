@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import struct_udf
 from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load, rules
 
-#: Chunks that a worker remembers (about 200 bytes each), and fragments at the end and inside of words.
-REMEMBERED, FRAGMENTS = 400_000, 200_000
+#: Chunks, pre-tokens and inner fragments that a worker remembers (about 250 bytes each).
+CHUNKS, WORDS, FRAGMENTS = 400_000, 200_000, 50_000
 
 
 def inner_pairs(r: Rules) -> frozenset[str]:
@@ -27,8 +27,8 @@ def inner_pairs(r: Rules) -> frozenset[str]:
 
 def fragments(word: str, inside: frozenset[str]) -> list[str]:
     """The word cut between every two symbols that no token holds side by side."""
-    cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside), len(word)]
-    return [word[a:b] for a, b in itertools.pairwise(cuts)]
+    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+    return [word[a:b] for a, b in itertools.pairwise([0, *cuts, len(word)])] if cuts else [word]
 
 
 class Codec:
@@ -37,24 +37,20 @@ class Codec:
     def __init__(self, source: str):
         self.rules = r = rules(source)
         self.inside = inner_pairs(r)
-        ends = Remembered(lambda f: tuple(r.ids[t] for t in r.tokens(f)), FRAGMENTS)
-        starts = Remembered(self._plain, FRAGMENTS)
+        ids, inside = r.ids.__getitem__, self.inside
+        inner = Remembered(lambda f: [ids(t) for t in r.merged(list(f))], FRAGMENTS)
 
-        def of_chunk(chunk: str) -> tuple[int, ...]:
-            out: list[int] = []
-            for word in r.pretokens(chunk):
-                *first, last = fragments(word, self.inside)
-                for f in first:
-                    out += starts[f]
-                out += ends[last]
-            return tuple(out)
+        def of_word(word: str) -> list[int]:
+            *first, last = fragments(word, inside)
+            end = [ids(t) for t in r.tokens(last)]
+            return [*itertools.chain.from_iterable(map(inner.__getitem__, first)), *end] if first else end
+
+        words = Remembered(of_word, WORDS)
 
-        self.known = Remembered(of_chunk, REMEMBERED)
+        def of_chunk(chunk: str) -> tuple[int, ...]:
+            return tuple(itertools.chain.from_iterable(map(words.__getitem__, r.pretokens(chunk))))
 
-    def _plain(self, fragment: str) -> tuple[int, ...]:
-        """Ids of a fragment that does not end its word."""
-        r = self.rules
-        return tuple(r.ids[t] for t in r.merged(list(fragment)))
+        self.known = Remembered(of_chunk, CHUNKS)
 
     def encode(self, text: str) -> list[int]:
         r, get, out = self.rules, self.known.__getitem__, []
@@ -65,10 +61,10 @@ class Codec:
                 out += itertools.chain.from_iterable(map(get, chunks(part)))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Token strings joined by spaces, as a file without a decoder section asks; unknown ids are left out."""
-        names = self.rules.names
-        return " ".join([names[i] for i in ids if i in names])
+
+def decode(ids: list[int], names: dict[int, str]) -> str:
+    """Token strings joined by spaces, as a file without a decoder section asks; unknown ids are left out."""
+    return " ".join([names[i] for i in ids if i in names])
 
 
 _CODECS: dict[str, Codec] = {}
@@ -94,26 +90,38 @@ def encode_column(docs: DataFrame, vocabulary: str, text: Column) -> Column:
 
 
 def decode_column(docs: DataFrame, vocabulary: str, ids: Column) -> Column:
-    """The text of token ids, special tokens included; NULL or empty arrays give the empty text, NULL ids are left out."""
+    """The text of token ids, special tokens included; NULL or empty arrays give the empty text, NULL and unknown ids are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = codec(sent.value).decode
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = rules(sent.value).names
         for batch in batches:
-            yield pa.array([one(v or []) for v in batch.to_pylist()], type=pa.string())
+            yield pa.array([decode(v or [], names) for v in batch.to_pylist()], type=pa.string())
 
-    return decode(ids)
+    return decoded(ids)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``ids`` array<int>, ``decoded`` string.
+    """One row per input row: id, ``ids`` array<int>, and ``decoded`` from these ids.
 
-    NULL texts count as empty: no ids, empty decoded text. NULL and repeated ids keep a row
-    each; other columns are not read. An empty table gives an empty result. No shuffle.
+    Both directions run in one pass over the texts. NULL texts count as empty: no ids, empty
+    decoded text. NULL and repeated ids keep a row each; other columns are not read. An empty
+    table gives an empty result. No shuffle.
     """
-    encoded = docs.select(F.col(id_col), encode_column(docs, vocabulary, F.col(text_col)).alias("ids"))
-    return encoded.withColumn("decoded", decode_column(docs, vocabulary, F.col("ids")))
+    sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+
+    def per_text():
+        encode, names = codec(sent.value).encode, rules(sent.value).names
+
+        def both(text: str) -> tuple[list[int], str]:
+            ids = encode(text)
+            return ids, decode(ids, names)
+
+        return both
+
+    both = struct_udf(per_text, [("ids", "array<int>"), ("decoded", "string")], "struct<ids: array<int>, decoded: string>")
+    return docs.select(F.col(id_col), both(F.col(text_col)).alias("coded")).select(id_col, "coded.ids", "coded.decoded")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe_codec, decontaminate, quality_model, simhash, token_counts, url_filter
+from tallyframe.llm import bpe_codec, decontaminate, quality_model, quality_rules, simhash, token_counts, url_filter
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -91,6 +95,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_decontamination": op10_decontamination,

@@ -9,8 +9,6 @@ longest rule wins. DataFrame functions only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import spare_name
-
 #: Hex digits of the digest that the join goes by.
 SHORT = 8
 #: URLs of one expression (a hot host) are dealt over so many join keys.
@@ -51,7 +49,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     ``://`` have empty host and path, which no rule fits. Rows with NULL or repeated ids keep a
     row each; other columns of ``pages`` are not read. An empty side is fine.
 
-    The shapes of the rules (label count, path length) are the only thing that every URL is
+    Repeated URLs are judged once. The shapes of the rules (label count, path length) are the only thing that every URL is
     expanded by; they come to one row of at most (labels x path lengths in use) pairs. The
     hot expression of a big host is salted over ``SALTS`` keys; the optimiser broadcasts the
     rules if it measures them as small.
@@ -69,9 +67,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
         )
     )
     shapes = [tuple(r) for r in known.select("labels", "chars").distinct().collect()]  # bounded: see above
-    row = spare_name(pages, "row")
     urls = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    urls = urls.withColumn(row, F.monotonically_increasing_id())
     parts = F.split("host", r"\.", -1)
     wanted = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("chars")) for a, b in sorted(shapes)]) if shapes else F.expr("array()").cast("array<struct<labels:int,chars:int>>")
     fits = F.filter(wanted, lambda s: (s["labels"] <= F.size(parts)) & (s["chars"] <= F.length("path")))
@@ -80,13 +76,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
         F.col("path").substr(F.lit(1), s["chars"]),
     ))
     expanded = (
-        urls.select(row, F.explode(tails).alias("digest"))
-        .withColumn("short", F.substring("digest", 1, SHORT)).withColumn("salt", F.pmod(F.hash(row), F.lit(SALTS)))
+        urls.select("host", "path").distinct().select("host", "path", F.explode(tails).alias("digest"))
+        .withColumn("short", F.substring("digest", 1, SHORT)).withColumn("salt", F.pmod(F.hash("host", "path"), F.lit(SALTS)))
     )
     hits = (
         expanded.join(known, ["short", "salt"]).filter(F.col("digest") == F.col("rule_digest"))
-        .groupBy(row).agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("labels"))).alias("won"))
+        .groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("labels"))).alias("won"))
     )
-    return urls.join(hits, row, "left").select(
+    return urls.join(hits, ["host", "path"], "left").select(
         id_col, "host", "path", F.col("won.rule").alias("rule"), F.coalesce("won.rule_verdict", F.lit(default)).alias("verdict"),
     )

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe_codec, decontaminate, quality_model, quality_rules, simhash, token_counts, url_filter
+from tallyframe.llm import bpe_codec, decontaminate, private_data, quality_model, quality_rules, simhash, token_counts, url_filter
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -49,6 +49,16 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)))
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.find_private(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["base"])
+    counts = [
+        F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{name}")  # noqa: B023
+        for kind, name in enumerate(private_data.BASE_KINDS)
+    ]
+    return found.select("doc_id", *counts, F.sha2(private_data.described(base), 256).alias("base_sha256"), F.col("described").alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -93,6 +103,7 @@ FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_private_data": op2_private_data,
     "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,

@@ -102,8 +102,8 @@ def decode_column(docs: DataFrame, vocabulary: str, ids: Column) -> Column:
     return decoded(ids)
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``ids`` array<int>, and ``decoded`` from these ids.
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, the columns named in ``keep``, ``ids`` array<int>, and ``decoded`` from these ids.
 
     Both directions run in one pass over the texts. NULL texts count as empty: no ids, empty
     decoded text. NULL and repeated ids keep a row each; other columns are not read. An empty
@@ -121,7 +121,12 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         return both
 
     both = struct_udf(per_text, [("ids", "array<int>"), ("decoded", "string")], "struct<ids: array<int>, decoded: string>")
-    return docs.select(F.col(id_col), both(F.col(text_col)).alias("coded")).select(id_col, "coded.ids", "coded.decoded")
+    return docs.select(id_col, *keep, both(F.col(text_col)).alias("coded")).select(id_col, *keep, "coded.ids", "coded.decoded")
+
+
+def ids_digest(ids: Column) -> Column:
+    """SHA-256 of the decimal ids joined by single spaces."""
+    return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -129,6 +134,6 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )

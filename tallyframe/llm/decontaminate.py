@@ -26,7 +26,7 @@ PIECE_WORDS = 20_000
 #: Bytes to bytes: A-Z lower-cased, other ASCII than letters and digits to a space, the rest as it is.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
-SCHEMA = "n_words bigint, hits array<int>, items array<string>"
+SCHEMA = "n_words: bigint, hits: array<int>, items: array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -127,26 +127,26 @@ def passes(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> I
 _MACHINES: dict = {}
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """Every row of ``docs`` with all its columns, and ``bench`` struct<n_words, hits, items>.
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "bench") -> DataFrame:
+    """Every row of ``docs`` with all its columns, and ``out_col`` struct<n_words, hits, items>.
 
     ``hits`` holds starts and ends (exclusive) of hit word spans, flat and in order; ``items``
     the ids (as text, sorted) of the items with an occurring window. An item of fewer words
     than ``window``, but not none, is one window. NULL and empty texts have no words, on
     either side; items with a NULL id hit words but are not listed; repeated items count once.
-    Empty tables are fine. A column of ``docs`` named ``bench`` is replaced.
+    Empty tables are fine. A column of ``docs`` named as ``out_col`` is replaced.
 
     The benchmark is a stated query set: it goes to the workers in passes of ``PASS_BYTES``;
     a benchmark within one pass costs one scan of the documents and no shuffle.
     """
     spark = docs.sparkSession
-    out = docs.withColumn("bench", F.expr(f"cast(null as struct<{SCHEMA.replace(' bigint', ':bigint').replace(' array', ':array')}>)"))
-    for k, held in enumerate(passes(benchmark, window, item_col, text_col)):
+    out = docs.withColumn(out_col, F.lit(None).cast(f"struct<{SCHEMA}>"))
+    for k, held in enumerate(passes(benchmark, window, item_col, item_text_col)):
         if k:  # a further pass starts from what the earlier ones have found
             out = written(out, "bench-pass")
         sent = spark.sparkContext.broadcast(held)
 
-        @F.arrow_udf("struct<n_words: bigint, hits: array<int>, items: array<string>>")
+        @F.arrow_udf(f"struct<{SCHEMA}>")
         def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             pieces = sent.value
             key = (window, hash(tuple(pieces)))
@@ -158,13 +158,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col:
                 n, hits, items = zip(*rows) if rows else ((), (), ())
                 yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
 
-        out = out.withColumn("bench", search(F.col(text_col), F.col("bench")))
+        out = out.withColumn(out_col, search(F.col(text_col), F.col(out_col)))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, ``hits``, ``items``, ``contaminated``; see ``occurrences``."""
-    found = occurrences(docs.select(id_col, text_col), benchmark, window, id_col, text_col, item_col)
+    found = occurrences(docs.select(id_col, text_col), benchmark, window, text_col, item_col)
     n_hit = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.size("bench.hits") - 1, F.lit(0))), F.lit(0).cast("long"),
         lambda acc, i: acc + F.coalesce(F.get("bench.hits", i), F.lit(0)) * F.when(i % 2 == 1, 1).otherwise(-1),

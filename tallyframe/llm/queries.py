@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe_codec, decontaminate, private_data, quality_model, quality_rules, simhash, token_counts, url_filter
+from tallyframe.llm import bpe_codec, decontaminate, language_id, private_data, quality_model, quality_rules, simhash, token_counts, url_filter
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -109,6 +113,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
 

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe_codec, decontaminate, language_id, private_data, quality_model, quality_rules, simhash, token_counts, url_filter
+from tallyframe.llm import bpe_codec, decontaminate, language_id, passages, private_data, quality_model, quality_rules, simhash, token_counts, url_filter
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -111,6 +115,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_language_id": op9_language_id,

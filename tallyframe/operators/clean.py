@@ -41,10 +41,13 @@ def sign_by_category(category: Column, amount: Column) -> Column:
 
 
 def flag_outliers(df: DataFrame, keys: Sequence[str] = ("tenant",), factor: float = 10.0) -> DataFrame:
-    """Flag amounts above ``factor`` times the exact median of absolute amounts per key."""
-    sized = df.where(F.col("amount").isNotNull()).withColumn("_size", F.abs("amount"))
-    mid = median(sized, list(keys), "_size")
-    joined = sized.join(mid, list(keys))
+    """Flag amounts above ``factor`` times the exact median of absolute amounts per key.
+
+    Every row stays: one without an amount is not flagged, and a NULL key is not compared.
+    """
+    sized = df.withColumn("_size", F.abs("amount"))
+    mid = median(sized.dropna(subset=[*keys, "_size"]), list(keys), "_size")
+    joined = sized.join(mid, list(keys), "left")
     above = (F.col("median") > 0) & (F.col("_size").cast("double") > F.col("median") * factor)
     return joined.withColumn("flag_reason", F.when(above, "unrealistic_amount")).drop("_size", "median")
 

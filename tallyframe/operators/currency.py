@@ -22,10 +22,15 @@ def with_rates(df: DataFrame, rates: DataFrame, target: str) -> DataFrame:
     return df.join(both, "currency", "left")
 
 
-def convert(df: DataFrame, rates: DataFrame, target: str = "EUR") -> DataFrame:
+def based(df: DataFrame, base: str) -> DataFrame:
+    """Rows with an amount other than 0; those without a currency are in the base currency."""
+    return df.where(F.col("amount").isNotNull() & (F.col("amount") != 0)).withColumn("currency", F.coalesce("currency", F.lit(base)))
+
+
+def convert(df: DataFrame, rates: DataFrame, target: str = "EUR", base: str = "EUR") -> DataFrame:
     """Converted amount (2 decimals, half up), rate and type per row; rows of amount
-    0 are dropped, a missing rate keeps the original amount."""
-    joined = with_rates(df.where(F.col("amount").isNotNull() & (F.col("amount") != 0)), rates, target)
+    0 are dropped, a missing rate keeps the original amount, a missing currency is ``base``."""
+    joined = with_rates(based(df, base), rates, target)
     return _converted(joined, target)
 
 
@@ -65,9 +70,9 @@ def rates_as_of(pairs: DataFrame, rates: DataFrame) -> DataFrame:
     return both.where(F.col("_k") == 1).select("currency", "date", "rate")
 
 
-def convert_as_of(df: DataFrame, rates: DataFrame, target: str = "EUR") -> DataFrame:
-    """Conversion with the rate of the transaction date on both sides."""
-    valid = df.where(F.col("amount").isNotNull() & (F.col("amount") != 0))
+def convert_as_of(df: DataFrame, rates: DataFrame, target: str = "EUR", base: str = "EUR") -> DataFrame:
+    """Conversion with the rate of the transaction date on both sides; a missing currency is ``base``."""
+    valid = based(df, base)
     pairs = valid.select("currency", "date").distinct()
     days = pairs.select(F.lit(target).alias("currency"), "date").distinct()
     from_side = rates_as_of(pairs, rates).withColumnRenamed("rate", "from_rate")

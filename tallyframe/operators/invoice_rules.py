@@ -96,13 +96,14 @@ def duplicates(invoices: DataFrame, days: int = DUPLICATE_WINDOW_DAYS) -> DataFr
     """Invoices whose hash was seen in the ``days`` days before (or earlier that day).
 
     Copies collapse to one row per hash and day before the window, so a hash carried
-    by a third of all rows is scanned as its distinct days.
+    by a third of all rows is scanned as its distinct days. An invoice without hash or
+    date is no duplicate, and stays.
     """
-    daily = invoices.groupBy("duplicate_hash", "invoice_date").agg(F.min("invoice_id").alias("_first"))
+    daily = invoices.dropna(subset=["duplicate_hash", "invoice_date"]).groupBy("duplicate_hash", "invoice_date").agg(F.min("invoice_id").alias("_first"))
     w = Window.partitionBy("duplicate_hash").orderBy("invoice_date")
     daily = daily.withColumn("_prev", F.lag("invoice_date").over(w))
-    joined = invoices.join(daily, ["duplicate_hash", "invoice_date"])
-    later_copy = F.col("invoice_id") != F.col("_first")
+    joined = invoices.join(daily, ["duplicate_hash", "invoice_date"], "left")
+    later_copy = F.coalesce(F.col("invoice_id") != F.col("_first"), F.lit(False))
     recent = F.coalesce(F.datediff("invoice_date", "_prev") <= days, F.lit(False))
     return joined.withColumn("is_duplicate", later_copy | recent).drop("_first", "_prev")
 

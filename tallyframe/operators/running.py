@@ -20,7 +20,8 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the inclusive running sum of ``value`` within ``keys`` in the
     order of ``levels``. The last level must be unique within its block, or its
-    ties interchangeable."""
+    ties interchangeable. Rows with NULL keys or levels stay: NULL is a key of its
+    own, and sorts first as a level."""
     keys, levels = list(keys), list(levels)
     block = keys + levels[:-1]
     inner = Window.partitionBy(*block).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, 0)
@@ -46,12 +47,12 @@ def running_total(
         if offsets is None:
             offsets = sums
         else:
-            offsets = (
-                sums.withColumnRenamed("_o", "_d")
-                .join(offsets, keys + levels[:depth])
-                .withColumn("_o", F.col("_o") + F.col("_d"))
-                .drop("_d")
-            )
+            above = keys + levels[:depth]
+            finer = sums.withColumnRenamed("_o", "_d")
+            finer = finer.join(offsets, [finer[c].eqNullSafe(offsets[c]) for c in above])
+            for c in above:
+                finer = finer.drop(offsets[c])
+            offsets = finer.withColumn("_o", F.col("_o") + F.col("_d")).drop("_d")
     match = [rows[c].eqNullSafe(offsets[c]) for c in block]
     joined = rows.join(offsets, match, "inner")
     for c in block:

@@ -98,9 +98,8 @@ def dj_budget_forecast(spark, d):
 
 
 def _budget_table(spark, d):
-    """A budget table drawn from past spending: mean monthly spend per tenant,
-    category for the months of 1998."""
-    return spend(spark, d).where("month >= '1998-01'").select(
+    """A budget table drawn from all past spending: the spend of each tenant, category and month."""
+    return spend(spark, d).select(
         "tenant", "category", "month", F.col("actual").cast("decimal(18,2)").alias("monthly"),
         F.lit("medium").alias("priority"),
     )
@@ -116,7 +115,7 @@ def _changes(spark, d):
 @report(
     "so_upsert_budget",
     f"""WITH {SPEND} SELECT tenant, category, month, CAST(CASE WHEN month >= '1998-07' THEN txn_count ELSE actual END AS DOUBLE) AS monthly,
-      CASE WHEN month >= '1998-07' THEN 'high' ELSE 'medium' END AS priority FROM spend WHERE month >= '1998-01'""",
+      CASE WHEN month >= '1998-07' THEN 'high' ELSE 'medium' END AS priority FROM spend""",
 )
 def so_upsert_budget(spark, d):
     return budget.upsert_budgets(_budget_table(spark, d), _changes(spark, d))
@@ -125,7 +124,7 @@ def so_upsert_budget(spark, d):
 @report(
     "so_update_budget",
     f"""WITH {SPEND} SELECT tenant, category, month, CAST(CASE WHEN month >= '1998-07' THEN txn_count ELSE actual END AS DOUBLE) AS monthly,
-      'medium' AS priority FROM spend WHERE month >= '1998-01'""",
+      'medium' AS priority FROM spend""",
 )
 def so_update_budget(spark, d):
     return budget.update_budgets(_budget_table(spark, d), _changes(spark, d).drop("priority"))

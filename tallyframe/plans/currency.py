@@ -33,11 +33,17 @@ def dated_rates(spark):
 
 
 def txn(spark, d):
-    return transactions(spark, d, "tenant", "txn_id", "date", "amount", "currency")
+    """Transactions of which the yen ones name no currency: they count as base currency."""
+    t = transactions(spark, d, "tenant", "txn_id", "date", "amount", "currency")
+    return t.withColumn("currency", F.when(F.col("currency") != "JPY", F.col("currency")))
 
 
-CONV = f"""{TXN}, {SQL_RATES}, cv AS (SELECT tenant, txn_id, t.currency, amount, f.rate AS fr, 1.18 AS tr,
-  t.currency <> 'USD' AND f.rate IS NOT NULL AS was_converted FROM txn t LEFT JOIN rates f ON f.currency = t.currency WHERE amount <> 0),
+#: The same for the checks.
+BASED = "based AS (SELECT * REPLACE (CASE WHEN currency = 'JPY' THEN 'EUR' ELSE currency END AS currency) FROM txn)"
+
+
+CONV = f"""{TXN}, {BASED}, {SQL_RATES}, cv AS (SELECT tenant, txn_id, t.currency, amount, f.rate AS fr, 1.18 AS tr,
+  t.currency <> 'USD' AND f.rate IS NOT NULL AS was_converted FROM based t LEFT JOIN rates f ON f.currency = t.currency WHERE amount <> 0),
  conv AS (SELECT *, CAST(CASE WHEN was_converted THEN floor(CAST(amount AS DOUBLE) / fr * CAST(tr AS DOUBLE) * 100 + 0.5) / 100 ELSE CAST(amount AS DOUBLE) END AS DECIMAL(18,2)) AS converted_amount,
   CASE WHEN was_converted THEN CAST(tr AS DOUBLE) / fr ELSE 1 END AS rate, CASE WHEN amount > 0 THEN 'income' ELSE 'expense' END AS type FROM cv)"""
 
@@ -56,9 +62,7 @@ def dj_currency_convert(spark, d):
       count(*) FILTER (was_converted) AS conversions FROM conv GROUP BY ALL""",
 )
 def ag_currency_dist(spark, d):
-    return currency.distribution(
-        currency.convert(transactions(spark, d, "tenant", "amount", "currency"), rates(spark), "USD")
-    )
+    return currency.distribution(currency.convert(txn(spark, d).drop("txn_id", "date"), rates(spark), "USD"))
 
 
 @report(
@@ -76,9 +80,9 @@ def jn_fx_rate(spark, d):
 
 @report(
     "jn_fx_asof",
-    f"""WITH {TXN}, {SQL_DATED}, x AS (SELECT t.tenant, t.txn_id, t.date, t.currency, t.amount,
+    f"""WITH {TXN}, {BASED}, {SQL_DATED}, x AS (SELECT t.tenant, t.txn_id, t.date, t.currency, t.amount,
        (SELECT arg_max(rate, valid_from) FROM dated r WHERE r.currency = t.currency AND r.valid_from <= t.date) AS fr,
-       (SELECT arg_max(rate, valid_from) FROM dated r WHERE r.currency = 'USD' AND r.valid_from <= t.date) AS tr FROM txn t WHERE amount <> 0),
+       (SELECT arg_max(rate, valid_from) FROM dated r WHERE r.currency = 'USD' AND r.valid_from <= t.date) AS tr FROM based t WHERE amount <> 0),
      y AS (SELECT *, currency <> 'USD' AND fr IS NOT NULL AND tr IS NOT NULL AS ok FROM x)
     SELECT tenant, txn_id, CAST(date AS VARCHAR) AS date, currency, CAST(amount AS DOUBLE) AS amount,
       CAST(CASE WHEN ok THEN floor(CAST(amount AS DOUBLE) / fr * tr * 100 + 0.5) / 100 ELSE CAST(amount AS DOUBLE) END AS DOUBLE) AS converted_amount,

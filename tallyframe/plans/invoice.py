@@ -411,13 +411,14 @@ def dj_review_rerun(spark, d):
 
 @report(
     "wn_dup_window",
-    """WITH i AS (SELECT o_orderkey AS invoice_id, md5(CAST(o_custkey AS VARCHAR)) AS h, CAST(o_orderdate AS DATE) AS d FROM orders),
-    w AS (SELECT *, lag(d) OVER (PARTITION BY h ORDER BY d, invoice_id) AS p FROM i) SELECT invoice_id, h AS duplicate_hash, CAST(d AS VARCHAR) AS invoice_date, coalesce(date_diff('day', p, d) <= 180, false) AS is_duplicate FROM w""",
+    """WITH i AS (SELECT o_orderkey AS invoice_id, CASE WHEN o_custkey % 50 <> 0 THEN md5(CAST(o_custkey AS VARCHAR)) END AS h, CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders),
+    w AS (SELECT *, lag(d) OVER (PARTITION BY h ORDER BY d, invoice_id) AS p FROM i) SELECT invoice_id, h AS duplicate_hash, CAST(d AS VARCHAR) AS invoice_date, coalesce(h IS NOT NULL AND date_diff('day', p, d) <= 180, false) AS is_duplicate FROM w""",
 )
 def wn_dup_window(spark, d):
-    """The customer stands for the hash, so hashes repeat."""
+    """The customer stands for the hash, so hashes repeat; some invoices have no hash, some no date."""
     i = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("invoice_id"), F.md5(F.col("o_custkey").cast("string")).alias("duplicate_hash"), F.col("o_orderdate").cast("date").alias("invoice_date")
+        F.col("o_orderkey").alias("invoice_id"), F.when(F.col("o_custkey") % 50 != 0, F.md5(F.col("o_custkey").cast("string"))).alias("duplicate_hash"),
+        F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderdate").cast("date")).alias("invoice_date"),
     )
     return invoice_rules.duplicates(i).select("invoice_id", "duplicate_hash", "invoice_date", "is_duplicate")
 

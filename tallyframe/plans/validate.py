@@ -91,10 +91,9 @@ def dj_consistency(spark, d):
 
 def spoiled(spark, d):
     """Rows with a fixed share of missing dates, texts, amounts and categories."""
-    from tallyframe.sources.adapters import expense_side
-
-    t = expense_side(spark, d, {"tenant", "txn_id", "date", "amount", "description", "category"})
-    n = F.substring_index("txn_id", "-", -1).cast("int")
+    t = transactions(spark, d, "tenant", "txn_id", "date", "amount", "description", "category")
+    line, order = F.get(F.split("txn_id", "-"), 1).cast("int"), F.pmod(F.get(F.split("txn_id", "-"), 0).substr(2, 12).cast("bigint"), F.lit(7)).cast("int")
+    n = F.coalesce(line, order)
     month = F.date_format("date", "yyyy-MM")
     return t.withColumn("month", month).withColumns({
         "date": F.when(n != 1, F.col("date")), "description": F.when(n == 2, "").otherwise(F.col("description")),
@@ -102,13 +101,13 @@ def spoiled(spark, d):
     })
 
 
-SPOILED = f"""{TXN}, sp AS (SELECT tenant, txn_id, strftime(date, '%Y-%m') AS month, CAST(split_part(txn_id, '-', 2) AS INTEGER) AS n FROM txn WHERE txn_id LIKE 'L%'),
+SPOILED = f"""{TXN}, sp AS (SELECT tenant, txn_id, strftime(date, '%Y-%m') AS month, CASE WHEN txn_id LIKE 'L%' THEN CAST(split_part(txn_id, '-', 2) AS INTEGER) ELSE CAST(substr(txn_id, 2, 12) AS BIGINT) % 7 END AS n FROM txn),
  spr AS (SELECT *, CASE n WHEN 1 THEN 0.1 WHEN 2 THEN 0.1 WHEN 3 THEN 0.2 WHEN 4 THEN 0.05 ELSE 0 END AS pen FROM sp)"""
 
 
 @report(
     "dj_row_validate",
-    f"""WITH {SPOILED}, p AS (SELECT tenant, month, CAST(sum(CAST(pen AS DECIMAL(4,2))) AS DOUBLE) AS pen, count(*) FILTER (n <= 4) AS iss, CAST(month[6:7] AS INTEGER) % 4 AS k FROM spr GROUP BY ALL)
+    f"""WITH {SPOILED}, p AS (SELECT tenant, month, CAST(sum(CAST(pen AS DECIMAL(4,2))) AS DOUBLE) AS pen, count(*) FILTER (n BETWEEN 1 AND 4) AS iss, CAST(month[6:7] AS INTEGER) % 4 AS k FROM spr GROUP BY ALL)
     SELECT tenant, month, round(greatest(0.0, 1 - pen), 6) AS row_confidence, CAST(CASE WHEN k = 1 THEN 0.7 WHEN k = 2 THEN 0.8 ELSE 1.0 END AS DOUBLE) AS totals_confidence,
       round(least(greatest(0.0, 1 - pen), CASE WHEN k = 1 THEN 0.7 WHEN k = 2 THEN 0.8 ELSE 1.0 END), 6) AS confidence, iss + CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS issue_count, iss + CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END = 0 AS is_valid FROM p""",
 )
@@ -291,13 +290,13 @@ def ag_ocr_confidence(spark, d):
 
 @report(
     "ag_median_outlier",
-    f"""WITH {TXN}, z AS (SELECT tenant, txn_id, CASE WHEN txn_id LIKE '%-7' THEN CAST(amount * 20 AS DECIMAL(18,2)) ELSE amount END AS amount FROM txn),
+    f"""WITH {TXN}, z AS (SELECT tenant, txn_id, CASE WHEN txn_id LIKE '%-7' THEN CAST(amount * 20 AS DECIMAL(18,2)) WHEN txn_id LIKE '%-6' THEN NULL ELSE amount END AS amount FROM txn),
     m AS (SELECT tenant, quantile_cont(CAST(abs(amount) AS DOUBLE), 0.5) AS med FROM z GROUP BY tenant)
-    SELECT tenant, txn_id, CAST(amount AS DOUBLE) AS amount, CASE WHEN med > 0 AND CAST(abs(amount) AS DOUBLE) > med * 10 THEN 'unrealistic_amount' END AS flag_reason FROM z JOIN m USING (tenant)""",
+    SELECT tenant, txn_id, CAST(amount AS DOUBLE) AS amount, CASE WHEN med > 0 AND CAST(abs(amount) AS DOUBLE) > med * 10 THEN 'unrealistic_amount' END AS flag_reason FROM z LEFT JOIN m USING (tenant)""",
 )
 def ag_median_outlier(spark, d):
     t = transactions(spark, d, "tenant", "txn_id", "amount")
-    odd = F.when(F.col("txn_id").endswith("-7"), (F.col("amount") * 20).cast("decimal(18,2)")).otherwise(F.col("amount"))
+    odd = F.when(F.col("txn_id").endswith("-7"), (F.col("amount") * 20).cast("decimal(18,2)")).when(~F.col("txn_id").endswith("-6"), F.col("amount"))
     return clean.flag_outliers(t.withColumn("amount", odd))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +32,18 @@ def build_session(master: str | None = None, app_name: str = "tallyframe", **con
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests, a private temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all
+    tasks run in this process, as in tests, a private temporary folder is made; on a
+    cluster executors could not see it, so there the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     import tempfile
 
-    path = os.environ.get("TALLYFRAME_SHARED_DIR") or tempfile.mkdtemp(prefix="tallyframe-")
+    path = tempfile.mkdtemp(prefix="tallyframe-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

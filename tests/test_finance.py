@@ -191,3 +191,49 @@ def test_outlier_flag(spark):
     assert [r.amount for r in flagged] == []
     df = txns(spark, [(date(2024, 1, 1), "a", a, "EUR", "x") for a in ("1.00", "2.00", "3.00", "-26.00")])
     assert [r.amount for r in clean.flag_outliers(df).where("flag_reason is not null").collect()] == [D("-26.00")]
+
+
+def test_rows_with_null_keys_stay(spark):
+    """Running totals, positions, duplicate marks, outlier flags and conversion lose no row to a NULL key."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import clean, currency, invoice_rules
+    from tallyframe.operators.running import position, running_total
+
+    rows = spark.createDataFrame(
+        [("a", "2024-01-01", 1, 2.0), ("a", None, 2, 3.0), (None, "2024-01-01", 3, 5.0), (None, None, 4, 7.0), ("a", None, 5, 11.0)],
+        "tenant string, day string, k int, amount double",
+    )
+    got = {r["k"]: r["run"] for r in running_total(rows, ["tenant"], ["day", "k"], F.col("amount"), "run").collect()}
+    assert {k: float(v) for k, v in got.items()} == {1: 16.0, 2: 3.0, 3: 12.0, 4: 7.0, 5: 14.0}
+    assert {r["k"]: r["p"] for r in position(rows, ["tenant"], ["day", "k"], "p").collect()} == {1: 3, 2: 1, 3: 2, 4: 1, 5: 2}
+
+    invoices = spark.createDataFrame(
+        [(1, "h", "2024-01-01"), (2, "h", "2024-01-09"), (3, None, "2024-01-09"), (4, None, "2024-01-10"), (5, "h", None)],
+        "invoice_id int, duplicate_hash string, invoice_date string",
+    ).withColumn("invoice_date", F.col("invoice_date").cast("date"))
+    marks = {r["invoice_id"]: r["is_duplicate"] for r in invoice_rules.duplicates(invoices).collect()}
+    assert marks == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+    priced = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 99.0), ("a", None), (None, 5.0)], "tenant string, amount double")
+    flagged = clean.flag_outliers(priced.withColumn("amount", F.col("amount").cast("decimal(18,2)"))).collect()
+    assert len(flagged) == 5 and sum(r["flag_reason"] is not None for r in flagged) == 1
+
+    money = spark.createDataFrame([(None, 10.0), ("USD", 10.0)], "currency string, amount double").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    rates = spark.createDataFrame([("EUR", 0.5), ("USD", 1.0)], "currency string, rate double")
+    assert {r["currency"]: float(r["converted_amount"]) for r in currency.convert(money, rates, "USD").collect()} == {"EUR": 20.0, "USD": 10.0}
+
+
+def test_append_files_follow_size(spark, tmp_path):
+    """One small day of one tenant is one file; nothing is cut."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.sources import sinks
+
+    rows = spark.range(500).select(
+        F.col("id").cast("string").alias("txn_id"), F.lit("t").alias("tenant"), F.lit("2024-01-01").cast("date").alias("date"),
+        F.lit(1).cast("decimal(18,2)").alias("amount"), F.lit(None).cast("string").alias("currency"),
+    )
+    sinks.append_transactions(rows, str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("part-*.parquet"))) == 1
+    assert spark.read.parquet(str(tmp_path / "t")).where("currency = 'EUR'").count() == 500

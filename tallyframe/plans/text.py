@@ -9,6 +9,7 @@ from tallyframe.functions import amounts, hashing, text
 from tallyframe.functions.periods import as_date, report_period
 from tallyframe.functions.rules import first_match, has_word, sql_first_match, sql_has_word
 from tallyframe.plans.registry import report
+from tallyframe.session import fresh_dir
 from tallyframe.sources import csv_txn
 from tallyframe.sources.adapters import RENDERED, TXN, rendered_invoices, table, transactions
 
@@ -573,7 +574,7 @@ def csv_raw(spark, d):
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_index"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("Date"),
         F.col("p_name").alias("Description"), F.when(F.col("l_linenumber") % 2 == 0, "").otherwise("USD").alias("Currency"),
         F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("p_type")).alias("Category"),
-        _raw_col().alias("Amount"),
+        _raw_col().alias("Amount"), "l_linenumber",
     )
     return price
 
@@ -596,7 +597,18 @@ def _raw_col():
       coalesce(nullif(category, ''), 'General') AS category, CASE WHEN raw = '' THEN 0 ELSE {STRICT} END AS amount, CAST(NULL AS DOUBLE) AS tax_amount FROM raw""",
 )
 def src_csv_txn(spark, d):
-    return csv_txn.normalise(csv_raw(spark, d), "1999-12-31")
+    """Files in three header orders and cases, one of them without the category column, read back by name."""
+    path, raw = fresh_dir(spark, "csv"), csv_raw(spark, d)
+    kind = F.col("l_linenumber") % 3
+    third = raw.where(kind == 0)  # these have no category
+    layouts = (
+        raw.where(kind == 1).select("row_index", "Date", "Description", "Amount", "Currency", "Category"),
+        raw.where(kind == 2).select("Amount", "Category", "row_index", "Currency", "Date", "Description").toDF("AMOUNT", "CATEGORY", "ROW_INDEX", "CURRENCY", "DATE", "DESCRIPTION"),
+        third.select("Currency", "Description", "row_index", "Amount", "Date").toDF("currency", "description", "row_index", "amount", "date"),
+    )
+    for rows in layouts:
+        rows.write.mode("append").option("header", True).csv(path)
+    return csv_txn.normalise(csv_txn.read_csv(spark, path), "1999-12-31").drop("filename", "_malformed")
 
 
 LOOSE = """coalesce(CAST(TRY_CAST(nullif(regexp_extract(regexp_replace(raw, '[$€£¥,]', '', 'g'), '^\\s*([-+]?(?:\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DECIMAL(18,2)) AS DOUBLE), 0)"""

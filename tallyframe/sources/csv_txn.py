@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,16 +23,66 @@ DEFAULTS = {"description": "Transaction", "vendor": "Unknown", "currency": "EUR"
 LINE_AMOUNT = r"(\d+[.,]\d{2})"
 
 
+def header_of(lines: DataFrame) -> DataFrame:
+    """(filename, header): the first line of each file, as the lowest-placed line with content.
+
+    ``lines`` has filename, offset and value; one aggregate row per file comes out.
+    """
+    return lines.where(F.trim("value") != "").groupBy("filename").agg(F.min_by("value", "offset").alias("header"))
+
+
+def raw_lines(df: DataFrame) -> DataFrame:
+    """(value, filename, block) of text rows read from files, batch or stream."""
+    return df.select("value", F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """Raw lines with their order inside the file: by block, then by row of the block."""
+    return lines.withColumn("offset", F.struct("block", F.monotonically_increasing_id().alias("row")))
+
+
+def header_columns(header: str) -> list[str]:
+    """Lower-case column names of a header line; blank and repeated ones get a name of their own."""
+    names: list[str] = []
+    for k, cell in enumerate(next(csv.reader([header.lstrip("\ufeff")], skipinitialspace=True), [])):
+        name = cell.strip().lower() or f"column_{k + 1}"
+        names.append(name if name not in names else f"{name}_{k + 1}")
+    return names
+
+
+#: The end of each cell of a line: a separator outside quotes, or nothing at the line's end.
+CELL_END = r'(?:"(?:[^"]|"")*"|[^",])*(,|$)'
+
+
+def by_header(lines: DataFrame) -> DataFrame:
+    """Rows of all files as strings, each file's cells named by its own header line.
+
+    The distinct headers, few by nature, come to the driver; files are grouped by header and
+    parsed with its names, and the groups are united by name, so a column that a file lacks is
+    NULL. ``_malformed`` marks rows with another number of cells than their header. Lines
+    equal to the header and blank lines are left out.
+    """
+    headers = header_of(placed(lines))
+    out = lines.sparkSession.createDataFrame([], "filename string, _malformed boolean")
+    for (header,) in sorted(tuple(r) for r in headers.select("header").distinct().collect()):
+        names = header_columns(header)
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+        separators = F.size(F.filter(F.regexp_extract_all("value", F.lit(CELL_END), F.lit(1)), lambda c: c == ","))
+        own = lines.join(headers.where(F.col("header") == header), "filename").where((F.col("value") != header) & (F.trim("value") != ""))
+        own = own.select("filename", (separators != len(names) - 1).alias("_malformed"), F.from_csv("value", F.lit(schema), options).alias("_cells"))
+        out = out.unionByName(own.select("filename", "_malformed", *[F.col(f"_cells.`{n}`").alias(n) for n in names]), allowMissingColumns=True)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw string columns with lower-case names, one scan, no inference.
+    """Raw string columns with lower-case names, every file's cells bound by its own header line.
 
-    The header line is read to name the columns, since files differ in order and case.
+    Files may differ in order, case and number of columns. Cells may be quoted; a line break
+    inside a cell is not supported. ``filename`` and ``_malformed`` are added. An aggregate of
+    one row per file finds the headers, then every layout is one filtered scan.
     """
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option(
-        "ignoreTrailingWhiteSpace", True
-    ).csv(path)
-    named = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    return named.withColumn("filename", F.col("_metadata.file_name"))
+    return by_header(raw_lines(spark.read.text(path)))
 
 
 def _cell(df: DataFrame, name: str) -> Column:
@@ -46,7 +97,7 @@ def normalise(df: DataFrame, as_of: date | str) -> DataFrame:
     """Typed transactions from raw text columns, with defaults for missing cells."""
     day = _cell(df, "date")
     written = F.coalesce(F.try_to_date(day, "yyyy-MM-dd"), F.try_to_date(day, "M/d/yyyy"), as_date(as_of))
-    keep = [F.col(c) for c in ("row_index", "filename") if c in df.columns]
+    keep = [F.col(c) for c in ("row_index", "filename", "_malformed") if c in df.columns]
     return df.select(
         *keep, written.alias("date"),
         *[F.coalesce(_cell(df, c), F.lit(v)).alias(c) for c, v in DEFAULTS.items()],
@@ -80,9 +131,15 @@ def fuzzy(df: DataFrame, as_of: date | str) -> DataFrame:
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and rows whose amount is missing or unreadable."""
-    bad = F.col("amount").isNull()
-    return df.where(~bad), df.where(bad).withColumn("reason", F.lit("Invalid amount"))
+    """Accepted rows, and rows whose amount is unreadable, with the reason (a blank amount is 0, as ``normalise`` makes it)."""
+    why = reject_reason(df)
+    return df.where(why.isNull()), df.where(why.isNotNull()).withColumn("reason", why)
+
+
+def reject_reason(df: DataFrame) -> Column:
+    """Why a normalised row is not accepted, or NULL."""
+    malformed = F.coalesce(F.col("_malformed"), F.lit(False)) if "_malformed" in df.columns else F.lit(False)
+    return F.when(malformed, "Malformed line").when(F.col("amount").isNull(), "Invalid amount")
 
 
 def _line_amount(line: Column) -> Column:

@@ -268,3 +268,15 @@ def test_translation_keys_and_expiry(spark):
     looked = translate.lookup(req, mem, "2024-01-02 00:00:00")
     assert looked.where("from_cache").count() == 1
     assert [(r.text, r.uses) for r in translate.misses(looked).collect()] == [("b", 2)]
+
+
+def test_csv_files_of_several_layouts(spark, tmp_path):
+    """Cells follow each file's own header; lines with another number of cells are marked and quarantined."""
+    (tmp_path / "a.csv").write_text("Date,Description,Amount\n2024-01-01,x,1.00\n")
+    (tmp_path / "b.csv").write_text("\nAMOUNT,DATE,Category,Description\n2.00,2024-01-02,Food,\"y, z\"\n3.00,2024-01-03,Food,w,surplus\n")
+    rows = csv_txn.normalise(csv_txn.read_csv(spark, str(tmp_path)), "2000-01-01")
+    good, bad = csv_txn.quarantine(rows)
+    assert sorted((r.description, r.amount, str(r.date), r.category) for r in good.collect()) == [
+        ("x", D("1.00"), "2024-01-01", "General"), ("y, z", D("2.00"), "2024-01-02", "Food"),
+    ]
+    assert [r.reason for r in bad.collect()] == ["Malformed line"]

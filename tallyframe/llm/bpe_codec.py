@@ -6,17 +6,18 @@ fragments are merged on their own (and remembered), and the ids are concatenated
 """
 
 import itertools
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import struct_udf
 from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load, rules
 
-#: Chunks, pre-tokens and inner fragments that a worker remembers (about 250 bytes each).
-CHUNKS, WORDS, FRAGMENTS = 400_000, 200_000, 50_000
+#: Chunks, pre-tokens and inner fragments that a worker remembers (about 200 bytes each).
+CHUNKS, WORDS, FRAGMENTS = 400_000, 300_000, 50_000
 
 
 def inner_pairs(r: Rules) -> frozenset[str]:
@@ -38,33 +39,52 @@ class Codec:
         self.rules = r = rules(source)
         self.inside = inner_pairs(r)
         ids, inside = r.ids.__getitem__, self.inside
-        inner = Remembered(lambda f: [ids(t) for t in r.merged(list(f))], FRAGMENTS)
 
-        def of_word(word: str) -> list[int]:
-            *first, last = fragments(word, inside)
-            end = [ids(t) for t in r.tokens(last)]
-            return [*itertools.chain.from_iterable(map(inner.__getitem__, first)), *end] if first else end
+        def packed(tokens: list[str]) -> bytes:
+            return array("i", map(ids, tokens)).tobytes()
 
-        words = Remembered(of_word, WORDS)
+        inner = Remembered(lambda f: packed(r.merged(list(f))), FRAGMENTS)
 
-        def of_chunk(chunk: str) -> tuple[int, ...]:
-            return tuple(itertools.chain.from_iterable(map(words.__getitem__, r.pretokens(chunk))))
+        def of_word(word: str) -> bytes:
+            *first, last = fragments(word, inside)
+            end = packed(r.tokens(last))
+            return b"".join([*map(inner.__getitem__, first), end]) if first else end
 
-        self.known = Remembered(of_chunk, CHUNKS)
+        words = Remembered(of_word, WORDS)
+        self.known = Remembered(lambda chunk: b"".join(map(words.__getitem__, r.pretokens(chunk))), CHUNKS)
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids of the text, packed as 32-bit integers."""
         r, get, out = self.rules, self.known.__getitem__, []
         for part in r.segments(text):
             if part in r.specials:
-                out.append(r.specials[part])
+                out.append(array("i", [r.specials[part]]).tobytes())
             else:
-                out += itertools.chain.from_iterable(map(get, chunks(part)))
-        return out
+                out += map(get, chunks(part))
+        return b"".join(out)
+
+
+def unpacked(packed: bytes) -> list[int]:
+    return array("i", packed).tolist()
+
+
+def id_lists(packed: list[bytes]) -> pa.Array:
+    """Packed ids of several texts as one list column."""
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-def decode(ids: list[int], names: dict[int, str]) -> str:
+class Names(dict):
+    """Token strings by id; an unknown id has none."""
+
+    def __missing__(self, key):
+        return None
+
+
+def decode(ids: list[int], names: Names) -> str:
     """Token strings joined by spaces, as a file without a decoder section asks; unknown ids are left out."""
-    return " ".join([names[i] for i in ids if i in names])
+    found = list(map(names.__getitem__, ids))
+    return " ".join(filter(None, found) if None in found else found)
 
 
 _CODECS: dict[str, Codec] = {}
@@ -82,11 +102,13 @@ def encode_column(docs: DataFrame, vocabulary: str, text: Column) -> Column:
     """Token ids of a text as array<int>; NULL and empty texts give an empty array."""
     sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
-    def per_text():
-        encode = codec(sent.value).encode
-        return lambda value: (encode(value),)
+    @F.arrow_udf("array<int>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = codec(sent.value).encode
+        for batch in batches:
+            yield id_lists([one(t or "") for t in batch.to_pylist()])
 
-    return struct_udf(per_text, [("ids", "array<int>")], "struct<ids: array<int>>")(text)["ids"]
+    return encoded(text)
 
 
 def decode_column(docs: DataFrame, vocabulary: str, ids: Column) -> Column:
@@ -95,7 +117,7 @@ def decode_column(docs: DataFrame, vocabulary: str, ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = rules(sent.value).names
+        names = Names(rules(sent.value).names)
         for batch in batches:
             yield pa.array([decode(v or [], names) for v in batch.to_pylist()], type=pa.string())
 
@@ -111,16 +133,14 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """
     sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
-    def per_text():
-        encode, names = codec(sent.value).encode, rules(sent.value).names
-
-        def both(text: str) -> tuple[list[int], str]:
-            ids = encode(text)
-            return ids, decode(ids, names)
-
-        return both
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one, names = codec(sent.value).encode, Names(rules(sent.value).names)
+        for batch in batches:
+            packed = [one(t or "") for t in batch.to_pylist()]
+            texts = pa.array([decode(unpacked(p), names) for p in packed], pa.string())
+            yield pa.StructArray.from_arrays([id_lists(packed), texts], names=["ids", "decoded"])
 
-    both = struct_udf(per_text, [("ids", "array<int>"), ("decoded", "string")], "struct<ids: array<int>, decoded: string>")
     return docs.select(id_col, *keep, both(F.col(text_col)).alias("coded")).select(id_col, *keep, "coded.ids", "coded.decoded")
 
 

@@ -176,7 +176,8 @@ def chained(scan: DataFrame) -> DataFrame:
     # the holder's own position comes with its row of the same join
     held = seed.join(first, "h")
     held = written(held, "held")
-    where = held.filter("tid = other").groupBy("h").agg(F.min("pos").alias("other_pos"))
+    # written, so that the join below can split a seed that very many texts hold
+    where = written(held.filter("tid = other").groupBy("h").agg(F.min("pos").alias("other_pos")), "holders")
     met = held.filter("tid <> other").join(where, "h")
     by_text = met.groupBy("tid").agg(F.collect_set(F.struct("other", "pos", "other_pos")).alias("m"))  # at most the text's own seeds
 

@@ -32,8 +32,12 @@ def confidence(modules: list[str]) -> int:
     return int(sum(known) / len(known) * 100 + 0.5) if known else 0
 
 
-def assemble(cash: DataFrame, budget: DataFrame, assets: DataFrame, signals: DataFrame, modules: list[str], period: Column) -> DataFrame:
-    """One row per tenant: key metrics of the modules, health, sources, confidence."""
+def assemble(cash: DataFrame, budget: DataFrame, assets: DataFrame, signals: DataFrame, period: Column) -> DataFrame:
+    """One row per tenant: key metrics of the modules, health, sources, confidence.
+
+    Sources and confidence speak of the modules that are joined here and no others.
+    """
+    modules = ["cash", "budget", "assets"]
     b = budget.select("tenant", F.col("budget").alias("total_budget"), F.col("actual").alias("total_actual"), F.col("variance").alias("budget_variance"))
     a = assets.select("tenant", "total_assets", "total_liabilities", "net_worth", "debt_to_asset")
     out = cash.join(b, "tenant", "left").join(a, "tenant", "left").join(health(signals), "tenant", "left")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import spare_name, written
+from tallyframe.llm.common import written
 
 # Fixed values of the contract.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -255,14 +255,15 @@ def span_column(text: Column) -> Column:
     return find(text)
 
 
-def decided(staged: DataFrame, name: str) -> DataFrame:
-    """The frame with only the spans that stay in column ``name``: all base spans, and those the classifier adds.
+def accepted_codes(spans: DataFrame, name: str) -> list[int]:
+    """Codes of column ``name`` that count as personal data, from counts over all rows; one count per code comes to the driver."""
+    counted = spans.select(F.explode(F.col(name)["code"]).alias("code")).groupBy("code").count().collect()
+    return accepted([(r["code"], r["count"]) for r in counted])
 
-    ``staged`` is a written table. Its candidates are counted by code over all documents; at
-    most one count per code comes to the driver, and the accepted codes go back as a literal.
-    """
-    counted = staged.select(F.explode(F.col(name)["code"]).alias("code")).groupBy("code").count().collect()
-    keep = F.array(*[F.lit(c) for c in accepted([(r["code"], r["count"]) for r in counted])]).cast("array<bigint>")
+
+def decided(staged: DataFrame, name: str) -> DataFrame:
+    """The written table with only the spans that stay in column ``name``: all base spans, and those the classifier adds."""
+    keep = F.array(*[F.lit(c) for c in accepted_codes(staged, name)]).cast("array<bigint>")
     return staged.withColumn(name, F.filter(name, lambda s: s["base"] | F.array_contains(keep, s["code"])))
 
 
@@ -287,17 +288,18 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     """``docs`` with every span replaced by its kind in angle brackets; ``length_col``, if there, follows.
 
     Spans of different kinds that overlap are replaced as one, under the kind that starts first.
-    NULL texts stay NULL; all columns, repeated rows and NULL ids stay.
+    NULL texts stay NULL; all columns, repeated rows and NULL ids stay. Candidates are found
+    twice, for the counts and for the texts, rather than writing all texts in between.
     """
-    name = spare_name(docs, "spans")
-    staged = decided(written(docs.withColumn(name, span_column(F.col(text_col))), "spans"), name)
+    keep = frozenset(accepted_codes(docs.select(span_column(F.col(text_col)).alias("found")), "found"))
 
     @F.arrow_udf("string")
-    def replace(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, spans in batches:
-            yield pa.array([masked(t, s or []) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+    def replace(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts = batch.to_pylist()
+            yield pa.array([masked(t, [s for s in spans_of(t) if s["base"] or s["code"] in keep]) for t in texts], pa.string())
 
-    out = staged.withColumn(text_col, replace(F.col(text_col), F.col(name))).drop(name)
+    out = docs.withColumn(text_col, replace(F.col(text_col)))
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return out.select(docs.columns)

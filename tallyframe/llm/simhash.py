@@ -183,10 +183,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share the winning id and fingerprint count as repeats of one document. In a
     component whose ids are all NULL one row stays for each of its smallest fingerprint.
     """
-    fp = spare_name(docs, "fp")
-    staged = written(docs.withColumn(fp, fingerprint_column(F.col(text_col))), "fingerprinted")
-    found = component_of(staged.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("first_id")))
+    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
+    found = component_of(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     best = found.filter(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "component_id")).alias("w"))
     keep = best.select(F.col("w.fp").alias("kept_fp"), F.col("w.component_id").alias("kept_id"))
-    kept = staged.join(keep, (staged[fp] == keep["kept_fp"]) & staged[id_col].eqNullSafe(keep["kept_id"]), "left_semi")
+    # fingerprints are taken again rather than writing all texts a second time
+    fp = spare_name(docs, "fp")
+    again = docs.withColumn(fp, fingerprint_column(F.col(text_col)))
+    kept = again.join(keep, (again[fp] == keep["kept_fp"]) & again[id_col].eqNullSafe(keep["kept_id"]), "left_semi")
     return kept.dropDuplicates([id_col, fp]).drop(fp)

@@ -57,28 +57,30 @@ def distribution(converted: DataFrame) -> DataFrame:
     )
 
 
-def rates_as_of(pairs: DataFrame, rates: DataFrame) -> DataFrame:
-    """Rate valid on each (currency, date).
+def rate_intervals(rates: DataFrame) -> DataFrame:
+    """(currency, start, stop, rate): each dated rate holds until the currency's next one; the last has no stop."""
+    daily = rates.groupBy("currency", F.col("valid_from").alias("start")).agg(F.max("rate").alias("rate"))
+    return daily.withColumn("stop", F.lead("start").over(Window.partitionBy("currency").orderBy("start")))
 
-    ``pairs`` are the distinct pairs, so the scan per currency holds days and rate
-    changes, never transactions.
-    """
-    marks = pairs.select("currency", F.col("date"), F.lit(None).cast("double").alias("rate"), F.lit(1).alias("_k"))
-    known = rates.select("currency", F.col("valid_from").alias("date"), "rate", F.lit(0).alias("_k"))
-    w = Window.partitionBy("currency").orderBy("date", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(known).withColumn("rate", F.last("rate", ignorenulls=True).over(w))
-    return both.where(F.col("_k") == 1).select("currency", "date", "rate")
+
+def rate_pairs(rates: DataFrame, target: str) -> DataFrame:
+    """(currency, start, stop, from_rate, to_rate): intervals in which both the currency and the target have one rate."""
+    own = rate_intervals(rates).select(F.col("currency"), F.col("start").alias("_a"), F.col("stop").alias("_b"), F.col("rate").alias("from_rate"), F.lit(target).alias("_to"))
+    to = rate_intervals(rates.where(F.col("currency") == target)).select(F.col("currency").alias("_to"), F.col("start").alias("_c"), F.col("stop").alias("_d"), F.col("rate").alias("to_rate"))
+    both = own.join(to, "_to").where((F.col("_d").isNull() | (F.col("_a") < F.col("_d"))) & (F.col("_b").isNull() | (F.col("_c") < F.col("_b"))))
+    return both.select(F.col("currency").alias("_currency"), F.greatest("_a", "_c").alias("_start"), F.least("_b", "_d").alias("_stop"), "from_rate", "to_rate")
 
 
 def convert_as_of(df: DataFrame, rates: DataFrame, target: str = "EUR", base: str = "EUR") -> DataFrame:
-    """Conversion with the rate of the transaction date on both sides; a missing currency is ``base``."""
-    valid = based(df, base)
-    pairs = valid.select("currency", "date").distinct()
-    days = pairs.select(F.lit(target).alias("currency"), "date").distinct()
-    from_side = rates_as_of(pairs, rates).withColumnRenamed("rate", "from_rate")
-    to_side = rates_as_of(days, rates).select("date", F.col("rate").alias("to_rate"))
-    both = from_side.join(to_side, "date", "left")
-    return _converted(valid.join(both, ["currency", "date"], "left"), target)
+    """Conversion with the rates of the transaction date on both sides; a missing currency is ``base``.
+
+    Intervals are made from the rates alone, so transactions are read once and join on the
+    currency with a range condition; the optimiser broadcasts the rates by their size.
+    """
+    pairs = rate_pairs(rates, target)
+    within = (F.col("date") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("date") < F.col("_stop")))
+    joined = based(df, base).join(pairs, (F.col("currency") == F.col("_currency")) & within, "left")
+    return _converted(joined.drop("_currency", "_start", "_stop"), target)
 
 
 def exposure(df: DataFrame, base: str = "EUR") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import uuid
 
@@ -49,8 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own under the shared folder; removed when the driver program ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), path)
+    return path
+
+
+def _remove(jvm, configuration, path: str) -> None:
+    """Delete a folder with what it holds, in whatever store it is; at exit nobody can act on a failure."""
+    with contextlib.suppress(Exception):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -171,11 +171,11 @@ def so_category_set(spark, d):
 
 @report(
     "so_concat",
-    f"""WITH {TXN} SELECT tenant, txn_id, CAST(amount AS DOUBLE) AS amount FROM txn""",
+    f"""WITH {TXN} SELECT tenant, txn_id, CAST(abs(amount) AS DOUBLE) AS amount FROM txn""",
 )
 def so_concat(spark, d):
-    """Income rows and sign-flipped expense rows as one set."""
+    """Income rows and sign-flipped expense rows as one set, bound by name although the columns stand in another order."""
     t = transactions(spark, d, "tenant", "txn_id", "amount")
     income = t.where("amount > 0")
-    expenses = t.where("amount <= 0").withColumn("amount", -F.col("amount"))
-    return income.unionByName(expenses.withColumn("amount", -F.col("amount")))
+    expenses = t.where("amount <= 0").select((-F.col("amount")).alias("amount"), "txn_id", "tenant")
+    return income.unionByName(expenses)

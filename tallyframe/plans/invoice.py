@@ -103,9 +103,20 @@ def dj_field_extract(spark, d):
     return out.withColumn("confidence", rounded("confidence", 6))
 
 
-@report("fn_currency_iso", f"WITH {RENDERED} SELECT doc_id, 'EUR' AS currency, CAST(0.9 AS DOUBLE) AS confidence FROM docs")
+# A mark per invoice and the code it must give: shared marks go to the first currency that lists them.
+MARKED = [("€ 5", "EUR"), ("5 $", "USD"), ("pounds", "GBP"), ("yen", "JPY"), ("riyal", "SAR"), ("AED 1", "AED"), ("EGP", "EGP"), ("QAR", "QAR"), ("dinar", "KWD"), ("BHD", "BHD"), ("none", None), ("ريال", "SAR")]
+
+
+@report(
+    "fn_currency_iso",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CASE o_orderkey % {len(MARKED)} {' '.join(f"WHEN {i} THEN '{c or 'EUR'}'" for i, (_, c) in enumerate(MARKED))} END AS currency,
+      CAST(CASE WHEN o_orderkey % {len(MARKED)} = 10 THEN 0.1 ELSE 0.9 END AS DOUBLE) AS confidence FROM orders""",
+)
 def fn_currency_iso(spark, d):
-    return fields.currency_field(rendered_tokens(spark, d))
+    """Heads of all invoices, whose currency line carries one of twelve marks."""
+    head = rendered_tokens(spark, d).where("line_no <= 3")
+    mark = F.get(F.array(*[F.lit(m) for m, _ in MARKED]), F.pmod(F.col("doc_id").cast("bigint"), F.lit(len(MARKED))).cast("int"))
+    return fields.currency_field(head.withColumn("text", F.when(F.col("text") == "Currency EUR", mark).otherwise(F.col("text"))))
 
 
 GROUPS = rf"""lk AS (SELECT *, regexp_matches(text, '[A-Za-z]') AND regexp_matches(text, '\d') AND length(text) > 5 AS lk FROM tok),

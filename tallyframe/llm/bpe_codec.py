@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load, rules
+from tallyframe.llm.common import kept_by_worker
+from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load
 
 #: Chunks, pre-tokens and inner fragments that a worker remembers (about 200 bytes each).
-CHUNKS, WORDS, FRAGMENTS = 400_000, 300_000, 50_000
+CHUNKS, WORDS, FRAGMENTS = 300_000, 200_000, 50_000
 
 
 def inner_pairs(r: Rules) -> frozenset[str]:
@@ -36,7 +37,7 @@ class Codec:
     """Encoder and decoder of one vocabulary, with bounded memory of chunks and fragments."""
 
     def __init__(self, source: str):
-        self.rules = r = rules(source)
+        self.rules = r = Rules(source)
         self.inside = inner_pairs(r)
         ids, inside = r.ids.__getitem__, self.inside
 
@@ -87,15 +88,9 @@ def decode(ids: list[int], names: Names) -> str:
     return " ".join(filter(None, found) if None in found else found)
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(source: str) -> Codec:
     """The worker's codec, made once."""
-    if source not in _CODECS:
-        _CODECS.clear()
-        _CODECS[source] = Codec(source)
-    return _CODECS[source]
+    return kept_by_worker(("codec", source), lambda: Codec(source))
 
 
 def encode_column(docs: DataFrame, vocabulary: str, text: Column) -> Column:
@@ -117,7 +112,7 @@ def decode_column(docs: DataFrame, vocabulary: str, ids: Column) -> Column:
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = Names(rules(sent.value).names)
+        names = Names(codec(sent.value).rules.names)
         for batch in batches:
             yield pa.array([decode(v or [], names) for v in batch.to_pylist()], type=pa.string())
 
@@ -135,7 +130,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one, names = codec(sent.value).encode, Names(rules(sent.value).names)
+        one, names = codec(sent.value).encode, Names(codec(sent.value).rules.names)
         for batch in batches:
             packed = [one(t or "") for t in batch.to_pylist()]
             texts = pa.array([decode(unpacked(p), names) for p in packed], pa.string())

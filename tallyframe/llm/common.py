@@ -36,6 +36,21 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
+_HELD: dict = {}
+
+
+def kept_by_worker(key: tuple, make: Callable):
+    """What a worker keeps between batches and tasks: one object, the last asked for.
+
+    Workers live on from operator to operator; with one place for all of them, what an
+    earlier operator remembered does not add to what the next one needs.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import written
+from tallyframe.llm.common import kept_by_worker, written
 
 #: Words in a block of the shift table.
 BLOCK = 3
@@ -124,9 +124,6 @@ def passes(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> I
     yield held
 
 
-_MACHINES: dict = {}
-
-
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "bench") -> DataFrame:
     """Every row of ``docs`` with all its columns, and ``out_col`` struct<n_words, hits, items>.
 
@@ -149,12 +146,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_co
         @F.arrow_udf(f"struct<{SCHEMA}>")
         def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             pieces = sent.value
-            key = (window, hash(tuple(pieces)))
-            if key not in _MACHINES:
-                _MACHINES.clear()
-                _MACHINES[key] = machines([(n, w.encode("utf-8").split()) for n, w in pieces], window)
+            found_by = kept_by_worker(("machines", window, tuple(pieces)), lambda: machines([(n, w.encode("utf-8").split()) for n, w in pieces], window))
             for texts, before in batches:
-                rows = [search_text(t, *((b["hits"], b["items"]) if b else ([], [])), _MACHINES[key]) for t, b in zip(texts.to_pylist(), before.to_pylist())]
+                rows = [search_text(t, *((b["hits"], b["items"]) if b else ([], [])), found_by) for t, b in zip(texts.to_pylist(), before.to_pylist())]
                 n, hits, items = zip(*rows) if rows else ((), (), ())
                 yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import doc_remainder
+from tallyframe.llm.common import doc_remainder, kept_by_worker
 from tallyframe.llm.word_bpe import Remembered
 
 #: Weights of a model: 2 ** BITS, 1 MB as float32.
@@ -25,7 +25,7 @@ MAX_ROWS, SHARDS = 16_000, 8
 #: Passes over a shard, and the constants of the learner.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 0.02, 0.05
 #: Words that a worker remembers the hashes of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Scale of the features: a text's shares sum to this in each of the two kinds.
 SCALE = 12.0
 
@@ -77,7 +77,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     """FTRL-Proximal over the rows in the given order; weights and bias."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, seen = 0.0, 0.0
-    get = hasher()
+    get = shared_hasher()
     rows = [features(t, get) for t in texts]
     rows = [(*np.unique(at, return_counts=True), v) for at, v in rows]
     for _ in range(EPOCHS):
@@ -121,14 +121,9 @@ class Model:
         return score(text)
 
 
-_HASHERS: list = []
-
-
 def shared_hasher():
     """The worker's remembered hashes."""
-    if not _HASHERS:
-        _HASHERS.append(hasher())
-    return _HASHERS[0]
+    return kept_by_worker(("hasher",), hasher)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:

@@ -10,8 +10,8 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import struct_udf
-from tallyframe.llm.word_bpe import WORD_END, Remembered, chunks, load, rules
+from tallyframe.llm.common import kept_by_worker, struct_udf
+from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load, rules
 
 #: Chunks that a worker remembers (about 100 bytes each).
 REMEMBERED = 400_000
@@ -27,7 +27,7 @@ def proven_single(source: str) -> tuple[str, ...]:
 
 def counter(source: str, single: frozenset[str]):
     """The function from a text to its number of tokens."""
-    r = rules(source)
+    r = Rules(source)
     rest = Remembered(lambda word: len(r.tokens(word)), REMEMBERED)
 
     def of_chunk(chunk: str) -> int:
@@ -42,9 +42,6 @@ def counter(source: str, single: frozenset[str]):
     return count
 
 
-_COUNTERS: dict = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit``, as the tokenizer counts.
 
@@ -57,11 +54,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     sent = docs.sparkSession.sparkContext.broadcast((source, proven_single(source)))
 
     def per_text():
-        key = sent.value[0]
-        if key not in _COUNTERS:
-            _COUNTERS.clear()
-            _COUNTERS[key] = counter(key, frozenset(sent.value[1]))
-        count = _COUNTERS[key]
+        source, single = sent.value
+        count = kept_by_worker(("counter", source), lambda: counter(source, frozenset(single)))
         return lambda text: (len(text.encode("utf-8")), count(text))
 
     counts = struct_udf(per_text, [("n_bytes", "long"), ("n_tokens", "long")], "struct<n_bytes: bigint, n_tokens: bigint>")

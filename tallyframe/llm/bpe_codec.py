@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import kept_by_worker
+from tallyframe.llm.common import kept_by_worker, small_batches
 from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load
 
 #: Chunks, pre-tokens and inner fragments that a worker remembers (about 200 bytes each).
@@ -95,7 +95,7 @@ def codec(source: str) -> Codec:
 
 def encode_column(docs: DataFrame, vocabulary: str, text: Column) -> Column:
     """Token ids of a text as array<int>; NULL and empty texts give an empty array."""
-    sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(load(vocabulary))
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -108,7 +108,7 @@ def encode_column(docs: DataFrame, vocabulary: str, text: Column) -> Column:
 
 def decode_column(docs: DataFrame, vocabulary: str, ids: Column) -> Column:
     """The text of token ids, special tokens included; NULL or empty arrays give the empty text, NULL and unknown ids are left out."""
-    sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(load(vocabulary))
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -126,7 +126,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     decoded text. NULL and repeated ids keep a row each; other columns are not read. An empty
     table gives an empty result. No shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast(load(vocabulary))
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

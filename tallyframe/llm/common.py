@@ -36,6 +36,24 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
+#: Rows and bytes of texts that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batches to a size for whole texts; smaller settings stay.
+
+    The defaults suit rows of a few numbers. Ten thousand texts with all that an operator
+    makes of them are hundreds of MB in every worker.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+    return spark
+
+
 _HELD: dict = {}
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import kept_by_worker, written
+from tallyframe.llm.common import kept_by_worker, small_batches, written
 
 #: Words in a block of the shift table.
 BLOCK = 3
@@ -136,7 +136,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_co
     The benchmark is a stated query set: it goes to the workers in passes of ``PASS_BYTES``;
     a benchmark within one pass costs one scan of the documents and no shuffle.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     out = docs.withColumn(out_col, F.lit(None).cast(f"struct<{SCHEMA}>"))
     for k, held in enumerate(passes(benchmark, window, item_col, item_text_col)):
         if k:  # a further pass starts from what the earlier ones have found

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import written
+from tallyframe.llm.common import small_batches, written
 from tallyframe.llm.decontaminate import united, words_of
 
 #: Words in a k-mer, k-mers in a window: equal runs of KMER + WINDOW - 1 words always share a seed.
@@ -55,6 +55,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     A task gives words and seeds of a text once, so copies add one row each and no more.
     """
+    small_batches(docs.sparkSession)
     names = ["tid", "n", "words", "h", "pos"]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 

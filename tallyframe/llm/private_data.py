@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import written
+from tallyframe.llm.common import small_batches, written
 
 # Fixed values of the contract.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -280,6 +280,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows and NULL ids keep a row each; only id and text are read, and an empty table
     gives an empty result. An added span never overlaps a base span.
     """
+    small_batches(docs.sparkSession)
     staged = written(docs.select(F.col(id_col), span_column(F.col(text_col)).alias("found")), "spans")
     return decided(staged, "found").withColumn("described", described(F.col("found")))
 
@@ -291,6 +292,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     NULL texts stay NULL; all columns, repeated rows and NULL ids stay. Candidates are found
     twice, for the counts and for the texts, rather than writing all texts in between.
     """
+    small_batches(docs.sparkSession)
     keep = frozenset(accepted_codes(docs.select(span_column(F.col(text_col)).alias("found")), "found"))
 
     @F.arrow_udf("string")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import doc_remainder, kept_by_worker
+from tallyframe.llm.common import doc_remainder, kept_by_worker, small_batches
 from tallyframe.llm.word_bpe import Remembered
 
 #: Weights of a model: 2 ** BITS, 1 MB as float32.
@@ -106,7 +106,7 @@ class Model:
 
     def column(self, docs: DataFrame, text: Column) -> Column:
         """Score from 0 to 1; NULL and empty texts get the score of the bias alone."""
-        sent = docs.sparkSession.sparkContext.broadcast((self.weights, self.bias))
+        sent = small_batches(docs.sparkSession).sparkContext.broadcast((self.weights, self.bias))
 
         @F.arrow_udf("double")
         def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

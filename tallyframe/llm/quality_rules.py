@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import ARROW, doc_remainder, written
+from tallyframe.llm.common import ARROW, doc_remainder, small_batches, written
 
 # Fixed values of the contract.
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
@@ -81,6 +81,7 @@ def statistics(text: str | None) -> tuple:
 
 def stats_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, base counts, ``features`` array), written to the shared folder: rules are learned and applied on it."""
+    small_batches(docs.sparkSession)
     kinds = [ARROW["long"]] * len(BASE) + [pa.list_(pa.float64())]
 
     @F.arrow_udf("struct<" + ", ".join(f"{c}: bigint" for c in BASE) + ", features: array<double>>")

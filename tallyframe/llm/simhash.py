@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import spare_name, written
+from tallyframe.llm.common import small_batches, spare_name, written
 from tallyframe.llm.components import components
 
 #: Words in a shingle, seed of its hash, differing bits of a link.
@@ -172,6 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never names a component unless all its members have none. Repeated rows keep a row each;
     only id and text are read; an empty table gives an empty result. Ids must be of one ordered type.
     """
+    small_batches(docs.sparkSession)
     pairs = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
     found = component_of(pairs.groupBy("fp").agg(F.min("id").alias("first_id")))
     return pairs.join(found.select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -183,6 +184,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that share the winning id and fingerprint count as repeats of one document. In a
     component whose ids are all NULL one row stays for each of its smallest fingerprint.
     """
+    small_batches(docs.sparkSession)
     prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
     found = component_of(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     best = found.filter(F.col("first_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "component_id")).alias("w"))

@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import kept_by_worker, struct_udf
+from tallyframe.llm.common import kept_by_worker, small_batches, struct_udf
 from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load, rules
 
 #: Chunks that a worker remembers (about 100 bytes each).
@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     clash. An empty table gives an empty result.
     """
     source = load(vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((source, proven_single(source)))
+    sent = small_batches(docs.sparkSession).sparkContext.broadcast((source, proven_single(source)))
 
     def per_text():
         source, single = sent.value

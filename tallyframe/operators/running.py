@@ -26,9 +26,11 @@ def running_total(
     block = keys + levels[:-1]
     inner = Window.partitionBy(*block).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("_v", value.cast(kind))
-    rows = rows.withColumn("_run", F.sum("_v").over(inner))
+    placed = rows.withColumn("_run", F.sum("_v").over(inner))
     if len(levels) == 1:
-        return rows.withColumn(out, F.col("_run").cast(kind)).drop("_v", "_run")
+        return placed.withColumn(out, F.col("_run").cast(kind)).drop("_v", "_run")
+    # raw rows are summed once, by block; coarser levels sum the block sums
+    finest = rows.groupBy(*block).agg(F.sum("_v").cast(kind).alias("_s"))
     offsets = None
     for depth in range(len(levels) - 1):
         group = keys + levels[: depth + 1]
@@ -37,13 +39,8 @@ def running_total(
             .orderBy(levels[depth])
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        sums = (
-            df.withColumn("_v", value.cast(kind))
-            .groupBy(*group)
-            .agg(F.sum("_v").alias("_s"))
-            .withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0).cast(kind)))
-            .drop("_s")
-        )
+        level = finest if group == block else finest.groupBy(*group).agg(F.sum("_s").cast(kind).alias("_s"))
+        sums = level.withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0)).cast(kind)).drop("_s")
         if offsets is None:
             offsets = sums
         else:
@@ -53,8 +50,8 @@ def running_total(
             for c in above:
                 finer = finer.drop(offsets[c])
             offsets = finer.withColumn("_o", F.col("_o") + F.col("_d")).drop("_d")
-    match = [rows[c].eqNullSafe(offsets[c]) for c in block]
-    joined = rows.join(offsets, match, "inner")
+    match = [placed[c].eqNullSafe(offsets[c]) for c in block]
+    joined = placed.join(offsets, match, "inner")
     for c in block:
         joined = joined.drop(offsets[c])
     return joined.withColumn(out, (F.col("_run") + F.col("_o")).cast(kind)).drop("_v", "_run", "_o")

@@ -18,7 +18,7 @@ from tallyframe.llm.common import kept_by_worker, small_batches
 from tallyframe.llm.word_bpe import WORD_END, Remembered, Rules, chunks, load
 
 #: Chunks, pre-tokens and inner fragments that a worker remembers (about 200 bytes each).
-CHUNKS, WORDS, FRAGMENTS = 300_000, 200_000, 50_000
+CHUNKS, WORDS, FRAGMENTS = 200_000, 150_000, 20_000
 
 
 def inner_pairs(r: Rules) -> frozenset[str]:

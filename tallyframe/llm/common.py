@@ -37,7 +37,7 @@ def doc_remainder(doc_id: Column, modulus: int) -> Column:
 
 
 #: Rows and bytes of texts that a Python worker gets at once.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

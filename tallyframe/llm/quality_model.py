@@ -21,11 +21,11 @@ from tallyframe.llm.word_bpe import Remembered
 #: Weights of a model: 2 ** BITS, 1 MB as float32.
 BITS = 18
 #: Labelled rows that training reads at most, and the shards they are trained in.
-MAX_ROWS, SHARDS = 16_000, 8
+MAX_ROWS, SHARDS = 16_000, 16
 #: Passes over a shard, and the constants of the learner.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 0.02, 0.05
 #: Words that a worker remembers the hashes of.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Scale of the features: a text's shares sum to this in each of the two kinds.
 SCALE = 12.0
 
@@ -69,6 +69,12 @@ def features(text: str, get) -> tuple[np.ndarray, float]:
     return at.astype(np.int64), SCALE / max(len(at), 1) * 2
 
 
+def sparse(at: np.ndarray, value: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct positions and their values, 8 bytes each."""
+    distinct, counts = np.unique(at.astype(np.int32), return_counts=True)
+    return distinct, (counts * value).astype(np.float32)
+
+
 def probability(margin: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30))))
 
@@ -78,11 +84,9 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, seen = 0.0, 0.0
     get = shared_hasher()
-    rows = [features(t, get) for t in texts]
-    rows = [(*np.unique(at, return_counts=True), v) for at, v in rows]
+    rows = [sparse(*features(t, get)) for t in texts]
     for _ in range(EPOCHS):
-        for (at, counts, value), label in zip(rows, labels):
-            x = counts * value
+        for (at, x), label in zip(rows, labels):
             w = weights_of(z[at], n[at])
             g = probability(w @ x + bias) - label
             seen += g * g

@@ -20,8 +20,8 @@ from tallyframe.llm.word_bpe import Remembered
 
 #: Weights of a model: 2 ** BITS, 1 MB as float32.
 BITS = 18
-#: Labelled rows that training reads at most, and the shards they are trained in.
-MAX_ROWS, SHARDS = 16_000, 16
+#: Labelled rows that training reads at most, and about how many make a shard.
+MAX_ROWS, SHARD_ROWS = 16_000, 1_000
 #: Passes over a shard, and the constants of the learner.
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 0.02, 0.05
 #: Words that a worker remembers the hashes of.
@@ -143,15 +143,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, keep: Column, id_col: st
         .orderBy("place", "id").limit(MAX_ROWS)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shards = -(-ids.count() // SHARD_ROWS) or 1
     # the ids are at most MAX_ROWS rows of three numbers
     rows = texts.join(F.broadcast(ids), "id").groupBy("id", "label", "place").agg(F.min("text").alias("text"))
-    return rows.select(F.pmod("place", F.lit(SHARDS)).cast("int").alias("shard"), "place", F.coalesce("text", F.lit("")).alias("text"), "label")
+    return rows.select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "place", F.coalesce("text", F.lit("")).alias("text"), "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Train on the labelled rows whose ``id`` satisfies ``keep`` (a condition on the column ``id``).
 
-    Reads at most ``MAX_ROWS`` labelled texts, whole; each of the ``SHARDS`` is trained in its
+    Reads at most ``MAX_ROWS`` labelled texts, whole; each shard is trained in its
     own task in hash order, so the model depends on the rows alone. Only shard weights (1 MB
     each) come to the driver. Without labelled rows all scores are 0.5.
     """

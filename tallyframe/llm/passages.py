@@ -4,7 +4,8 @@ Texts with the same words are one text from here on. Of each text's k-mers of wo
 minimum of every window is a seed. A seed that several texts hold is matched with its first
 holder only, so matches grow with the seeds, not with pairs. Per text and holder the matches
 are chained in order under a gap cost, with a Fenwick tree for the best predecessor, and each
-chain is aligned word by word, between its seeds and beyond its ends.
+chain is aligned word by word, between its seeds and beyond its ends. A chain that does not
+agree enough as a whole is split, and its parts are judged by themselves.
 """
 
 from collections import defaultdict
@@ -126,19 +127,20 @@ def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence; row by row, in numpy."""
+    """Length of the longest common subsequence; a bit per word of one text, a step per word of the other."""
     if len(a) == len(b) and (a == b).all():
         return len(a)
-    if len(a) < len(b):
-        a, b = b, a
-    if not len(b):
+    if not len(a) or not len(b):
         return 0
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        step = row.copy()
-        step[1:] = np.maximum(row[1:], row[:-1] + (b == x))
-        row = np.maximum.accumulate(step)
-    return int(row[-1])
+    places: dict[int, int] = defaultdict(int)
+    for i, x in enumerate(b.tolist()):
+        places[x] |= 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a.tolist():
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -154,21 +156,53 @@ def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, int(equal[:best].sum())
 
 
-def aligned(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Start and end in both texts and the number of equal words. Chain positions count from the arrays' starts."""
-    (a0, b0), (a1, b1) = chain[0], chain[-1]
-    equal, x, y = 0, a0, b0
-    for p, q in [*chain[1:], (a1 + KMER, b1 + KMER)]:
-        equal += common_words(a[x:p], b[y:q])
-        x, y = p, q
-    left, same_left = extended(a[:a0][::-1], b[:b0][::-1])
-    right, same_right = extended(a[x:], b[y:])
-    return a0 - left, x + right, b0 - left, y + right, equal + same_left + same_right
+def aligned(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Passages of a chain: start and end in both texts and the number of equal words. Chain positions count from the arrays' starts.
+
+    The whole chain is one passage if enough of its words agree. Otherwise the longest run of
+    its seeds that makes a passage is one, and so on to the left and right of it.
+    """
+    at, to = np.array(chain).T
+    links = [common_words(a[p:r], b[q:s]) for (p, q), (r, s) in zip(chain, chain[1:])]
+    before = np.concatenate(([0], np.cumsum(links, dtype=np.int64)))
+
+    def ends(js: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return (np.array([extended(a[: at[j]][::-1], b[: to[j]][::-1]) for j in js]).T, np.array([extended(a[at[j] + KMER :], b[to[j] + KMER :]) for j in js]).T)
+
+    last = len(chain) - 1
+    (left, _), (_, right) = (ends([0]), ends([last]))
+    whole = (
+        int(at[0] - left[0, 0]), int(at[last] + KMER + right[0, 0]), int(to[0] - left[0, 0]), int(to[last] + KMER + right[0, 0]),
+        int(before[last] + KMER + left[1, 0] + right[1, 0]),
+    )
+    longer = max(whole[1] - whole[0], whole[3] - whole[2])
+    if whole[4] >= IDENTITY * longer:
+        return [whole] if longer >= MIN_WORDS else []
+    left, right = ends(list(range(last + 1)))
+    start, other_start, stop, other_stop = at - left[0], to - left[0], at + KMER + right[0], to + KMER + right[0]
+    out, open_runs = [], [(0, last + 1)]
+    while open_runs:
+        low, high = open_runs.pop()
+        best = (0, 0, 0, 0)
+        for i in range(low, high):
+            size = np.maximum(stop[i:high] - start[i], other_stop[i:high] - other_start[i])
+            equal = before[i:high] - before[i] + KMER + left[1, i] + right[1, i:high]
+            size = np.where((size >= MIN_WORDS) & (equal >= IDENTITY * size), size, 0)
+            j = int(size.argmax())
+            best = max(best, (int(size[j]), -i, i + j, int(equal[j])))
+        if best[0]:
+            i, j = -best[1], best[2]
+            out.append((int(start[i]), int(stop[j]), int(other_start[i]), int(other_stop[j]), best[3]))
+            open_runs += [(low, i), (j + 1, high)]
+    return sorted(out)
 
 
 CHAIN = "array<struct<other: bigint, at: array<int>, other_at: array<int>>>"
 CHAIN_ARROW = pa.list_(pa.struct([("other", pa.int64()), ("at", pa.list_(pa.int32())), ("other_at", pa.list_(pa.int32()))]))
 
+PASSAGE = "array<struct<start: int, end: int, other_start: int, other_end: int, equal: int>>"
+PASSAGE_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "other_start", "other_end", "equal")]))
+
 
 def chained(scan: DataFrame) -> DataFrame:
     """(tid, other, at, other_at): chains of seed positions between a text and the first holder of its seeds."""
@@ -224,20 +258,18 @@ def passages(scan: DataFrame) -> DataFrame:
         F.max("at").alias("at"), F.max("other_at").alias("other_at"),
     )
 
-    @F.arrow_udf("struct<start: int, end: int, other_start: int, other_end: int, equal: int>")
+    @F.arrow_udf(PASSAGE)
     def align(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
             rows = []
             for low0, cut0, low1, cut1, at, other_at in zip(*(c.to_pylist() for c in columns)):
                 a, b = np.frombuffer(cut0, "<u2"), np.frombuffer(cut1, "<u2")
-                s, e, os, oe, equal = aligned([(p - low0, q - low1) for p, q in zip(at, other_at)], a, b)
-                rows.append((s + low0, e + low0, os + low1, oe + low1, equal))
-            parts = list(zip(*rows)) or [[]] * 5
-            yield pa.StructArray.from_arrays([pa.array(p, pa.int32()) for p in parts], names=["start", "end", "other_start", "other_end", "equal"])
-
-    out = sides.select("tid", "other", align("low0", "cut0", "low1", "cut1", "at", "other_at").alias("p")).select("tid", "other", "p.*")
-    longer = F.greatest(F.col("end") - F.col("start"), F.col("other_end") - F.col("other_start"))
-    return written(out.filter((longer >= MIN_WORDS) & (F.col("equal") >= IDENTITY * longer)), "passages")
+                found = aligned([(p - low0, q - low1) for p, q in zip(at, other_at)], a, b)
+                rows.append([{"start": s + low0, "end": e + low0, "other_start": os + low1, "other_end": oe + low1, "equal": equal} for s, e, os, oe, equal in found])
+            yield pa.array(rows, PASSAGE_ARROW)
+
+    out = sides.select("tid", "other", F.explode(align("low0", "cut0", "low1", "cut1", "at", "other_at")).alias("p")).select("tid", "other", "p.*")
+    return written(out, "passages")
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

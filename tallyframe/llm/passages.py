@@ -2,7 +2,8 @@
 
 Texts with the same words are one text from here on. Of each text's k-mers of words the
 minimum of every window is a seed. A seed that several texts hold is matched with its first
-holder only, so matches grow with the seeds, not with pairs. Per text and holder the matches
+holder only, so matches grow with the seeds, not with pairs; where the holder itself repeats it, with
+its first place there. Per text and holder the matches
 are chained in order under a gap cost, with a Fenwick tree for the best predecessor, and each
 chain is aligned word by word, between its seeds and beyond its ends. A chain that does not
 agree enough as a whole is split, and its parts are judged by themselves.
@@ -35,7 +36,7 @@ ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first positions of the minimal k-mers of all windows, in order of position."""
+    """Hashes and positions of the minimal k-mers of all windows, every occurrence, in order of position."""
     m = len(hashes) - KMER + 1
     if m < 1:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -46,9 +47,7 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = min(WINDOW, m)
     views = np.lib.stride_tricks.sliding_window_view(kmers, width)
     at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-    found, first = np.unique(kmers[at], return_index=True)
-    order = np.argsort(first)
-    return found[order], at[first[order]]
+    return kmers[at], at
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,15 +204,16 @@ PASSAGE_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "o
 
 
 def chained(scan: DataFrame) -> DataFrame:
-    """(tid, other, at, other_at): chains of seed positions between a text and the first holder of its seeds."""
+    """(tid, other, at, other_at): chains of seed positions between a text and the first holder of its seeds, which may be the text itself."""
     seed = scan.filter("h is not null").select("tid", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("tid", "s.h", "s.pos")
-    first = seed.groupBy("h").agg(F.min("tid").alias("other"), F.max("tid").alias("last")).filter("other < last").select("h", "other")
+    # shared between texts, or held twice by the only holder
+    first = seed.groupBy("h").agg(F.min("tid").alias("other"), F.max("tid").alias("last"), F.min("pos").alias("low"), F.max("pos").alias("high")).filter("other < last or low < high").select("h", "other")
     # the holder's own position comes with its row of the same join
     held = seed.join(first, "h")
     held = written(held, "held")
     # written, so that the join below can split a seed that very many texts hold
     where = written(held.filter("tid = other").groupBy("h").agg(F.min("pos").alias("other_pos")), "holders")
-    met = held.filter("tid <> other").join(where, "h")
+    met = held.join(where, "h").filter("tid <> other or pos <> other_pos")
     by_text = met.groupBy("tid").agg(F.collect_set(F.struct("other", "pos", "other_pos")).alias("m"))  # at most the text's own seeds
 
     @F.arrow_udf(CHAIN)

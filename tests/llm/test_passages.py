@@ -37,3 +37,14 @@ def test_two_passages_of_one_pair(spark):
     got = found_spans(spark, texts)
     for i, spans in enumerate(planted):
         assert all(len(got[i].intersection(span)) >= 0.9 * len(span) for span in spans), (i, [len(got[i].intersection(s)) for s in spans])
+
+
+def test_passage_repeated_within_a_text(spark):
+    """Every place of a passage is reported: again in its own text, alone or beside another holder."""
+    _, some = zipf(2)
+    alone, both = some(80), some(80)
+    texts = [some(50) + alone + some(150) + alone + some(150) + alone, some(40) + both + some(160) + both + some(30), some(70) + both, some(300)]
+    got = found_spans(spark, texts)
+    planted = [(0, 50), (0, 280), (0, 510), (1, 40), (1, 280), (2, 70)]
+    assert [len(got[i].intersection(range(at, at + 80))) >= 72 for i, at in planted] == [True] * 6
+    assert not got[3]

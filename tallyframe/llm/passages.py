@@ -3,7 +3,9 @@
 Texts with the same words are one text from here on. Of each text's k-mers of words the
 minimum of every window is a seed. A seed that several texts hold is matched with its first
 holder only, so matches grow with the seeds, not with pairs; where the holder itself repeats it, with
-its first place there. Per text and holder the matches
+its first place there. Pairs of neighbouring shared seeds, and all runs of ``MIN_WORDS`` words
+that lie in shared seeds, are matched with their own first holders, so that a passage whose
+seeds have different first holders still meets a text that holds all of it. Per text and holder the matches
 are chained in order under a gap cost, with a Fenwick tree for the best predecessor, and each
 chain is aligned word by word, between its seeds and beyond its ends. A chain that does not
 agree enough as a whole is split, and its parts are judged by themselves.
@@ -29,6 +31,9 @@ MIN_WORDS, IDENTITY = 50, 0.8
 GAP, SEEDS = 0.1, 2
 #: Words beyond a chain's ends that alignment may take in, cost of a differing word, loss at which it stops.
 REACH, MISMATCH, DROP = 64, 2, 8
+#: Bits of a packed place that hold its length in words, below its position.
+SPAN = 20
+LOW = (1 << SPAN) - 1
 #: Texts that a task remembers to have emitted.
 EMITTED = 1_000_000
 
@@ -203,37 +208,127 @@ PASSAGE = "array<struct<start: int, end: int, other_start: int, other_end: int,
 PASSAGE_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "other_start", "other_end", "equal")]))
 
 
-def chained(scan: DataFrame) -> DataFrame:
-    """(tid, other, at, other_at): chains of seed positions between a text and the first holder of its seeds, which may be the text itself."""
-    seed = scan.filter("h is not null").select("tid", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("tid", "s.h", "s.pos")
-    # shared between texts, or held twice by the only holder
-    first = seed.groupBy("h").agg(F.min("tid").alias("other"), F.max("tid").alias("last"), F.min("pos").alias("low"), F.max("pos").alias("high")).filter("other < last or low < high").select("h", "other")
+def met(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of (h, tid, at): the rows of shared keys with their first holder (``other``), and from these (tid, other, at, other_at).
+
+    A key is shared between texts, or held twice by its only holder, which may so meet itself.
+    """
+    first = keys.groupBy("h").agg(F.min("tid").alias("other"), F.max("tid").alias("last"), F.min("at").alias("low"), F.max("at").alias("high")).filter("other < last or low < high").select("h", "other")
     # the holder's own position comes with its row of the same join
-    held = seed.join(first, "h")
-    held = written(held, "held")
-    # written, so that the join below can split a seed that very many texts hold
-    where = written(held.filter("tid = other").groupBy("h").agg(F.min("pos").alias("other_pos")), "holders")
-    met = held.join(where, "h").filter("tid <> other or pos <> other_pos")
-    by_text = met.groupBy("tid").agg(F.collect_set(F.struct("other", "pos", "other_pos")).alias("m"))  # at most the text's own seeds
+    held = written(keys.join(first, "h"), f"held-{name}")
+    # written, so that the join below can split a key that very many texts hold
+    where = written(held.filter("tid = other").groupBy("h").agg(F.min("at").alias("other_at")), f"holders-{name}")
+    return held, held.join(where, "h").filter("tid <> other or at <> other_at").select("tid", "other", "at", "other_at")
+
+
+def longer_keys(at: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and packed places of what shared seeds of a text make: neighbouring pairs, and runs of ``MIN_WORDS`` words.
+
+    A run that another text holds too has a shared seed in any ``WINDOW`` of its k-mers, so only such runs have a key.
+    """
+    near = np.flatnonzero(np.diff(at) < MIN_WORDS - KMER)
+    pairs = (h[near] * ODD + h[near + 1]) * MIX
+    keys, places = [pairs ^ (pairs >> np.uint64(32))], [(at[near] << SPAN) | (at[near + 1] - at[near] + KMER)]
+    mixed = (words.astype(np.uint64) + np.uint64(1)) * MIX
+    mixed ^= mixed >> np.uint64(29)
+    cut = np.flatnonzero(np.diff(at) > WINDOW)
+    for u, v in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist()):
+        low, high = max(u - WINDOW + 1, 0), min(v + WINDOW + KMER - 1, len(words))  # words that such runs may take in
+        m = high - low - MIN_WORDS + 1
+        if m < 1:
+            continue
+        run = mixed[low : low + m].copy()
+        for k in range(1, MIN_WORDS):
+            run = run * ODD + mixed[low + k : low + k + m]
+        run *= MIX
+        keys.append(run ^ (run >> np.uint64(31)))
+        places.append(((low + np.arange(m)) << SPAN) | MIN_WORDS)
+    return np.concatenate(keys).view(np.int64), np.concatenate(places)
+
+
+def points(at: np.ndarray, other_at: np.ndarray) -> list[tuple[int, int]]:
+    """Matching positions of a text and one holder, from packed places.
+
+    Runs that follow each other are joined, and of these as few are taken as cover the same
+    words. A run with seeds of its own needs no more positions; another one has one every 2 * KMER words.
+    """
+    p, q, span, other_span = at >> SPAN, other_at >> SPAN, at & LOW, other_at & LOW
+    full = span == MIN_WORDS
+    out = set(zip(p[~full].tolist(), q[~full].tolist()))
+    out.update(zip((p + span - KMER)[~full].tolist(), (q + other_span - KMER)[~full].tolist()))
+    if full.any():
+        p, q = p[full], q[full]
+        order = np.lexsort((p, q - p))
+        p, q = p[order], q[order]
+        cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
+        starts, lengths = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(p)])))
+        runs = sorted((int(p[i]), int(q[i]), int(p[i] + n - 1 + MIN_WORDS)) for i, n in zip(starts.tolist(), lengths.tolist()))
+        own = np.array(sorted(out), np.int64).reshape(-1, 2)
+        covered, k = 0, 0
+        while k < len(runs):
+            covered = max(covered, runs[k][0])
+            best = runs[k]
+            while k < len(runs) and runs[k][0] <= covered:
+                best, k = max(best, runs[k], key=lambda r: r[2]), k + 1
+            if best[2] <= covered:
+                continue
+            x, y, stop = best
+            covered = stop
+            if ((own[:, 1] - own[:, 0] == y - x) & (own[:, 0] >= x) & (own[:, 0] <= stop - KMER)).sum() * 2 * KMER < stop - x:
+                out.update((x + i, y + i) for i in [*range(0, stop - x - KMER, 2 * KMER), stop - x - KMER])
+    return sorted(out)
+
+
+def chained(scan: DataFrame) -> DataFrame:
+    """(tid, other, at, other_at): chains of positions between a text and the first holder of its seeds, pairs of seeds or runs."""
+    seed = scan.filter("h is not null").select("tid", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("tid", "s.h", F.shiftleft(F.col("s.pos").cast("long"), SPAN).bitwiseOR(F.lit(KMER)).alias("at"))
+    held, by_seed = met(seed, "seeds")
+
+    @F.arrow_udf("struct<h: array<bigint>, at: array<bigint>>")
+    def lengthen(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for shared, words in batches:
+            rows = []
+            for i in range(len(shared)):
+                s = shared[i].values
+                at, h = s.field("at").to_numpy(), s.field("h").to_numpy()
+                order = np.argsort(at)
+                rows.append(longer_keys(at[order] >> SPAN, h[order].view(np.uint64), np.frombuffer(words[i].as_py(), "<u2")))
+            parts = list(zip(*rows)) or [[]] * 2
+            yield pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int64())) for p in parts], names=["h", "at"])
+
+    shared = held.groupBy("tid").agg(F.collect_set(F.struct("at", "h")).alias("shared"))  # at most the text's own seeds
+    keys = shared.join(words_of_texts(scan), "tid").select("tid", lengthen("shared", "words").alias("k"))
+    keys = keys.select("tid", F.explode(F.arrays_zip(F.col("k.h").alias("h"), F.col("k.at").alias("at"))).alias("k")).select("tid", "k.h", "k.at")
+    _, by_run = met(written(keys, "longer"), "longer")
+    by_text = by_seed.unionByName(by_run).groupBy("tid").agg(F.collect_set(F.struct("other", "at", "other_at")).alias("m"))
 
     @F.arrow_udf(CHAIN)
     def chain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for matches in batch.to_pylist():
-                by_other = defaultdict(list)
-                for m in matches:
-                    by_other[m["other"]].append((m["pos"], m["other_pos"]))
-                out.append([
-                    {"other": other, "at": [p for p, _ in c], "other_at": [q for _, q in c]}
-                    for other, pairs in sorted(by_other.items()) if len(pairs) >= SEEDS for c in chains(pairs)
-                ])
+            for i in range(len(batch)):
+                m = batch[i].values
+                other, at, other_at = (m.field(c).to_numpy() for c in ("other", "at", "other_at"))
+                order = np.argsort(other, kind="stable")
+                other, at, other_at = other[order], at[order], other_at[order]
+                cut = np.concatenate(([0], np.flatnonzero(np.diff(other)) + 1, [len(other)])).tolist()
+                rows = []
+                for low, high in zip(cut, cut[1:]):
+                    if high - low < SEEDS and at[low] & LOW == KMER:
+                        continue
+                    rows += [{"other": int(other[low]), "at": [p for p, _ in c], "other_at": [q for _, q in c]} for c in chains(points(at[low:high], other_at[low:high]))]
+                out.append(rows)
             yield pa.array(out, CHAIN_ARROW)
 
     found = by_text.select("tid", F.explode(chain(F.col("m"))).alias("c")).select("tid", "c.*")
     return written(found, "chains")
 
 
+def words_of_texts(scan: DataFrame) -> DataFrame:
+    """(tid, words): a row per text."""
+    return scan.filter("words is not null").groupBy("tid").agg(F.first("words").alias("words"))
+
+
 def passages(scan: DataFrame) -> DataFrame:
     """(tid, start, end, other, other_start, other_end, equal): aligned chains that make passages."""
     found = chained(scan)
@@ -247,7 +342,7 @@ def passages(scan: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("tid").alias("of"), F.col("first").alias("a"), F.col("last").alias("b")),
         F.struct(F.lit(1).alias("side"), F.col("other").alias("of"), F.col("other_first").alias("a"), F.col("other_last").alias("b")),
     )).alias("x")).select(*key, "x.*", F.when(F.col("x.side") == 0, F.col("at")).alias("at"), F.when(F.col("x.side") == 0, F.col("other_at")).alias("other_at"))
-    words = scan.filter("words is not null").groupBy(F.col("tid").alias("of")).agg(F.first("words").alias("words"))
+    words = words_of_texts(scan).withColumnRenamed("tid", "of")
     low = F.greatest(F.col("a") - REACH, F.lit(0))
     cut = asked.join(words, "of").select(
         *key, "side", "at", "other_at", low.alias("low"),

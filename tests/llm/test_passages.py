@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from tallyframe.llm import passages
 
 
@@ -48,3 +46,23 @@ def test_passage_repeated_within_a_text(spark):
     planted = [(0, 50), (0, 280), (0, 510), (1, 40), (1, 280), (2, 70)]
     assert [len(got[i].intersection(range(at, at + 80))) >= 72 for i, at in planted] == [True] * 6
     assert not got[3]
+
+
+def test_seeds_with_other_first_holders(spark):
+    """Stock sentences stand singly in many other texts; the two texts that share them in a row still meet."""
+    rng, some = zipf(3)
+    texts, planted = [], []
+    for n, sentence in ((60, 20), (90, 20), (60, 30), (90, 30)):
+        for _ in range(6):
+            parts = [some(sentence) for _ in range(n // sentence)]
+            for part in parts:
+                for _ in range(4):  # one of them has a smaller hash than both, nearly always
+                    texts.append(some(30) + part + some(30))
+            passage = [w for part in parts for w in part]
+            for _ in range(2):
+                planted.append((len(texts), len(passage)))
+                texts.append(some(25) + passage + some(25))
+    got = found_spans(spark, texts)
+    missed = [i for i, n in planted if len(got[i].intersection(range(25, 25 + n))) < 0.9 * n]
+    assert not missed
+    assert all(not got[i] for i in set(range(len(texts))) - {i for i, _ in planted})

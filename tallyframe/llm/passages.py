@@ -24,7 +24,7 @@ from tallyframe.llm.common import small_batches, written
 from tallyframe.llm.decontaminate import united, words_of
 
 #: Words in a k-mer, k-mers in a window: equal runs of KMER + WINDOW - 1 words always share a seed.
-KMER, WINDOW = 5, 16
+KMER, WINDOW = 5, 6
 #: Least words of a passage, least share of words that agree.
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Cost of a word of gap (a seed is worth KMER), seeds a chain needs.
@@ -160,10 +160,23 @@ def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return best, int(equal[:best].sum())
 
 
+def stretched(size: int, equal: int, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int] | None:
+    """Words to take in before and after ``size`` words, and all equal ones then, so that they make a passage that ends in equal words and agrees best."""
+    left, right = (np.concatenate(([0], np.flatnonzero(a == b) + 1)) for a, b in (before, after))
+    if equal + len(left) + len(right) - 2 < IDENTITY * MIN_WORDS:
+        return None
+    sizes = size + left[:, None] + right
+    same = equal + np.arange(len(left))[:, None] + np.arange(len(right))
+    over = np.where(sizes >= MIN_WORDS, same - IDENTITY * sizes, -1.0)
+    i, j = np.unravel_index(int(over.argmax()), over.shape)
+    return (int(left[i]), int(right[j]), int(same[i, j])) if over[i, j] > -1e-9 else None
+
+
 def aligned(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Passages of a chain: start and end in both texts and the number of equal words. Chain positions count from the arrays' starts.
 
-    The whole chain is one passage if enough of its words agree. Otherwise the longest run of
+    The whole chain is one passage if enough of its words agree; one of too few words takes in
+    more beyond its ends while enough agree. Otherwise the longest run of
     its seeds that makes a passage is one, and so on to the left and right of it.
     """
     at, to = np.array(chain).T
@@ -180,8 +193,14 @@ def aligned(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[
         int(before[last] + KMER + left[1, 0] + right[1, 0]),
     )
     longer = max(whole[1] - whole[0], whole[3] - whole[2])
-    if whole[4] >= IDENTITY * longer:
-        return [whole] if longer >= MIN_WORDS else []
+    if whole[4] >= IDENTITY * longer and longer >= MIN_WORDS:
+        return [whole]
+    if longer < MIN_WORDS:  # ends with edits, at which ``extended`` stops
+        (p, q), (r, s) = chain[0], chain[-1]
+        n, m = min(p, q, REACH), min(len(a) - r - KMER, len(b) - s - KMER, REACH)
+        x, y = r + KMER, s + KMER
+        more = stretched(max(x - p, y - q), int(before[last]) + KMER, (a[p - n : p][::-1], b[q - n : q][::-1]), (a[x : x + m], b[y : y + m]))
+        return [(p - more[0], x + more[1], q - more[0], y + more[1], more[2])] if more else []
     left, right = ends(list(range(last + 1)))
     start, other_start, stop, other_stop = at - left[0], to - left[0], at + KMER + right[0], to + KMER + right[0]
     out, open_runs = [], [(0, last + 1)]

@@ -66,3 +66,20 @@ def test_seeds_with_other_first_holders(spark):
     missed = [i for i, n in planted if len(got[i].intersection(range(25, 25 + n))) < 0.9 * n]
     assert not missed
     assert all(not got[i] for i in set(range(len(texts))) - {i for i, _ in planted})
+
+
+def test_recall_of_edited_passages(spark):
+    """60 to 100 words of which 5 to 18% are replaced; with a replaced word at neither end, all are passages by definition."""
+    rng, some = zipf(4)
+    texts, planted = [], []
+    for case in range(120):
+        n, share = (60, 70, 85, 100)[case % 4], (0.05, 0.1, 0.15, 0.18)[case // 4 % 4]
+        passage = some(n)
+        edited = list(passage)
+        for at in rng.sample(range(1, n - 1), int(share * n)):
+            edited[at] = f"edit{rng.randrange(10**6)}"
+        for words in (passage, edited):
+            planted.append((len(texts), n))
+            texts.append(some(80) + words + some(80))
+    got = found_spans(spark, texts)
+    assert sum(len(got[i].intersection(range(80, 80 + n))) >= 0.8 * n for i, n in planted) >= 0.95 * len(planted)

@@ -9,6 +9,7 @@ and a logistic span classifier is trained on the resulting probabilities. It dec
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -115,13 +116,13 @@ def candidates(text: str, forms: list) -> list[tuple[int, int, int, bool]]:
     if loose:
         # sweep in order; of overlapping loose candidates the earlier and then the longer stays
         loose.sort(key=lambda c: (c[0], -c[2], c[1]))
-        at, last = 0, 0
+        last = 0
+        starts = [a for a, _ in taken]
         reach = []  # running furthest end of base spans
         for a, b in taken:
             reach.append(max(b, reach[-1] if reach else 0))
         for c in loose:
-            while at < len(taken) and taken[at][0] < c[2]:
-                at += 1
+            at = bisect_left(starts, c[2])  # base spans that start before the candidate's own end
             if c[0] >= last and not (at and reach[at - 1] > c[0]):
                 chosen.append(c)
                 last = c[2]
@@ -139,7 +140,7 @@ def code_of(text: str, start: int, kind: int, end: int, passes: bool) -> int:
     before = WORD.findall(text[max(0, start - REACH) : start].lower())[-3:]
     theme = next((i for i, words in enumerate((CONTACT, FINANCE, SECRETS), 1) if any(w in words for w in before)), 0)
     digits = digits_of(span)
-    mixed = entropy(span[:200])
+    mixed = entropy(span)
     left, right = text[start - 1 : start] if start else " ", text[end : end + 1] or " "
     votes = [
         YES if passes else NO if kind < len(BASE_KINDS) else ABSTAIN,

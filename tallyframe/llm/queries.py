@@ -1,10 +1,24 @@
 """The registered queries of the text operators, each over its whole table, and their SQL where SQL can say it."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe_codec, decontaminate, language_id, passages, private_data, quality_model, quality_rules, simhash, token_counts, url_filter
+from tallyframe.llm import (
+    bpe_codec,
+    chat_format,
+    decontaminate,
+    language_id,
+    passages,
+    periodic_runs,
+    private_data,
+    quality_model,
+    quality_rules,
+    simhash,
+    token_counts,
+    url_filter,
+    whitening,
+)
 from tallyframe.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -108,6 +122,88 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def grid(vec: Column) -> Column:
+    """The contract's whole numbers: floor(1024 c) + 100000."""
+    return F.transform(vec, lambda c: F.floor(c.cast("double") * 1024) + F.lit(100_000).cast("long"))
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8, vector=grid)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    sums = F.array(*[F.lit(int(s)) for s in model.sums])
+    off = F.zip_with("vec", sums, lambda x, s: x * F.lit(model.n).cast("long") - s)
+    shares = F.array(*[F.lit(float(e)) for e in model.values[:8] / model.total]) if len(model.values) else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", F.lit(model.n).cast("long").alias("n"), F.aggregate(off, F.lit(0).cast("long"), lambda a, d: a + d * d).alias("deviation"),
+        F.posexplode(F.arrays_zip(F.col("whitened").alias("whitened"), shares.alias("explained"))).alias("at", "of"),
+    ).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained",
+        F.lit(whitening.identity_error(rows, "whitened")).alias("identity_error"),
+    )
+
+
+# Fixed value of the contract: the conversation that every run formats too.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    back = chat_format.parse(chat_format.format_conversations(rows), "formatted", "turns")
+    back = back.withColumn("loss_text", chat_format.loss_text(F.col("formatted"), F.col("loss")))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP12_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length(regexp_replace(text, '([\[<])(\\*(?:/?(?:SYS|INST|ROLE|TEXT)\]|/?s>))', '\1\\\2', 'g'))
+    + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 11 WHEN 'assistant' THEN 7
+           ELSE 26 + length(regexp_replace(role, '([\[<])(\\*(?:/?(?:SYS|INST|ROLE|TEXT)\]|/?s>))', '\1\\\2', 'g')) END AS chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The contract's planted periods: documents of every tenth crc32 repeat a stretch of theirs up to the end."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    planted = cut.filter(F.col("h") % 10 == 0).withColumn("words", words).withColumn("n", F.size("words").cast("long"))
+    planted = planted.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.col("g") % F.greatest("n", F.lit(1)))
+    planted = planted.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")).withColumn("a", F.col("a").cast("int"))
+    # whole repetitions of the stretch, cut to the length of what they replace
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    again = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return cut.filter((F.col("h") % 10 != 0) | F.col("h").isNull()).select("doc_id", "text").unionByName(planted.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # greatest length / period by cross-multiplication; runs come by start, then period, so of equals the first stays
+    top = F.aggregate("runs", F.expr("cast(null as struct<start: bigint, period: bigint, length: bigint>)"), lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -120,9 +216,13 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_chat_format": op12_chat_format,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
     "op7_url_filters": OP7_SQL,
     "op10_decontamination": OP10_SQL,
+    "op12_chat_format": OP12_SQL,
 }

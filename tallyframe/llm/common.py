@@ -24,10 +24,13 @@ def spare_name(df: DataFrame, stem: str) -> str:
     return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives a lost executor."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives a lost executor.
+
+    ``compression`` is a Parquet codec; without one the session's is used.
+    """
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -95,7 +95,7 @@ def tiles_of(docs: list[np.ndarray]) -> list[list[tuple[int, int, int, bytes]]]:
         both = np.unique(np.concatenate([np.stack([doc, place // span]), np.stack([doc, (place + step) // span])], axis=1), axis=1)
         for d, tile in both.T.tolist():
             low = max(tile * span - step, 0)
-            high = min(tile * span + span + 2 * step, lengths[d])
+            high = min(tile * span + span + step, lengths[d])
             if tile * span < lengths[d]:
                 out[d].append((octave, tile * span, tile * span - low, docs[d][low:high].astype(np.int32).tobytes()))
     return out
@@ -125,10 +125,12 @@ def fragments(words: list[int], before: int, octave: int, opens: bool, closes: b
     """(period, start, end) of the words that equal the word one period on, as far as this tile sees.
 
     ``words`` begin ``before`` words ahead of the tile's first boundary; ``opens`` and ``closes``
-    say that the document begins or ends with them. A fragment that ends inside the tile at both
-    sides is given if it makes a run; one cut off by the tile always.
+    say that the document begins or ends with them. What neighbouring boundaries see of one
+    stretch is joined. A stretch that ends inside the tile at both sides is given if it makes a
+    run; one cut off by the tile always.
     """
     step, low, n = spacing(octave), 1 << octave, len(words)
+    seen: dict[int, list[list[int]]] = {}
     for c in range(before, min(before + tile_span(octave), n), step):
         first, last = max(c - step, 0), min(c + 2 * step, n)
         right = z_function(words[c:last], step)
@@ -137,10 +139,17 @@ def fragments(words: list[int], before: int, octave: int, opens: bool, closes: b
         left = words[first:c][::-1]
         back = z_function([*left, -1, *words[first:beyond][::-1]], len(left) + 1 + beyond - c)
         for q in range(low, min(step, last - c)):
-            ahead, behind = right[q], back[len(left) + 1 + beyond - c - q] if q < beyond - c + 1 else 0
-            start, end = c - behind, c + ahead
-            cut = (start == first and not (opens and first == 0)) or (end + q == last and not (closes and last == n))
-            if end > start and (cut and end - start > q or end - start >= max(EXPONENT * q, SHORTEST) - q) and primitive(words[start : start + q]):
+            start, end = c - back[len(left) + 1 + beyond - c - q], c + right[q]
+            if end - start > q or end - start >= SHORTEST - q:
+                of = seen.setdefault(q, [])
+                if of and start <= of[-1][1]:
+                    of[-1][1] = max(of[-1][1], end)
+                else:
+                    of.append([start, end])
+    for q, of in seen.items():
+        for start, end in of:
+            cut = (start == max(before - step, 0) and not (opens and start == 0)) or (end + q == n and not closes)
+            if (cut or end - start >= max(EXPONENT * q, SHORTEST) - q) and primitive(words[start : start + q]):
                 yield q, start - before, end - before
 
 
@@ -178,7 +187,7 @@ def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             tile, low = row["tile"], row["at"] - row["tile"]["before"]
             words = np.frombuffer(tile["words"], np.int32).tolist()
-            for q, a, b in set(fragments(words, tile["before"], row["octave"], low == 0, low + len(words) == tile["n"])):
+            for q, a, b in fragments(words, tile["before"], row["octave"], low == 0, low + len(words) == tile["n"]):
                 doc.append(row["doc"])
                 period.append(q)
                 start.append(row["at"] + a)
@@ -229,7 +238,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shuffled, by (words of the document, octave, tile), where copies meet and one is solved, and
     then fragments of runs. A fragment list grows with its document alone.
     """
-    staged = written(docs.select(F.col(id_col).alias("id"), tile_column(F.col(text_col)).alias("found")).select("id", "found.*"), "periodic-tiles")
+    staged = written(docs.select(F.col(id_col).alias("id"), tile_column(F.col(text_col)).alias("found")).select("id", "found.*"), "periodic-tiles", "zstd")
     tiles = staged.filter(F.col("doc").isNotNull()).select("doc", F.explode("tiles").alias("t")).groupBy("doc", "t.octave", "t.at").agg(F.min(F.struct("t.before", "t.n", "t.words")).alias("tile"))
     runs = stitched(tiles.mapInArrow(solve, "doc string, period long, start long, end long"))
     nothing = F.array().cast("array<struct<start: bigint, period: bigint, length: bigint>>")

@@ -75,8 +75,8 @@ class Rules:
         """Special strings and the text between them, in order."""
         return self.special_cut.split(text) if self.special_cut else [text]
 
-    def pretokens(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk without white space, in byte symbols."""
+    def words(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk without white space, as normalised text."""
         if chunk.isascii():
             if chunk.isalpha():
                 return [chunk.lower()]
@@ -85,8 +85,15 @@ class Rules:
         normal = unicodedata.normalize("NFC", chunk)
         # lower case goes by single characters: no final form of sigma
         low = "".join([self.lower.get(c) or c.lower() for c in normal]) if self.special_lower.search(normal) else normal.lower()
+        return self.pattern.findall(low)
+
+    def pretokens(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk without white space, in byte symbols."""
+        words = self.words(chunk)
+        if chunk.isascii() and chunk.isprintable():
+            return words
         letters = self.alphabet
-        return ["".join([letters[b] for b in word.encode("utf-8")]) for word in self.pattern.findall(low)]
+        return ["".join([letters[b] for b in word.encode("utf-8")]) for word in words]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the lowest-ranked merge until none is left; among equals the leftmost goes first."""

@@ -58,7 +58,7 @@ def test_pipeline_is_its_stages(spark):
 
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names and {"op7_url_filters", "op10_decontamination"} <= set(__spark_entry__.oracle_sql())
 
 
@@ -66,6 +66,6 @@ def test_sql_checks(spark):
     import check
 
     con = check.duck(SMALL)
-    for name in ("op7_url_filters", "op10_decontamination"):
+    for name in ("op7_url_filters", "op10_decontamination", "op12_chat_format"):
         problem, n = check.compare(__spark_entry__.queries()[name](spark, SMALL), con, __spark_entry__.oracle_sql()[name])
         assert problem is None and n

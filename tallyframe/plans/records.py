@@ -267,22 +267,46 @@ def jn_learned_correction(spark, d):
     return learn.apply_learning(rows, patterns(spark, d))
 
 
+SIMILAR_LIFE_MS = 2 * 86_400_000
+#: Optional fields of a record: name, its column in text form, and the bit of the part key that says whether it is there.
+OPTIONAL = (("size", "p_size", 1), ("status", "l_linestatus", 2), ("line", "l_linenumber", 4))
+
+
 def similar_input(spark, d):
     """Order lines as records; the field names vary with the part, tasks with the flag."""
     line = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    k = F.col("l_partkey")
-    base = F.create_map(F.lit("name"), F.col("p_name"), F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
-    extra = F.when(k % 3 == 1, F.create_map(F.lit("size"), F.col("p_size").cast("string"))).when(
-        k % 3 == 2, F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("flag"), F.col("l_returnflag"))
-    ).otherwise(F.create_map().cast("map<string,string>"))
-    fields = F.map_concat(base, extra)
+    fields = [F.create_map(F.lit("name"), F.col("p_name"), F.lit("type"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))] + [
+        F.when(F.col("l_partkey").bitwiseAND(F.lit(bit)) > 0, F.create_map(F.lit(name), F.col(column).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+        for name, column, bit in OPTIONAL
+    ]
     rid = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("string"))
-    return line.select(rid.alias("record_id"), F.col("l_returnflag").alias("task"), F.col("l_shipdate").alias("ts"), fields.alias("fields"))
+    return line.select(rid.alias("record_id"), F.col("l_returnflag").alias("task"), F.col("l_shipdate").alias("ts"), F.map_concat(*fields).alias("fields"))
+
+
+def _value_bonus(column):
+    """SQL: what one shared field adds; 0 where either record lacks it."""
+    a, b = f"a.{column}", f"b.{column}"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 WHEN {a} = {b} THEN 0.1 ELSE 0.05 * CAST(greatest(length({a}), length({b})) - levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b}), 1) END"
 
 
-@report("jn_fuzzy_match")
+OPTIONAL_SQL = ", ".join(f"CASE WHEN l_partkey & {bit} > 0 THEN CAST({column} AS VARCHAR) END AS {name}" for name, column, bit in OPTIONAL)
+
+
+@report(
+    "jn_fuzzy_match",
+    f"""WITH r AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_extendedprice AS rid, l_returnflag AS task,
+      CAST(l_shipdate AS DATE) AS d, p_name AS name, p_type AS type, p_brand AS brand, {OPTIONAL_SQL}, l_partkey & 7 AS bits FROM lineitem JOIN part ON l_partkey = p_partkey),
+    f AS (SELECT task, bits, d, min(rid) AS rid FROM r GROUP BY ALL),
+    e AS (SELECT f.task, f.bits, f.d, coalesce(p.rid, f.rid) AS first FROM f LEFT JOIN f p ON p.task = f.task AND p.bits = f.bits AND p.d = f.d - 1),
+    h AS (SELECT r.*, first FROM r JOIN e USING (task, bits, d)),
+    s AS (SELECT a.rid AS a_id, b.rid AS b_id, b.d AS b_d, round(least(1.0, CAST(3 + bit_count(a.bits & b.bits) AS DOUBLE) / (3 + bit_count(a.bits | b.bits))
+        + {' + '.join(_value_bonus(c) for c in ('name', 'type', 'brand', *(o[0] for o in OPTIONAL)))}), 6) AS similarity
+      FROM h a JOIN r b ON a.first = a.rid AND b.task = a.task AND b.bits <> a.bits AND b.d BETWEEN a.d - 1 AND a.d AND (b.d < a.d OR b.rid < a.rid))
+    SELECT rid AS record_id, first AS match_id, 1.0::DOUBLE AS similarity FROM h WHERE first <> rid
+    UNION ALL SELECT a_id, b_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY similarity DESC, b_d, b_id) AS rn FROM s WHERE similarity > 0.85) WHERE rn = 1""",
+)
 def jn_fuzzy_match(spark, d):
-    return learn.similar_records(similar_input(spark, d))
+    return learn.similar_records(similar_input(spark, d), life_ms=SIMILAR_LIFE_MS)
 
 
 # --- translation -------------------------------------------------------------------

@@ -265,7 +265,7 @@ GL_WORDS = {
     ),
 }
 
-# Field labels by language; the last group extends the seven core fields.
+# Field labels by language.
 FIELD_LABELS = {
     "total": [
         "total", "grand total", "amount due", "net total", "final total", "amount", "sum", "subtotal",
@@ -301,6 +301,9 @@ FIELD_LABELS = {
 }
 AMOUNT_FIELDS = ("total", "tax", "discount", "shipping", "subtotal")
 
+# Fields that a document must have; without a match they stand without a value.
+REQUIRED_FIELDS = ("total", "invoice_number", "date", "vendor")
+
 # Currency marks per ISO code, first hit wins.
 CURRENCY_MARKS = {
     "EUR": ["€", "EUR", "euro", "euros", "يورو"],

@@ -43,6 +43,14 @@ def normalize_spacing(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"([.,:;!?])\s*([.,:;!?])", "$1$2"))
 
 
+def normalize_lines(text: Column) -> Column:
+    """Digits and spacing of every line of a text normalised at once; lines keep their ends and an outer space at most."""
+    ascii_text = F.translate(F.coalesce(text, F.lit("")), ARABIC_DIGITS + PERSIAN_DIGITS + "٬،٫", "0123456789" * 2 + ",,.")
+    out = F.regexp_replace(ascii_text, r"[^\S\n]+", " ")
+    out = F.regexp_replace(out, r" ([.,:;!?])", "$1")
+    return F.regexp_replace(out, r"([.,:;!?]) ?([.,:;!?])", "$1$2")
+
+
 def normalize_numbers(text: Column) -> Column:
     """Digits, then thousands commas dropped, decimal comma to point, mixed separators ordered."""
     out = F.regexp_replace(normalize_digits(text), r"(?<=\d),(?=\d{3}(?![A-Za-z0-9_]))", "")

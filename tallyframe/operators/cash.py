@@ -116,16 +116,12 @@ def running_cash(df: DataFrame, keys: tuple[str, ...] = ("tenant",)) -> DataFram
     return daily.withColumn("balance", F.sum("net").over(w))
 
 
-def running_cash_rows(df: DataFrame, keys: tuple[str, ...] = ("tenant",), block_len: int = 10) -> DataFrame:
+def running_cash_rows(df: DataFrame, keys: tuple[str, ...] = ("tenant",), ranges: int | None = None) -> DataFrame:
     """Balance after each transaction in the order (date, txn_id).
 
-    The id prefix is an order-preserving block, so one busy tenant day is scanned
-    in many tasks. Rows that share id and amount are interchangeable.
+    Rows that share date, id and amount are interchangeable.
     """
-    blocked = df.withColumn("_blk", F.substring("txn_id", 1, block_len)).withColumn(
-        "_key", F.struct("txn_id", "amount")
-    )
-    return running_total(blocked, list(keys), ["date", "_blk", "_key"], F.col("amount"), "balance").drop("_blk", "_key")
+    return running_total(df, list(keys), ["date", "txn_id", "amount"], F.col("amount"), "balance", ranges=ranges)
 
 
 def debt_totals(df: DataFrame, keys: tuple[str, ...] = ("tenant",)) -> DataFrame:

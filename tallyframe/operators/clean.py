@@ -53,7 +53,7 @@ def flag_outliers(df: DataFrame, keys: Sequence[str] = ("tenant",), factor: floa
 
 
 def progressive_dates(df: DataFrame, keys: Sequence[str], levels: Sequence[str], base: Column) -> DataFrame:
-    """Missing dates become base + row position days; positions are counted block-wise."""
+    """Missing dates become base + row position days; positions are counted range by range."""
     placed = position(df, keys, levels, "_pos")
     return placed.withColumn("date", F.coalesce("date", F.date_add(base, (F.col("_pos") - 1).cast("int")))).drop("_pos")
 

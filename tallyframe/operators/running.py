@@ -1,10 +1,10 @@
 """Exact running totals and positions without one task per key.
 
-A window over a key holds the whole key in one task. Here the order is given as
-levels, coarse to fine (say day, then id block, then id). Rows are scanned only
-within a block; block sums are scanned within their parent level; the offsets
-are joined back. One level holds at most as many rows as it has distinct values,
-so a key with a third of all rows still spreads over the cluster.
+A window over a key holds the whole key in one task. Here all rows are dealt out once by ranges
+of (key, order) that Spark balances by a sample of all rows, so a range holds its share of rows
+whatever the keys and ids look like. Rows are summed within their range and key; what lies before
+is the sum of the earlier ranges of the key. Only the first key of a range can have begun in an
+earlier one, so there are no more such offsets than ranges.
 """
 
 from __future__ import annotations
@@ -14,52 +14,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.session import staged
+
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], levels: Sequence[str], value: Column, out: str, kind: str = "decimal(28,2)"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, kind: str = "decimal(28,2)", ranges: int | None = None
 ) -> DataFrame:
-    """Add ``out``: the inclusive running sum of ``value`` within ``keys`` in the
-    order of ``levels``. The last level must be unique within its block, or its
-    ties interchangeable. Rows with NULL keys or levels stay: NULL is a key of its
-    own, and sorts first as a level."""
-    keys, levels = list(keys), list(levels)
-    block = keys + levels[:-1]
-    inner = Window.partitionBy(*block).orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    """Add ``out``: the inclusive running sum of ``value`` within ``keys`` in the given order.
+
+    Rows that tie in all of ``order`` must be interchangeable; they stay in one range. Rows with
+    NULL keys or order stay: NULL is a key of its own, and sorts first; NULL values add
+    nothing. The rows are written once, range by range; ``ranges`` fixes their number, else it is
+    the session's number of shuffle partitions, merged where they are small.
+    """
+    keys, order = list(keys), list(order)
     rows = df.withColumn("_v", value.cast(kind))
-    placed = rows.withColumn("_run", F.sum("_v").over(inner))
-    if len(levels) == 1:
-        return placed.withColumn(out, F.col("_run").cast(kind)).drop("_v", "_run")
-    # raw rows are summed once, by block; coarser levels sum the block sums
-    finest = rows.groupBy(*block).agg(F.sum("_v").cast(kind).alias("_s"))
-    offsets = None
-    for depth in range(len(levels) - 1):
-        group = keys + levels[: depth + 1]
-        before = (
-            Window.partitionBy(*(keys + levels[:depth]))
-            .orderBy(levels[depth])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        level = finest if group == block else finest.groupBy(*group).agg(F.sum("_s").cast(kind).alias("_s"))
-        sums = level.withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0)).cast(kind)).drop("_s")
-        if offsets is None:
-            offsets = sums
-        else:
-            above = keys + levels[:depth]
-            finer = sums.withColumnRenamed("_o", "_d")
-            finer = finer.join(offsets, [finer[c].eqNullSafe(offsets[c]) for c in above])
-            for c in above:
-                finer = finer.drop(offsets[c])
-            offsets = finer.withColumn("_o", F.col("_o") + F.col("_d")).drop("_d")
-    match = [placed[c].eqNullSafe(offsets[c]) for c in block]
-    joined = placed.join(offsets, match, "inner")
-    for c in block:
-        joined = joined.drop(offsets[c])
-    return joined.withColumn(out, (F.col("_run") + F.col("_o")).cast(kind)).drop("_v", "_run", "_o")
+    dealt = rows.repartitionByRange(ranges, *keys, *order) if ranges else rows.repartitionByRange(*keys, *order)
+    rows = staged(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    inner = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_range", *keys).agg(F.coalesce(F.sum("_v"), F.lit(0)).cast(kind).alias("_s"))
+    carried = sums.withColumn("_o", F.sum("_s").over(earlier).cast(kind)).where(F.col("_o").isNotNull()).select(
+        F.col("_range").alias("_at"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_o"
+    )
+    match = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    # at most one row a range
+    joined = rows.withColumn("_run", F.sum("_v").over(inner)).join(F.broadcast(carried), match, "left")
+    whole = F.when(F.col("_o").isNull(), F.col("_run")).otherwise(F.coalesce("_run", F.lit(0)) + F.col("_o"))
+    return joined.withColumn(out, whole.cast(kind)).drop("_v", "_run", "_range", "_at", "_o", *[f"_k{i}" for i in range(len(keys))])
 
 
-def position(df: DataFrame, keys: Sequence[str], levels: Sequence[str], out: str) -> DataFrame:
-    """Add ``out``: the 1-based row position within ``keys`` in the order of ``levels``."""
-    return running_total(df, keys, levels, F.lit(1), out, kind="bigint")
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: the 1-based row position within ``keys`` in the given order."""
+    return running_total(df, keys, order, F.lit(1), out, kind="bigint")
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -307,5 +307,5 @@ def ag_median_outlier(spark, d):
 )
 def wn_progressive_date(spark, d):
     t = transactions(spark, d, "tenant", "txn_id", "date", "amount", "category")
-    gaps = t.withColumn("date", F.when(F.col("category") != "Travel", F.col("date"))).withColumn("_blk", F.substring("txn_id", 1, 10)).withColumn("_key", F.struct("txn_id", "amount"))
-    return clean.progressive_dates(gaps, ["tenant"], ["_blk", "_key"], as_date("1998-01-01")).select("tenant", "txn_id", "amount", "date")
+    gaps = t.withColumn("date", F.when(F.col("category") != "Travel", F.col("date")))
+    return clean.progressive_dates(gaps, ["tenant"], ["txn_id", "amount"], as_date("1998-01-01")).select("tenant", "txn_id", "amount", "date")

@@ -54,7 +54,7 @@ def test_cash_calendar_parts_add_up(spark):
 
 def test_last_running_balance_is_total(spark):
     df = txns(spark, CASH5)
-    rows = cash.running_cash_rows(df, block_len=2).orderBy("date").collect()
+    rows = cash.running_cash_rows(df, ranges=2).orderBy("date").collect()
     assert rows[-1].balance == D("3961.01")
     assert [r.balance for r in rows] == [D("-150.00"), D("2350.00"), D("2251.00"), D("2161.01"), D("3961.01")]
 

@@ -71,16 +71,33 @@ def rate_pairs(rates: DataFrame, target: str) -> DataFrame:
     return both.select(F.col("currency").alias("_currency"), F.greatest("_a", "_c").alias("_start"), F.least("_b", "_d").alias("_stop"), "from_rate", "to_rate")
 
 
+#: Join keys per currency for what lies after the last change of any rate.
+SALTS = 16
+
+
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
 def convert_as_of(df: DataFrame, rates: DataFrame, target: str = "EUR", base: str = "EUR") -> DataFrame:
     """Conversion with the rates of the transaction date on both sides; a missing currency is ``base``.
 
-    Intervals are made from the rates alone, so transactions are read once and join on the
-    currency with a range condition; the optimiser broadcasts the rates by their size.
+    Intervals are made from the rates alone and laid out by calendar month, so transactions are
+    read once and meet, by (currency, month), only the intervals of their month; the exact
+    dates are checked inside. After the last change of any rate each currency has one interval:
+    these transactions are dealt over ``SALTS`` keys. Rows without a date keep their amount.
     """
     pairs = rate_pairs(rates, target)
+    last = pairs.agg(F.max(_month(F.col("_start")))).first()[0]  # one number
+    last = F.lit(last if last is not None else 0)
+    until = F.coalesce(_month(F.date_sub("_stop", 1)), last)
+    months = F.sequence(_month(F.col("_start")), F.least(until, last))
+    later = F.when(F.col("_stop").isNull(), F.sequence(F.lit(-SALTS), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    calendar = pairs.withColumn("_bin", F.explode(F.concat(months, later)))
+    dated = based(df, base).withColumn("_month", F.when(_month(F.col("date")) > last, -1 - F.pmod(F.xxhash64("date", "amount"), F.lit(SALTS)).cast("int")).otherwise(_month(F.col("date"))))
     within = (F.col("date") >= F.col("_start")) & (F.col("_stop").isNull() | (F.col("date") < F.col("_stop")))
-    joined = based(df, base).join(pairs, (F.col("currency") == F.col("_currency")) & within, "left")
-    return _converted(joined.drop("_currency", "_start", "_stop"), target)
+    joined = dated.join(calendar, (F.col("currency") == F.col("_currency")) & (F.col("_month") == F.col("_bin")) & within, "left")
+    return _converted(joined.drop("_currency", "_start", "_stop", "_bin", "_month"), target)
 
 
 def exposure(df: DataFrame, base: str = "EUR") -> DataFrame:

@@ -3,9 +3,9 @@
 Texts with the same words are one text from here on. Of each text's k-mers of words the
 minimum of every window is a seed. A seed that several texts hold is matched with its first
 holder only, so matches grow with the seeds, not with pairs; where the holder itself repeats it, with
-its first place there. Pairs of neighbouring shared seeds, and all runs of ``MIN_WORDS`` words
-that lie in shared seeds, are matched with their own first holders, so that a passage whose
-seeds have different first holders still meets a text that holds all of it. Per text and holder the matches
+its first place there. Pairs of neighbouring shared seeds, and runs of ``RUN`` words that lie in
+shared seeds, are matched with their own first holders, so that a passage whose
+seeds have different first holders still meets a text that holds most of it. Per text and holder the matches
 are chained in order under a gap cost, with a Fenwick tree for the best predecessor, and each
 chain is aligned word by word, between its seeds and beyond its ends. A chain that does not
 agree enough as a whole is split, and its parts are judged by themselves.
@@ -27,6 +27,9 @@ from tallyframe.llm.decontaminate import united, words_of
 KMER, WINDOW = 5, 6
 #: Least words of a passage, least share of words that agree.
 MIN_WORDS, IDENTITY = 50, 0.8
+#: Words in a run, and runs in a window: of these the minimal one is a key, so that any ``MIN_WORDS`` equal words share one.
+RUN = 35
+RUNS = MIN_WORDS - RUN + 1
 #: Cost of a word of gap (a seed is worth KMER), seeds a chain needs.
 GAP, SEEDS = 0.1, 2
 #: Words beyond a chain's ends that alignment may take in, cost of a differing word, loss at which it stops.
@@ -40,6 +43,12 @@ EMITTED = 1_000_000
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def minimal(keys: np.ndarray, window: int) -> np.ndarray:
+    """Places of the minima of all windows; of fewer keys than a window the least."""
+    views = np.lib.stride_tricks.sliding_window_view(keys, min(window, len(keys)))
+    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
+
+
 def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of the minimal k-mers of all windows, every occurrence, in order of position."""
     m = len(hashes) - KMER + 1
@@ -49,9 +58,7 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, KMER):
         kmers = kmers * ODD + hashes[k : k + m]
     kmers = (kmers ^ (kmers >> np.uint64(32))) * MIX
-    width = min(WINDOW, m)
-    views = np.lib.stride_tricks.sliding_window_view(kmers, width)
-    at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    at = minimal(kmers, WINDOW)
     return kmers[at], at
 
 
@@ -85,7 +92,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             columns = list(zip(*rows)) or [[] for _ in kinds]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return written(docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.*"), "scanned")
+    return written(docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.*"), "scanned", "zstd")
 
 
 def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -234,16 +241,17 @@ def met(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     first = keys.groupBy("h").agg(F.min("tid").alias("other"), F.max("tid").alias("last"), F.min("at").alias("low"), F.max("at").alias("high")).filter("other < last or low < high").select("h", "other")
     # the holder's own position comes with its row of the same join
-    held = written(keys.join(first, "h"), f"held-{name}")
+    held = written(keys.join(first, "h"), f"held-{name}", "zstd")
     # written, so that the join below can split a key that very many texts hold
-    where = written(held.filter("tid = other").groupBy("h").agg(F.min("at").alias("other_at")), f"holders-{name}")
+    where = written(held.filter("tid = other").groupBy("h").agg(F.min("at").alias("other_at")), f"holders-{name}", "zstd")
     return held, held.join(where, "h").filter("tid <> other or at <> other_at").select("tid", "other", "at", "other_at")
 
 
 def longer_keys(at: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and packed places of what shared seeds of a text make: neighbouring pairs, and runs of ``MIN_WORDS`` words.
+    """Keys and packed places of what shared seeds of a text make: neighbouring pairs, and the minimal runs of ``RUN`` words.
 
-    A run that another text holds too has a shared seed in any ``WINDOW`` of its k-mers, so only such runs have a key.
+    ``MIN_WORDS`` words that another text holds too have a shared seed in any ``WINDOW`` of their k-mers, so only
+    stretches of such seeds have runs; of ``RUNS`` runs that follow each other the one of the least hash is a key in both texts.
     """
     near = np.flatnonzero(np.diff(at) < MIN_WORDS - KMER)
     pairs = (h[near] * ODD + h[near + 1]) * MIX
@@ -253,35 +261,37 @@ def longer_keys(at: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.nd
     cut = np.flatnonzero(np.diff(at) > WINDOW)
     for u, v in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist()):
         low, high = max(u - WINDOW + 1, 0), min(v + WINDOW + KMER - 1, len(words))  # words that such runs may take in
-        m = high - low - MIN_WORDS + 1
-        if m < 1:
+        if high - low < MIN_WORDS:
             continue
+        m = high - low - RUN + 1
         run = mixed[low : low + m].copy()
-        for k in range(1, MIN_WORDS):
+        for k in range(1, RUN):
             run = run * ODD + mixed[low + k : low + k + m]
         run *= MIX
-        keys.append(run ^ (run >> np.uint64(31)))
-        places.append(((low + np.arange(m)) << SPAN) | MIN_WORDS)
+        run ^= run >> np.uint64(31)
+        at_run = minimal(run, RUNS)
+        keys.append(run[at_run])
+        places.append(((low + at_run) << SPAN) | RUN)
     return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
 def points(at: np.ndarray, other_at: np.ndarray) -> list[tuple[int, int]]:
     """Matching positions of a text and one holder, from packed places.
 
-    Runs that follow each other are joined, and of these as few are taken as cover the same
+    Runs that overlap or touch at one distance are joined, and of these as few are taken as cover the same
     words. A run with seeds of its own needs no more positions; another one has one every 2 * KMER words.
     """
     p, q, span, other_span = at >> SPAN, other_at >> SPAN, at & LOW, other_at & LOW
-    full = span == MIN_WORDS
+    full = span == RUN
     out = set(zip(p[~full].tolist(), q[~full].tolist()))
     out.update(zip((p + span - KMER)[~full].tolist(), (q + other_span - KMER)[~full].tolist()))
     if full.any():
         p, q = p[full], q[full]
         order = np.lexsort((p, q - p))
         p, q = p[order], q[order]
-        cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
-        starts, lengths = np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(p)])))
-        runs = sorted((int(p[i]), int(q[i]), int(p[i] + n - 1 + MIN_WORDS)) for i, n in zip(starts.tolist(), lengths.tolist()))
+        cut = np.flatnonzero((np.diff(p) > RUN) | (np.diff(p) != np.diff(q))) + 1
+        starts, stops = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(p) - 1]))
+        runs = sorted((int(p[i]), int(q[i]), int(p[j] + RUN)) for i, j in zip(starts.tolist(), stops.tolist()))
         own = np.array(sorted(out), np.int64).reshape(-1, 2)
         covered, k = 0, 0
         while k < len(runs):
@@ -318,7 +328,7 @@ def chained(scan: DataFrame) -> DataFrame:
     shared = held.groupBy("tid").agg(F.collect_set(F.struct("at", "h")).alias("shared"))  # at most the text's own seeds
     keys = shared.join(words_of_texts(scan), "tid").select("tid", lengthen("shared", "words").alias("k"))
     keys = keys.select("tid", F.explode(F.arrays_zip(F.col("k.h").alias("h"), F.col("k.at").alias("at"))).alias("k")).select("tid", "k.h", "k.at")
-    _, by_run = met(written(keys, "longer"), "longer")
+    _, by_run = met(written(keys, "longer", "zstd"), "longer")
     by_text = by_seed.unionByName(by_run).groupBy("tid").agg(F.collect_set(F.struct("other", "at", "other_at")).alias("m"))
 
     @F.arrow_udf(CHAIN)
@@ -340,7 +350,7 @@ def chained(scan: DataFrame) -> DataFrame:
             yield pa.array(out, CHAIN_ARROW)
 
     found = by_text.select("tid", F.explode(chain(F.col("m"))).alias("c")).select("tid", "c.*")
-    return written(found, "chains")
+    return written(found, "chains", "zstd")
 
 
 def words_of_texts(scan: DataFrame) -> DataFrame:
@@ -396,7 +406,8 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     another one (its whole text, unless it is shorter than ``MIN_WORDS``).
 
     Words are runs of letters, digits and non-ASCII characters, lower-cased. Documents without
-    a shared passage have no row; so NULL and empty texts have none. NULL ids keep their rows,
+    a shared passage have no row; so NULL and empty texts have none. A text that repeats itself, a
+    periodic one too, shares passages with its own first place: it has such rows whether or not it has copies. NULL ids keep their rows,
     and represent only texts without any id; repeated rows are copies of each other. Only id
     and text are read; an empty table gives an empty result. Ids must be of one ordered type.
     """

@@ -78,8 +78,13 @@ def test_empty_tables(docs, labels, bench):
 
 def test_passages_edges(docs):
     copies = by_id(passages.shared_passages(docs.unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(9).cast("long")))))
-    assert {k: [r["kind"] for r in v] for k, v in copies.items()} == {4: ["copy"], 9: ["copy"]}
-    assert copies[9][0]["rep_id"] == 4 and copies[9][0]["end"] == 30_001
+    assert set(copies) == {4, 9}
+    for rows in copies.values():  # a copy of all words, and the periodic text's passages with its own first place
+        whole = [r for r in rows if r["kind"] == "copy"]
+        assert [(r["rep_id"], r["start"], r["end"]) for r in whole] == [(4, 0, 30_001)]
+        assert all(r["rep_id"] == 4 and 0 <= r["start"] < r["end"] <= 30_000 and r["equal"] >= 40 for r in rows if r["kind"] != "copy")
+    spans = [{(r["start"], r["end"], r["kind"]) for r in rows} for rows in copies.values()]
+    assert spans[0] == spans[1]
 
 
 def test_url_edges(spark):

@@ -181,8 +181,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one document of each component: the one with the smallest id, of equal rows one.
 
-    Rows that share the winning id and fingerprint count as repeats of one document. In a
-    component whose ids are all NULL one row stays for each of its smallest fingerprint.
+    Rows that share the winning id and fingerprint count as repeats of one document; if their texts
+    differ, that of the smallest hash stays. A component whose ids are all NULL keeps one row of
+    its smallest fingerprint.
     """
     small_batches(docs.sparkSession)
     prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")), "fingerprints")
@@ -193,4 +194,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fp = spare_name(docs, "fp")
     again = docs.withColumn(fp, fingerprint_column(F.col(text_col)))
     kept = again.join(keep, (again[fp] == keep["kept_fp"]) & again[id_col].eqNullSafe(keep["kept_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, fp]).drop(fp)
+    one = kept.groupBy(id_col, fp).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias(fp + "_row"))
+    return one.select(f"{fp}_row.*")

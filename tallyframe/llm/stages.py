@@ -1,8 +1,8 @@
 """The operators as filtering and rewriting stages: documents in, documents out.
 
 Every stage takes ``(spark, docs, sf_dir)``. NULL texts count as empty, repeated rows and NULL
-ids are kept unless the stage's own decision drops them, extra columns pass through, and empty
-tables give empty tables.
+ids are kept unless the stage's own decision drops them, extra columns pass through (the last
+stage replaces the text and its length), and empty tables give empty tables.
 """
 
 import public_tokenizers
@@ -43,9 +43,15 @@ def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the text decoded from them."""
-    coded = bpe_codec.encode_decode(docs, public_tokenizers.path(VOCABULARY), keep=("lang", "source"))
+    """Token ids of every document in place of its text, with digests of the ids and of the text decoded from them.
+
+    Other columns pass through, but for those named as one of the four that are added, or as the decoded text.
+    """
+    made = ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "coded", "decoded")
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars") and c.lower() not in made)
+    clear = docs.select("doc_id", "text", *keep)
+    coded = bpe_codec.encode_decode(clear, public_tokenizers.path(VOCABULARY), keep=keep)
     return coded.select(
-        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *keep, "ids", F.size("ids").cast("long").alias("n_tokens"),
         bpe_codec.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -108,6 +108,15 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_rows_of_one_id_and_fingerprint_keep_the_same_text(spark):
+    rows = [(1, "one two three four."), (1, "One two three four."), (2, "else where goes this one")]
+    kept = [
+        {(r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(3)).collect()}
+        for order in (rows, rows[::-1])
+    ]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
+
+
 def test_stages_keep_columns(spark, docs, tmp_path, labels, bench):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -116,7 +125,9 @@ def test_stages_keep_columns(spark, docs, tmp_path, labels, bench):
             out = stage(spark, frame, str(tmp_path))
             assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
             assert out.count() <= frame.count()
-        assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).count() == frame.count()
+        coded = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path))
+        assert coded.count() == frame.count() and {"lang", "source", "fp", "score", "ids", "n_tokens"} <= set(coded.columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.select("doc_id", "text"), str(tmp_path)).columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     kept = stages.drop_copies(spark, docs, str(tmp_path))
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: -1 if x is None else x) == [None, 1, 3, 4, 5]
     clean = stages.drop_contaminated(spark, docs, str(tmp_path))

@@ -384,7 +384,7 @@ def dj_route_decision(spark, d):
 
 def patches(spark, d):
     fails = invoice_rules.failure_rows(invoice_rules.failures(case_invoices(spark, d), invoice_lines(spark, d)))
-    return invoice_rules.propose_patches(fails, rendered_tokens(spark, d))
+    return invoice_rules.propose_patches(fails, tokens.tokenise(rendered_invoices(spark, d)))
 
 
 PATCHES = f"""pt AS (SELECT invoice_id, CASE WHEN rule = 'arithmetic_balance' THEN 1 ELSE 2 END AS seq, path, CASE WHEN rule = 'arithmetic_balance' THEN CAST(CAST(round(expected, 2) AS DECIMAL(18,2)) AS VARCHAR) ELSE 'EUR' END AS value

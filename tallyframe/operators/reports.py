@@ -32,16 +32,25 @@ def confidence(modules: list[str]) -> int:
     return int(sum(known) / len(known) * 100 + 0.5) if known else 0
 
 
-def assemble(cash: DataFrame, budget: DataFrame, assets: DataFrame, signals: DataFrame, period: Column) -> DataFrame:
-    """One row per tenant: key metrics of the modules, health, sources, confidence.
+def assemble(cash: DataFrame, budget: DataFrame, assets: DataFrame, debts: DataFrame, taxes: DataFrame, outlook: DataFrame,
+             signals: DataFrame, period: Column) -> DataFrame:
+    """One row per tenant of ``cash``: key metrics of the six modules, health, sources, confidence.
 
-    Sources and confidence speak of the modules that are joined here and no others.
+    A tenant without debts or taxes has 0 there; without a budget, classified rows or months it
+    has NULL in those sections.
     """
-    modules = ["cash", "budget", "assets"]
+    modules = list(SOURCES)
     b = budget.select("tenant", F.col("budget").alias("total_budget"), F.col("actual").alias("total_actual"), F.col("variance").alias("budget_variance"))
     a = assets.select("tenant", "total_assets", "total_liabilities", "net_worth", "debt_to_asset")
-    out = cash.join(b, "tenant", "left").join(a, "tenant", "left").join(health(signals), "tenant", "left")
-    return out.withColumns({
+    owed = ["debt_payments", "loan_proceeds"]
+    due = ["total_taxes", "total_vat", "total_net", "effective_tax_rate", "effective_vat_rate"]
+    t = taxes.select("tenant", *[F.col(c).cast("double").alias(c) for c in due]).withColumnRenamed("total_net", "taxed_net")
+    f = outlook.select("tenant", "next_income", "next_expense", F.col("total_net").alias("next_net"), "income_direction", "expense_direction")
+    out = cash
+    for part in (b, a, debts.select("tenant", *[F.col(c).cast("double").alias(c) for c in owed]), t, f, health(signals)):
+        out = out.join(part, "tenant", "left")
+    none = [*owed, *["taxed_net" if c == "total_net" else c for c in due]]
+    return out.fillna(0.0, none).withColumns({
         "overall_health": F.coalesce("overall_health", F.lit("fair")), "period": period,
         "sources": F.lit(", ".join(SOURCES[m] for m in modules)), "confidence": F.lit(confidence(modules)),
     })

@@ -148,10 +148,14 @@ def asset_liability_rows(df: DataFrame) -> DataFrame:
 
 
 def assets_liabilities(rows: DataFrame, keys: Sequence[str] = ("tenant",)) -> DataFrame:
-    is_asset, zero = F.col("type") == "asset", F.lit(0).cast("decimal(18,2)")
-    sums = rows.groupBy(*keys, "type", "subcategory").agg(
+    return totals_of_kinds(rows.groupBy(*keys, "type", "subcategory").agg(
         total(F.col("value")).alias("_v"), F.count("*").alias("_n")
-    )
+    ), keys)
+
+
+def totals_of_kinds(sums: DataFrame, keys: Sequence[str] = ("tenant",)) -> DataFrame:
+    """Totals, counts and ratios from value (``_v``) and count (``_n``) per type and subcategory."""
+    is_asset, zero = F.col("type") == "asset", F.lit(0).cast("decimal(18,2)")
     return sums.groupBy(*keys).agg(
         total(F.when(is_asset, F.col("_v")).otherwise(zero)).alias("total_assets"),
         total(F.when(is_asset, zero).otherwise(F.col("_v"))).alias("total_liabilities"),

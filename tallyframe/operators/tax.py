@@ -14,42 +14,57 @@ from tallyframe.functions.tax import tax_class, tax_rate, tax_word
 TAX_MONEY = "decimal(18,4)"
 
 
-def tax_entries(df: DataFrame, as_of: date | str) -> DataFrame:
-    """One entry per tax-related transaction; everything else is dropped.
+def tax_type(cls: Column) -> Column:
+    return F.when(cls.isin("VAT by text", "VAT"), "vat").when(cls.isNotNull(), "tax")
 
-    Tax and net parts are kept as decimals so sums do not depend on their order.
-    """
+
+def parts(amount: Column, rate: Column) -> tuple[Column, Column]:
+    """Net amount and the tax within an amount, as decimals so that sums do not depend on their order."""
+    size = F.abs(amount).cast("double")
+    net = size / (1 + rate)
+    return rounded(net, 4).cast(TAX_MONEY), rounded(size - net, 4).cast(TAX_MONEY)
+
+
+def tax_entries(df: DataFrame, as_of: date | str) -> DataFrame:
+    """One entry per tax-related transaction; everything else is dropped."""
     valid = df.where(F.col("amount").isNotNull() & (F.col("amount") != 0))
-    size, cls = F.abs("amount").cast("double"), F.col("_cls")
+    cls = F.col("_cls")
+    net_amount, tax_part = parts(F.col("amount"), F.col("rate"))
     return (
         valid.withColumn("_word", tax_word(F.col("description")))
         # zero or one class per row: the generator drops untaxed rows and keeps later
         # filters from copying the keyword expressions
         .select("*", F.explode(F.array_compact(F.array(tax_class(F.col("_word"), F.col("category"))))).alias("_cls"))
         .withColumn("rate", tax_rate(F.col("_word"), cls, F.col("description")))
-        .withColumn("_net", size / (1 + F.col("rate")))
         .withColumns(
             {
-                "type": F.when(cls.isin("VAT by text", "VAT"), "vat").otherwise("tax"),
+                "type": tax_type(cls),
                 "subcategory": F.when(cls == "VAT by text", "VAT").otherwise(cls),
-                "net_amount": rounded("_net", 4).cast(TAX_MONEY),
-                "tax_part": rounded(size - F.col("_net"), 4).cast(TAX_MONEY),
+                "net_amount": net_amount,
+                "tax_part": tax_part,
                 "due_date": tax_due_date(cls, as_of),
                 "status": F.lit("pending"),
             }
         )
-        .drop("_word", "_cls", "_net")
+        .drop("_word", "_cls")
     )
 
 
 def tax_totals(entries: DataFrame) -> DataFrame:
-    is_vat, zero = F.col("type") == "vat", F.lit(0).cast(TAX_MONEY)
-    base = entries.groupBy("tenant").agg(
+    return totals_of_kinds(entries.groupBy("tenant", "type").agg(
+        F.sum("tax_part").alias("tax_part"), F.sum("net_amount").alias("net_amount"), F.count("*").alias("n")
+    ))
+
+
+def totals_of_kinds(sums: DataFrame) -> DataFrame:
+    """Totals and effective rates per tenant from sums (tax_part, net_amount, n) per type."""
+    is_vat, zero = F.col("type") == "vat", F.lit(0)
+    base = sums.groupBy("tenant").agg(
         F.sum(F.when(is_vat, zero).otherwise(F.col("tax_part"))).alias("total_taxes"),
         F.sum(F.when(is_vat, F.col("tax_part")).otherwise(zero)).alias("total_vat"),
         F.sum("net_amount").alias("total_net"),
-        F.count(F.when(is_vat, 1)).alias("vat_count"),
-        F.count(F.when(~is_vat, 1)).alias("tax_count"),
+        F.sum(F.when(is_vat, F.col("n")).otherwise(zero)).alias("vat_count"),
+        F.sum(F.when(is_vat, zero).otherwise(F.col("n"))).alias("tax_count"),
     )
 
     def rate(col: str) -> Column:

@@ -8,14 +8,15 @@ from tallyframe.functions.hashing import translation_key
 from tallyframe.functions.money import rounded
 from tallyframe.functions.periods import report_period
 from tallyframe.operators import audit as op_audit
-from tallyframe.operators import budget, cash, learn, records, reports, signals, statements, translate
+from tallyframe.operators import budget, facts, learn, records, reports, signals, translate, trend
 from tallyframe.plans import budget as p_budget
 from tallyframe.plans import signals as p_signals
 from tallyframe.plans import statements as p_statements
+from tallyframe.plans import tax as p_tax
 from tallyframe.plans.registry import report
 from tallyframe.session import fresh_dir, staged
 from tallyframe.sources import sinks
-from tallyframe.sources.adapters import AUDIT, TXN, audit, table, transactions
+from tallyframe.sources.adapters import AUDIT, TXN, audit, lookup, table, transactions
 
 
 # --- audit -----------------------------------------------------------------------
@@ -363,36 +364,61 @@ def dj_translate_prepare(spark, d):
 
 # --- report assembly -----------------------------------------------------------------
 
-# What the report reads; its confidence is the mean of 0.8, 0.7 and 0.6.
-REPORT_SOURCES = "Cashflow Manager, Budgeting Tool, Assets & Liabilities Manager"
-SIG = f"""{p_budget.OVERALL}, perf AS ({p_budget.PERF} FROM joined), {p_statements.CLASS[len(TXN) + 2:]},
+# What the report reads; its confidence is the mean of 0.8, 0.7, 0.6, 0.7, 0.8 and 0.5.
+REPORT_SOURCES = ", ".join(reports.SOURCES.values())
+REPORT_TXN = TXN.replace("txn AS (", "plain AS (", 1) + f""",
+ txn AS (SELECT * REPLACE ({p_tax.TAG} || CASE WHEN category = 'Travel' THEN 'Loan ' ELSE '' END || description AS description) FROM plain)"""
+SIG = f"""{REPORT_TXN}{p_budget.OVERALL[len(TXN):]}, perf AS ({p_budget.PERF} FROM joined){p_statements.CLASS[len(TXN):]},
  af AS (SELECT tenant, CAST(ta AS DOUBLE) AS total_assets, CAST(tl AS DOUBLE) AS total_liabilities, asset_count, liability_count, asset_kinds, liability_kinds, CAST(ta - tl AS DOUBLE) AS net_worth,
    CASE WHEN ta > 0 THEN round(CAST(tl AS DOUBLE) / CAST(ta AS DOUBLE), 6) ELSE 0 END AS debt_to_asset FROM alt),
- sig AS ({signals.emit_sql('budget', 'ov')} UNION ALL {signals.emit_sql('budget_category', 'perf', label='category')} UNION ALL {signals.emit_sql('assets', 'af')}),
+ db AS (SELECT tenant, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS debt_payments, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS loan_proceeds
+   FROM txn WHERE regexp_matches(lower(description), 'loan|debt') GROUP BY tenant),
+ taxed AS (SELECT tenant, txn_id, date, amount, description, category FROM txn WHERE amount <> 0), {p_tax.ENTRIES},
+ tt AS (SELECT tenant, sum(CASE WHEN type = 'tax' THEN tax_part ELSE 0 END) AS tx, sum(CASE WHEN type = 'vat' THEN tax_part ELSE 0 END) AS vt, sum(net_amount) AS nt,
+   count(*) FILTER (due_date BETWEEN DATE '{p_tax.AS_OF}' AND DATE '{p_tax.AS_OF}' + 30) AS upcoming,
+   CAST(coalesce(sum(tax_part) FILTER (due_date BETWEEN DATE '{p_tax.AS_OF}' AND DATE '{p_tax.AS_OF}' + 30), 0) AS DOUBLE) AS upcoming_amount,
+   count(*) FILTER (due_date < DATE '{p_tax.AS_OF}') AS overdue, CASE WHEN count(*) FILTER (type = 'vat') > 0 THEN 0.0 END AS vat_paid_share FROM ent GROUP BY tenant),
+ tf AS (SELECT *, CAST(tx AS DOUBLE) AS total_taxes, CAST(vt AS DOUBLE) AS total_vat, CAST(nt AS DOUBLE) AS taxed_net, CASE WHEN nt > 0 THEN round(CAST(tx AS DOUBLE) / CAST(nt AS DOUBLE), 6) ELSE 0 END AS effective_tax_rate,
+   CASE WHEN nt > 0 THEN round(CAST(vt AS DOUBLE) / CAST(nt AS DOUBLE), 6) ELSE 0 END AS effective_vat_rate FROM tt),
+ mo AS (SELECT tenant, strftime(date, '%Y-%m') AS month, sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS income, sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS expense, sum(amount) AS net FROM txn GROUP BY ALL),
+ rm AS (SELECT * FROM mo QUALIFY month > strftime(CAST(max(month) OVER (PARTITION BY tenant) || '-01' AS DATE) - INTERVAL 12 MONTH, '%Y-%m')),
+ ff AS (SELECT *, round(avg_income * (1 + income_trend / 100), 4) AS next_income, round(avg_expense * (1 + expense_trend / 100), 4) AS next_expense,
+   round(avg_income * (1 + income_trend / 100) - avg_expense * (1 + expense_trend / 100), 4) AS total_net FROM {trend.sql_last_two('rm', 'tenant', 'month', ['income', 'expense', 'net'])}),
+ sig AS ({signals.emit_sql('budget', 'ov')} UNION ALL {signals.emit_sql('budget_category', 'perf', label='category')} UNION ALL {signals.emit_sql('assets', 'af')}
+  UNION ALL {signals.emit_sql('tax', 'tf')} UNION ALL {signals.emit_sql('forecast', 'ff')}),
  he AS (SELECT tenant, count(*) FILTER (kind = 'alert' AND severity = 'high') AS h, count(*) FILTER (kind = 'highlight' AND contains(type, 'positive')) AS p FROM sig GROUP BY tenant),
  cs AS (SELECT tenant, CAST(sum(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS inflow, CAST(sum(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS outflow, CAST(sum(amount) AS DOUBLE) AS net FROM txn GROUP BY tenant),
- rep AS (SELECT cs.tenant, inflow, outflow, net, ov.budget AS total_budget, ov.actual AS total_actual, ov.variance AS budget_variance, total_assets, total_liabilities, net_worth, debt_to_asset, h AS high_alerts, p AS positive_highlights,
-   CASE WHEN h IS NULL THEN 'fair' WHEN h = 0 AND p > 0 THEN 'excellent' WHEN h <= 1 AND p > 0 THEN 'good' WHEN h <= 2 THEN 'fair' ELSE 'poor' END AS overall_health FROM cs LEFT JOIN ov USING (tenant) LEFT JOIN af USING (tenant) LEFT JOIN he USING (tenant))"""
+ rep AS (SELECT cs.tenant, inflow, outflow, net, ov.budget AS total_budget, ov.actual AS total_actual, ov.variance AS budget_variance, total_assets, total_liabilities, net_worth, debt_to_asset,
+   coalesce(debt_payments, 0) AS debt_payments, coalesce(loan_proceeds, 0) AS loan_proceeds, coalesce(total_taxes, 0) AS total_taxes, coalesce(total_vat, 0) AS total_vat, coalesce(taxed_net, 0) AS taxed_net,
+   coalesce(effective_tax_rate, 0) AS effective_tax_rate, coalesce(effective_vat_rate, 0) AS effective_vat_rate, next_income, next_expense, ff.total_net AS next_net, income_direction, expense_direction,
+   h AS high_alerts, p AS positive_highlights,
+   CASE WHEN h IS NULL THEN 'fair' WHEN h = 0 AND p > 0 THEN 'excellent' WHEN h <= 1 AND p > 0 THEN 'good' WHEN h <= 2 THEN 'fair' ELSE 'poor' END AS overall_health
+   FROM cs LEFT JOIN ov USING (tenant) LEFT JOIN af USING (tenant) LEFT JOIN db USING (tenant) LEFT JOIN tf USING (tenant) LEFT JOIN ff USING (tenant) LEFT JOIN he USING (tenant))"""
 
 
-def report_inputs(spark, d):
-    """All sections read one staged table, so each fact table is scanned once."""
-    t = staged(transactions(spark, d, "tenant", "date", "amount", "category", "description"), "report-transactions")
-    spend = budget.actuals(t)
-    overall = budget.overall(spend, budget.tenant_budgets(spend))
-    assets = statements.assets_liabilities(statements.asset_liability_rows(t))
-    perf = budget.performance(budget.budget_actual(spend))
-    sig = signals.union_all([signals.emit(overall, "budget"), signals.emit(perf, "budget_category", label="category"), signals.emit(assets, "assets")])
-    return cash.cash_totals(t), overall, assets, sig
+def report_facts(spark, d):
+    """Tax words and, on Travel rows, a loan word stand before the text: the tables name neither taxes nor debts."""
+    t = transactions(spark, d, "tenant", "date", "amount", "category", "description")
+    loan = F.when(F.col("category") == "Travel", "Loan ").otherwise("")
+    return facts.statement_facts(t.withColumn("description", F.concat(lookup(F.col("category"), p_tax.TAGS, ""), loan, "description")))
 
 
 def full_report(spark, d):
-    c, b, a, s = report_inputs(spark, d)
+    """All sections derive from one small aggregate, which alone is written; transactions are scanned once."""
+    f = staged(report_facts(spark, d), "report-facts")
+    spend = facts.spending(f)
+    overall = budget.overall(spend, budget.tenant_budgets(spend))
+    perf = budget.performance(budget.budget_actual(spend))
+    assets, taxes, outlook = facts.assets(f), facts.taxes(f, p_tax.AS_OF), facts.outlook(f)
+    sig = signals.union_all([
+        signals.emit(overall, "budget"), signals.emit(perf, "budget_category", label="category"), signals.emit(assets, "assets"),
+        signals.emit(taxes, "tax"), signals.emit(outlook, "forecast"),
+    ])
     period = report_period("monthly", "1998-08-15")["label"]
-    return reports.assemble(c.drop("txn_count"), b, a, s, period), s
+    return reports.assemble(facts.cash(f).drop("txn_count"), overall, assets, facts.debts(f), taxes, outlook, sig, period), sig
 
 
-@report("dj_report", f"WITH {SIG} SELECT *, 'August 1998' AS period, '{REPORT_SOURCES}' AS sources, 70 AS confidence FROM rep")
+@report("dj_report", f"WITH {SIG} SELECT *, 'August 1998' AS period, '{REPORT_SOURCES}' AS sources, 68 AS confidence FROM rep")
 def dj_report(spark, d):
     return full_report(spark, d)[0]
 

@@ -102,10 +102,10 @@ def wn_last_n(spark, d):
     return statements.last_rows(txn, 30, ["tenant"], ["date", "txn_id", "amount"])
 
 
-CLASS = f"""{TXN}, cls AS (SELECT tenant, txn_id, date, abs(amount) AS value,
+CLASS = f"""{TXN}, akind AS (SELECT tenant, txn_id, date, abs(amount) AS value,
   coalesce({sql_first_match('description', ASSET_LIABILITY_RULES, None)}, CASE WHEN amount > 0 THEN 'asset:Other' ELSE 'liability:Other' END) AS k
   FROM txn WHERE amount <> 0),
- al AS (SELECT tenant, txn_id, date, value, split_part(k, ':', 1) AS type, split_part(k, ':', 2) AS subcategory FROM cls),
+ al AS (SELECT tenant, txn_id, date, value, split_part(k, ':', 1) AS type, split_part(k, ':', 2) AS subcategory FROM akind),
  alt AS (SELECT tenant, sum(CASE WHEN type = 'asset' THEN value ELSE 0 END) AS ta, sum(CASE WHEN type = 'asset' THEN 0 ELSE value END) AS tl,
   count(*) FILTER (type = 'asset') AS asset_count, count(*) FILTER (type <> 'asset') AS liability_count,
   count(DISTINCT subcategory) FILTER (type = 'asset') AS asset_kinds, count(DISTINCT subcategory) FILTER (type <> 'asset') AS liability_kinds

@@ -19,9 +19,8 @@ TAGS = {
     "Office": "VAT 7.5% ", "Software": "Withholding ", "Equipment": "Corporate tax 21% ", "Utilities": "Council tax ",
     "Marketing": "National insurance 13.8% ",
 }
-TAXED = f"""{TXN}, taxed AS (SELECT tenant, txn_id, date, amount, CASE category {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in TAGS.items())} ELSE '' END || description AS description,
-  CASE WHEN category = 'Travel' THEN 'Tax' ELSE category END AS category FROM txn WHERE amount <> 0),
- cls AS (SELECT *, {sql_first_match('description', TAX_RULES, None)} AS word, CAST(nullif(regexp_extract(description, '(\\d+(?:\\.\\d+)?)%', 1), '') AS DOUBLE) AS pct FROM taxed),
+TAG = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TAGS.items()) + " ELSE '' END"
+ENTRIES = f"""cls AS (SELECT *, {sql_first_match('description', TAX_RULES, None)} AS word, CAST(nullif(regexp_extract(description, '(\\d+(?:\\.\\d+)?)%', 1), '') AS DOUBLE) AS pct FROM taxed),
  kinds AS (SELECT *, coalesce(word, CASE WHEN category IN ('VAT', 'Tax') THEN category END) AS k FROM cls),
  rates AS (SELECT *, coalesce(CASE WHEN word IS NOT NULL THEN nullif(pct / 100, 0) END,
    CASE k WHEN 'VAT by text' THEN 0.19 WHEN 'Income Tax' THEN 0.20 WHEN 'Corporate Tax' THEN 0.25 WHEN 'Property Tax' THEN 0.05
@@ -32,6 +31,9 @@ TAXED = f"""{TXN}, taxed AS (SELECT tenant, txn_id, date, amount, CASE category
    CAST(round(CAST(abs(amount) AS DOUBLE) - CAST(abs(amount) AS DOUBLE) / (1 + rate), 4) AS DECIMAL(18,4)) AS tax_part,
    CASE k WHEN 'VAT by text' THEN DATE '1998-05-31' WHEN 'Income Tax' THEN DATE '1999-04-05' WHEN 'Corporate Tax' THEN DATE '1999-09-30'
           WHEN 'Property Tax' THEN DATE '1998-07-01' WHEN 'Social Security' THEN DATE '1998-06-01' ELSE DATE '1998-06-19' END AS due_date FROM rates)"""
+TAXED = f"""{TXN}, taxed AS (SELECT tenant, txn_id, date, amount, {TAG} || description AS description,
+  CASE WHEN category = 'Travel' THEN 'Tax' ELSE category END AS category FROM txn WHERE amount <> 0),
+ {ENTRIES}"""
 
 
 def taxed(spark, d, **days):

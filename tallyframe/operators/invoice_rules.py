@@ -16,12 +16,21 @@ REQUIRED_FIELDS = ("invoice_number", "invoice_date", "vendor", "grand_total", "c
 WIDE = "decimal(30,6)"
 
 
-def line_sums(lines: DataFrame) -> DataFrame:
-    """Sum of quantity x price and of line tax per invoice."""
-    return lines.groupBy("invoice_id").agg(
+def line_facts(lines: DataFrame) -> DataFrame:
+    """What headers, rules and routing need of an invoice's lines, from one aggregate.
+
+    Sums of quantity x price and of line tax, the number of lines; of lines with ``total``
+    its sum, of lines with ``category_confidence`` its least value that is not 0.
+    """
+    facts = [
         F.sum((F.col("quantity").cast("decimal(18,2)") * F.col("unit_price")).cast(WIDE)).alias("line_total"),
         F.sum(F.col("tax_amount")).alias("line_tax"), F.count("*").alias("line_count"),
-    )
+    ]
+    if "total" in lines.columns:
+        facts.append(F.sum("total").alias("line_net"))
+    if "category_confidence" in lines.columns:
+        facts.append(F.min(F.nullif(F.col("category_confidence"), F.lit(0.0))).alias("line_confidence"))
+    return lines.groupBy("invoice_id").agg(*facts)
 
 
 def _given(name: str) -> Column:
@@ -34,12 +43,18 @@ def _off(actual: Column, expected: Column, base: Column) -> Column:
 
 
 def failures(invoices: DataFrame, lines: DataFrame, tolerance: float = ARITHMETIC_TOLERANCE) -> DataFrame:
-    """Invoices with an array of rule failures (rule, path, expected, actual).
+    """Invoices joined with their ``line_facts``, and checked by ``check_rules``."""
+    return check_rules(invoices.join(line_facts(lines), "invoice_id", "left"), tolerance)
+
 
-    Line sums are aggregated once and joined once; every rule is an expression over
-    the joined row. A value of 0 counts as absent where the rules say so.
+def check_rules(joined: DataFrame, tolerance: float = ARITHMETIC_TOLERANCE) -> DataFrame:
+    """Invoices that carry their ``line_facts``, with an array of rule failures (rule, path, expected, actual).
+
+    Every rule is an expression over the row; nothing is joined. A value of 0 counts as absent
+    where the rules say so. A column ``<amount>_text`` holds an amount as it was read: text
+    without a number breaks ``amount_format``.
     """
-    joined = invoices.join(line_sums(lines), "invoice_id", "left")
+    given = set(joined.columns)
     start = F.when(_given("subtotal") != 0, _given("subtotal")).otherwise(_given("grand_total"))
     joined = joined.withColumn("_expected", start + _given("tax_amount") + _given("shipping") - _given("discount"))
     joined = joined.withColumn("_tax_expected", dbl(F.col("subtotal")) * F.coalesce(F.col("tax_rate"), F.lit(0.0)) / 100)
@@ -76,7 +91,7 @@ def failures(invoices: DataFrame, lines: DataFrame, tolerance: float = ARITHMETI
     ]
     checks += [fail(F.col(a) < 0, "non_negative_amount", f"/amounts/{a}") for a in AMOUNTS]
     for a in AMOUNTS:
-        if f"{a}_text" in invoices.columns:
+        if f"{a}_text" in given:
             checks.append(fail(F.col(f"{a}_text").isNotNull() & F.col(a).isNull(), "amount_format", f"/amounts/{a}"))
             places = F.length(F.regexp_extract(F.col(f"{a}_text"), r"\.(\d+)$", 1))
             checks.append(fail(places > CURRENCY_DECIMALS, "rounding_policy", f"/amounts/{a}"))
@@ -108,24 +123,24 @@ def duplicates(invoices: DataFrame, days: int = DUPLICATE_WINDOW_DAYS) -> DataFr
     return joined.withColumn("is_duplicate", later_copy | recent).drop("_first", "_prev")
 
 
-def decide(checked: DataFrame, lines: DataFrame, field_min: float = FIELD_CONFIDENCE_MIN,
-           category_min: float = CATEGORY_CONFIDENCE_MIN) -> DataFrame:
-    """auto_post, patch or needs_review from field, rule and category checks."""
-    weakest = lines.where(F.col("category_confidence") != 0).groupBy("invoice_id").agg(
-        F.min("category_confidence").alias("_cat")
-    )
+def decide(checked: DataFrame, field_min: float = FIELD_CONFIDENCE_MIN, category_min: float = CATEGORY_CONFIDENCE_MIN) -> DataFrame:
+    """auto_post, patch or needs_review from the field, rule and category checks of an invoice with its ``line_facts``.
+
+    The category of an invoice without graded lines is sure.
+    """
+    weakest = F.coalesce("line_confidence", F.lit(1.0)) if "line_confidence" in checked.columns else F.lit(1.0)
     fields = F.least(*[F.coalesce(F.col("field_confidence")[f], F.lit(0.0)) for f in REQUIRED_FIELDS])
     rules = F.transform("failures", lambda f: f["rule"])
     fixable = F.arrays_overlap(rules, F.array(*[F.lit(r) for r in FIXABLE_RULES]))
-    out = checked.join(weakest, "invoice_id", "left").select(
+    out = checked.select(
         "*", (fields >= field_min).alias("fields_ok"), (F.size("failures") == 0).alias("rules_ok"),
-        (F.coalesce("_cat", F.lit(1.0)) >= category_min).alias("category_ok"),
+        (weakest >= category_min).alias("category_ok"),
     )
     action = (
         F.when(F.col("fields_ok") & F.col("rules_ok") & F.col("category_ok"), "auto_post")
         .when(~F.col("rules_ok") & fixable, "patch").otherwise("needs_review")
     )
-    return out.withColumn("action", action).drop("_cat")
+    return out.withColumn("action", action)
 
 
 def propose_patches(failure_table: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -171,20 +186,37 @@ PATCH_PATHS = {
 }
 
 
+#: Where a value was read: by field, its page and box.
+EVIDENCE = "map<string, struct<page: int, bbox: array<int>>>"
+
+
 def apply_patches(invoices: DataFrame, patches: DataFrame) -> DataFrame:
-    """Replace patched columns with the last patch per path; one aggregate, one join."""
+    """Replace patched columns with the last patch per path; one aggregate, one join.
+
+    Invoices with a column ``evidence`` (``EVIDENCE``) get, for each field that a patch
+    changed, the page of the patch's first citation; a citation names no box.
+    """
     usable = {p: t for p, t in PATCH_PATHS.items() if t[0] in invoices.columns}
+    last = lambda value, p: F.max_by(value, F.when(F.col("path") == p, F.col("seq")))
+    traced = "evidence" in invoices.columns
     wide = patches.where(F.col("op") == "replace").groupBy("invoice_id").agg(
-        *[F.max_by("value", F.when(F.col("path") == p, F.col("seq"))).alias(f"_p_{c}") for p, (c, _) in usable.items()]
+        *[last("value", p).alias(f"_p_{c}") for p, (c, _) in usable.items()],
+        *[last(F.get("cites", F.lit(0)), p).alias(f"_e_{c}") for p, (c, _) in usable.items() if traced],
     )
     joined = invoices.join(wide, "invoice_id", "left")
+    if traced:
+        page = lambda c: F.regexp_extract(F.col(f"_e_{c}"), r"^p(\d+)", 1).try_cast("int")
+        entry = lambda c: F.struct(F.lit({"number": "invoice_number"}.get(c, c)).alias("key"), F.struct(page(c).alias("page"), F.lit(None).cast("array<int>").alias("bbox")).alias("value"))
+        patched = F.map_from_entries(F.array_compact(F.array(*[F.when(F.col(f"_p_{c}").try_cast(t).isNotNull(), entry(c)) for c, t in usable.values()])))
+        read = F.coalesce("evidence", F.create_map().cast(EVIDENCE))
+        joined = joined.withColumn("_new", patched).withColumn("evidence", F.map_concat(F.map_filter(read, lambda k, _: ~F.map_contains_key("_new", k)), F.col("_new"))).drop("_new")
     out = joined.withColumns({c: F.coalesce(F.col(f"_p_{c}").try_cast(t), F.col(c)) for c, t in usable.values()})
-    return out.drop(*[f"_p_{c}" for c, _ in usable.values()])
+    return out.drop(*[f"{x}{c}" for c, _ in usable.values() for x in ("_p_", "_e_")])
 
 
-def rerun(invoices: DataFrame, lines: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply patches, run the rules again: auto_posted or needs_review."""
-    again = failures(apply_patches(invoices, valid_patches(patches)), lines)
+def rerun(joined: DataFrame, patches: DataFrame) -> DataFrame:
+    """Patch invoices that carry their ``line_facts`` and run the rules again: auto_posted or needs_review."""
+    again = check_rules(apply_patches(joined, valid_patches(patches)))
     return again.withColumn("status", F.when(F.size("failures") == 0, "auto_posted").otherwise("needs_review"))
 
 
@@ -206,33 +238,52 @@ def merge_sources(primary: DataFrame, secondary: DataFrame, fields: list[str], g
 
 # Header fields of the export, always written or only when present.
 EXPORT_REQUIRED = ("invoice_number", "invoice_date", "vendor_name", "grand_total", "currency")
-EXPORT_OPTIONAL = ("due_date", "subtotal", "tax_amount", "tax_rate", "discount", "shipping")
+EXPORT_OPTIONAL = (
+    "due_date", "vendor_address", "vendor_tax_id", "vendor_phone", "vendor_email",
+    "subtotal", "tax_amount", "tax_rate", "discount", "shipping",
+)
 EXPORT_LINE = ("description", "quantity", "unit_price", "total", "tax_amount")
 
 
-def export_long(invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """Field rows (name, value, confidence, method, reviewed) of headers and lines.
+def export_long(invoices: DataFrame, lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Field rows (name, value, confidence, page and box of the evidence, method, reviewed) of headers and lines.
 
-    Lines are exploded where they are and unioned; nothing is gathered per invoice.
-    Line numbers come from the line table.
+    Lines are exploded where they are and unioned; nothing is gathered per invoice. Line
+    numbers come from the line table. ``carry`` names invoice columns that each row repeats.
+    Headers and lines may hold ``evidence`` (``EVIDENCE``); a field without any has NULL, and a
+    box is written as a JSON array. Line confidences are 1 unless ``field_confidence`` has them.
     """
-    conf = lambda f: F.coalesce(F.col("field_confidence")[f], F.lit(0.0))
+    none = F.lit(None)
+
+    def seen(df: DataFrame, f: str) -> list[Column]:
+        at = F.col("evidence")[f] if "evidence" in df.columns else none.cast("struct<page: int, bbox: array<int>>")
+        box = at["bbox"]
+        return [at["page"].alias("evidence_page"), F.when(box.isNotNull(), F.concat(F.lit("["), F.array_join(box.cast("array<string>"), ", "), F.lit("]"))).alias("evidence_bbox")]
+
+    def sure(df: DataFrame, f: str, default: float) -> Column:
+        return F.coalesce(F.col("field_confidence")[f], F.lit(default)) if "field_confidence" in df.columns else F.lit(default)
+
+    keep = ["invoice_id", "method", "reviewed", *[F.col(c).alias(f"_{c}") for c in carry]]
+    names = ["invoice_id", "method", "reviewed", "field_name", "field_value", "confidence", "evidence_page", "evidence_bbox"]
+    names += [F.col(f"_{c}").alias(c) for c in carry]
     cell = lambda f, opt: F.struct(
-        F.lit(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), conf(f).alias("confidence"),
-        F.lit(opt).alias("optional"),
+        F.lit(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), sure(invoices, f, 0.0).alias("confidence"),
+        *seen(invoices, f), F.lit(opt).alias("optional"),
     )
     present = [f for f in (*EXPORT_REQUIRED, *EXPORT_OPTIONAL) if f in invoices.columns]
-    head = invoices.select(
-        "invoice_id", "method", "reviewed", F.inline(F.array(*[cell(f, f in EXPORT_OPTIONAL) for f in present]))
-    ).where(~F.col("optional") | F.col("field_value").isNotNull()).drop("optional")
+    head = invoices.select(*keep, F.inline(F.array(*[cell(f, f in EXPORT_OPTIONAL) for f in present])))
+    head = head.where(~F.col("optional") | F.col("field_value").isNotNull())
     prefix = lambda f: F.concat(F.lit("line_item_"), F.col("line_no").cast("string"), F.lit(f"_{f}"))
     cells = [
-        F.struct(prefix(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("m"))
+        F.struct(
+            prefix(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), sure(lines, f, 1.0).alias("confidence"),
+            *seen(lines, f), none.cast("string").alias("m"),
+        )
         for f in EXPORT_LINE if f in lines.columns
     ]
-    cells.append(F.struct(prefix("category").alias("field_name"), F.col("category").alias("field_value"), F.col("category_confidence").alias("confidence"), F.lit("ml_classification").alias("m")))
-    meta = invoices.select("invoice_id", "method", "reviewed")
-    body = lines.select("invoice_id", F.inline(F.array(*cells))).where(F.col("field_value").isNotNull()).join(meta, "invoice_id").select(
-        "invoice_id", F.coalesce("m", "method").alias("method"), "reviewed", "field_name", "field_value", "confidence"
-    )
-    return head.unionByName(body)
+    cells.append(F.struct(
+        prefix("category").alias("field_name"), F.col("category").alias("field_value"), F.col("category_confidence").alias("confidence"),
+        *seen(lines, "category"), F.lit("ml_classification").alias("m"),
+    ))
+    body = lines.select("invoice_id", F.inline(F.array(*cells))).where(F.col("field_value").isNotNull()).join(invoices.select(*keep), "invoice_id")
+    return head.select(*names).unionByName(body.withColumn("method", F.coalesce("m", "method")).select(*names))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallyframe.constants import DEFAULT_BUDGETS
 from tallyframe.operators import budget, trend
 from tallyframe.plans.registry import report
+from tallyframe.session import fresh_dir
+from tallyframe.sources import sinks
 from tallyframe.sources.adapters import TXN, transactions
 
 AS_OF = "1998-08-15"
@@ -118,7 +120,12 @@ def _changes(spark, d):
       CASE WHEN month >= '1998-07' THEN 'high' ELSE 'medium' END AS priority FROM spend""",
 )
 def so_upsert_budget(spark, d):
-    return budget.upsert_budgets(_budget_table(spark, d), _changes(spark, d))
+    """A budget table by month, into which the changes are merged: months without changes are not written again."""
+    path, keys = fresh_dir(spark, "budgets"), ["tenant", "category", "month"]
+    sinks.merge_rows(_budget_table(spark, d), path, keys, ["month"])
+    changes = _changes(spark, d)
+    sinks.merge_rows(changes, path, keys, ["month"])
+    return spark.read.schema(changes.schema).parquet(path)
 
 
 @report(

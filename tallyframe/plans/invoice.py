@@ -12,7 +12,9 @@ from tallyframe.functions.text import amounts_in_text
 from tallyframe.operators import fields, invoice_rules, lines, tokens
 from tallyframe.plans.registry import report
 from tallyframe.plans.text import all_text
-from tallyframe.sources.adapters import INVOICE, LINE, RENDERED, invoice_lines, invoices, rendered_invoices, table
+from tallyframe.session import fresh_dir
+from tallyframe.sources import sinks
+from tallyframe.sources.adapters import INVOICE, LINE, RENDERED, invoice_headers, invoice_lines, invoices, rendered_invoices, table
 
 # --- tokens --------------------------------------------------------------------
 
@@ -295,21 +297,31 @@ def ag_invoice_fill(spark, d):
 
 # --- rules, routing, patches -----------------------------------------------------
 
+def graded_lines(spark, d):
+    return invoice_lines(spark, d).withColumn("category_confidence", F.when(F.col("l_partkey") % 3 == 0, 0.6).otherwise(0.9))
+
+
+def fact_invoices(spark, d):
+    """Headers with the facts of their lines: one aggregate of the lines serves headers, rules and routing."""
+    facts = invoice_rules.line_facts(graded_lines(spark, d))
+    return invoice_headers(spark, d).join(facts, "invoice_id", "left").withColumns({"subtotal": money(F.col("line_net")), "tax_amount": money(F.col("line_tax"))})
+
+
 def case_invoices(spark, d):
-    """Invoices with a share of each defect: dates, currency, sign, decimals, hash."""
+    """Invoices with a share of each defect: dates, currency, sign, decimals, unreadable amount, hash."""
     k = F.col("invoice_id").cast("bigint")
     day = F.date_format("invoice_date", "yyyy-MM-dd")
-    base = invoices(spark, d)
+    base = fact_invoices(spark, d)
     return base.select(
-        "invoice_id", "grand_total", "subtotal", "tax_amount", F.when(k % 2 == 1, F.lit(4.0)).alias("tax_rate"),
-        F.when(k % 13 == 0, F.lit("-1.00").cast("decimal(18,2)")).alias("discount"), F.when(k % 17 == 0, F.lit("5.125").cast("decimal(18,3)")).alias("shipping"),
+        "invoice_id", "line_total", "line_tax", "line_confidence", "grand_total", "subtotal", "tax_amount", F.when(k % 2 == 1, F.lit(4.0)).alias("tax_rate"),
+        F.when(k % 13 == 0, F.lit("-1.00").cast("decimal(18,2)")).alias("discount"), F.when(k % 17 == 0, "5.125").when(k % 23 == 0, "to be agreed").alias("shipping_text"),
         F.when(k % 7 == 0, "").when(k % 7 == 1, "soon").otherwise(day).alias("invoice_date_text"),
         F.when(k % 11 == 0, F.date_format(F.date_sub("invoice_date", 1), "yyyy-MM-dd")).when(k % 11 == 1, "later").otherwise(F.date_format("due_date", "yyyy-MM-dd")).alias("due_date_text"),
         F.when(k % 5 == 0, "").when(k % 5 == 1, "XXX").otherwise("EUR").alias("currency"),
         F.when(k % 19 != 0, F.md5("invoice_id")).alias("duplicate_hash"),
     ).withColumn("invoice_date", F.try_to_date("invoice_date_text", "yyyy-MM-dd")).withColumn(
         "due_date", F.try_to_date("due_date_text", "yyyy-MM-dd")
-    )
+    ).withColumn("shipping", F.col("shipping_text").try_cast("decimal(18,3)"))
 
 
 CASES = f"""{INVOICE}, ci AS (SELECT invoice_id, CAST(invoice_id AS BIGINT) AS k, grand_total, subtotal, tax_amount, CASE WHEN CAST(invoice_id AS BIGINT) % 2 = 1 THEN 4.0 END AS tax_rate,
@@ -333,12 +345,13 @@ CASES = f"""{INVOICE}, ci AS (SELECT invoice_id, CAST(invoice_id AS BIGINT) AS k
   UNION ALL SELECT invoice_id, 'non_negative_amount', '/amounts/discount', NULL, NULL FROM cj WHERE discount < 0
   UNION ALL SELECT invoice_id, 'duplicate_hash', '/duplicate_hash', NULL, NULL FROM cj WHERE k % 19 = 0
   UNION ALL SELECT invoice_id, 'rounding_policy', '/amounts/shipping', NULL, NULL FROM cj WHERE shipping IS NOT NULL
+  UNION ALL SELECT invoice_id, 'amount_format', '/amounts/shipping', NULL, NULL FROM cj WHERE k % 23 = 0 AND k % 17 <> 0
   UNION ALL SELECT invoice_id, 'tax_coherence', '/amounts/tax_amount', tx, ta FROM cj WHERE tax_rate <> 0 AND ta <> 0 AND tx <> 0 AND abs(ta - tx) / abs(tx) > 0.02)"""
 
 
 @report("dj_invoice_rules", f"WITH {CASES} SELECT invoice_id, rule, path, round(expected, 2) AS expected, actual FROM fl")
 def dj_invoice_rules(spark, d):
-    rows = invoice_rules.failure_rows(invoice_rules.failures(case_invoices(spark, d), invoice_lines(spark, d)))
+    rows = invoice_rules.failure_rows(invoice_rules.check_rules(case_invoices(spark, d)))
     return rows.withColumn("expected", rounded("expected", 2))
 
 
@@ -348,21 +361,16 @@ def with_confidence(df):
     return df.withColumn("field_confidence", conf)
 
 
-def graded_lines(spark, d):
-    return invoice_lines(spark, d).withColumn("category_confidence", F.when(F.col("l_partkey") % 3 == 0, 0.6).otherwise(0.9))
-
-
 def clean_invoices(spark, d):
     """Half of the invoices repaired so that all rules pass: grand total and subtotal from the lines."""
     k = F.col("invoice_id").cast("bigint")
     fixed = k % 2 == 0
-    sums = invoice_rules.line_sums(invoice_lines(spark, d)).select("invoice_id", money(F.col("line_total")).alias("_lt"))
-    base = case_invoices(spark, d).join(sums, "invoice_id", "left")
+    base = case_invoices(spark, d).withColumn("_lt", money(F.col("line_total")))
     day = F.coalesce("invoice_date", F.lit("1998-01-01").cast("date"))
     return base.withColumns({
         "subtotal": F.when(fixed, F.col("_lt")).otherwise(F.col("subtotal")),
         "grand_total": F.when(fixed, money(F.coalesce("_lt", money(10)) + F.coalesce("tax_amount", money(0)))).otherwise(F.col("grand_total")),
-        "discount": F.when(~fixed, F.col("discount")), "shipping": F.when(~fixed, F.col("shipping")),
+        "discount": F.when(~fixed, F.col("discount")), "shipping": F.when(~fixed, F.col("shipping")), "shipping_text": F.when(~fixed, F.col("shipping_text")),
         "currency": F.when(fixed, "EUR").otherwise(F.col("currency")), "duplicate_hash": F.when(fixed, F.md5("invoice_id")).otherwise(F.col("duplicate_hash")),
         "invoice_date": F.when(fixed, day).otherwise(F.col("invoice_date")), "due_date": F.when(fixed, day).otherwise(F.col("due_date")),
         "invoice_date_text": F.when(fixed, "1998-01-01").otherwise(F.col("invoice_date_text")), "due_date_text": F.when(fixed, "1998-01-01").otherwise(F.col("due_date_text")),
@@ -377,13 +385,12 @@ def clean_invoices(spark, d):
     SELECT invoice_id, fields_ok, rules_ok, category_ok, CASE WHEN fields_ok AND rules_ok AND category_ok THEN 'auto_post' WHEN NOT rules_ok AND fixable THEN 'patch' ELSE 'needs_review' END AS action FROM x""",
 )
 def dj_route_decision(spark, d):
-    line = graded_lines(spark, d)
-    checked = invoice_rules.failures(with_confidence(clean_invoices(spark, d)), line)
-    return invoice_rules.decide(checked, line).select("invoice_id", "fields_ok", "rules_ok", "category_ok", "action")
+    checked = invoice_rules.check_rules(with_confidence(clean_invoices(spark, d)))
+    return invoice_rules.decide(checked).select("invoice_id", "fields_ok", "rules_ok", "category_ok", "action")
 
 
 def patches(spark, d):
-    fails = invoice_rules.failure_rows(invoice_rules.failures(case_invoices(spark, d), invoice_lines(spark, d)))
+    fails = invoice_rules.failure_rows(invoice_rules.check_rules(case_invoices(spark, d)))
     return invoice_rules.propose_patches(fails, tokens.tokenise(rendered_invoices(spark, d)))
 
 
@@ -430,7 +437,7 @@ def jn_patch_apply(spark, d):
     SELECT invoice_id, CASE WHEN n IS NULL THEN 'auto_posted' ELSE 'needs_review' END AS status, coalesce(n, 0) AS failures FROM ci LEFT JOIN left_over USING (invoice_id)""",
 )
 def dj_review_rerun(spark, d):
-    out = invoice_rules.rerun(case_invoices(spark, d), invoice_lines(spark, d), patches(spark, d))
+    out = invoice_rules.rerun(case_invoices(spark, d), patches(spark, d))
     return out.select("invoice_id", "status", F.size("failures").alias("failures"))
 
 
@@ -466,51 +473,91 @@ def jn_source_merge(spark, d):
 
 # --- export -----------------------------------------------------------------------
 
+HEAD_BOXES = ("invoice_number", "invoice_date", "vendor_name", "vendor_tax_id", "grand_total", "currency")
+LINE_BOXES = ("quantity", "unit_price", "total")
+
+
+def seen_at(page, x, y):
+    return F.struct(page.cast("int").alias("page"), F.array(*[v.cast("int") for v in (x, y, x + 90, y + 12)]).alias("bbox"))
+
+
 def export_invoices(spark, d):
-    base = invoices(spark, d).join(table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("vendor_name")), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return with_confidence(base).select(
-        "invoice_id", F.lit("deterministic").alias("method"), (F.col("order_status") == "F").alias("reviewed"), "field_confidence", F.col("number").alias("invoice_number"),
-        "invoice_date", "vendor_name", "grand_total", F.lit("EUR").alias("currency"), "due_date", "subtotal", "tax_amount",
+    """Headers of the export with evidence for six fields; every tenth invoice has a patched total, cited from page 2."""
+    k = F.col("invoice_id").cast("bigint")
+    c = F.col("c_custkey")
+    vendor = table(spark, d, "customer").select(
+        "c_custkey", F.col("c_name").alias("vendor_name"), F.concat(F.lit("Box "), c.cast("string"), F.lit(", "), "c_mktsegment").alias("vendor_address"),
+        F.when(c % 3 == 0, F.concat(F.lit("DE"), c.cast("string"))).alias("vendor_tax_id"), F.when(c % 4 == 0, F.concat(F.lit("+49 30 "), c.cast("string"))).alias("vendor_phone"),
+        F.when(c % 5 == 0, F.concat(F.lit("v"), c.cast("string"), F.lit("@example.org"))).alias("vendor_email"),
+    )
+    boxes = F.create_map(*[x for i, f in enumerate(HEAD_BOXES) for x in (F.lit(f), seen_at(k % 2, F.lit(40 + 100 * i), k % 700))])
+    base = invoices(spark, d).join(vendor, F.col("o_custkey") == F.col("c_custkey"), "left").withColumn("evidence", boxes)
+    patch = invoice_headers(spark, d).where(k % 10 == 3).select(
+        "invoice_id", F.lit(1).alias("seq"), F.lit("replace").alias("op"), F.lit("/amounts/grand_total").alias("path"), (F.col("grand_total") + 1).cast("string").alias("value"),
+        F.lit("Total read again on its page").alias("rationale"), F.array(F.lit("p2#l4")).alias("cites"),
+    )
+    patched = invoice_rules.apply_patches(base, invoice_rules.valid_patches(patch))
+    return with_confidence(patched).select(
+        "invoice_id", F.lit("deterministic").alias("method"), (F.col("order_status") == "F").alias("reviewed"), "field_confidence", "evidence", F.col("number").alias("invoice_number"),
+        "invoice_date", "vendor_name", "vendor_address", "vendor_tax_id", "vendor_phone", "vendor_email", "grand_total", F.lit("EUR").alias("currency"), "due_date", "subtotal", "tax_amount",
     )
 
 
 def export_lines(spark, d):
+    boxes = F.create_map(*[x for i, f in enumerate(LINE_BOXES) for x in (F.lit(f), seen_at(F.lit(0), F.lit(40 + 100 * i), F.col("line_no") * 20))])
     return invoice_lines(spark, d).select(
         "invoice_id", "line_no", F.lit(None).cast("string").alias("description"), F.col("quantity").cast("int").alias("quantity"), "unit_price", "total", "tax_amount",
-        F.col("l_returnflag").alias("category"), F.lit(0.9).alias("category_confidence"),
+        F.col("l_returnflag").alias("category"), F.lit(0.9).alias("category_confidence"), boxes.alias("evidence"),
     )
 
 
-EXPORT = f"""{INVOICE}, hx AS (SELECT inv.*, c_name, CASE WHEN CAST(invoice_id AS BIGINT) % 4 = 0 THEN 0.7 ELSE 0.95 END AS fc, order_status = 'F' AS reviewed FROM inv LEFT JOIN customer ON o_custkey = c_custkey),
- ex AS (SELECT invoice_id, 'deterministic' AS method, reviewed, 'invoice_number' AS field_name, number AS field_value, fc AS confidence FROM hx
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'invoice_date', CAST(invoice_date AS VARCHAR), fc FROM hx
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'vendor_name', c_name, 0.0 FROM hx
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'grand_total', CAST(grand_total AS VARCHAR), fc FROM hx
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'currency', 'EUR', fc FROM hx
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'due_date', CAST(due_date AS VARCHAR), 0.0 FROM hx
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'subtotal', CAST(subtotal AS VARCHAR), 0.0 FROM hx WHERE subtotal IS NOT NULL
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'tax_amount', CAST(tax_amount AS VARCHAR), 0.0 FROM hx WHERE tax_amount IS NOT NULL
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'line_item_' || line_no || '_quantity', CAST(CAST(quantity AS INTEGER) AS VARCHAR), 1.0 FROM line JOIN hx USING (invoice_id)
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'line_item_' || line_no || '_unit_price', CAST(unit_price AS VARCHAR), 1.0 FROM line JOIN hx USING (invoice_id)
-  UNION ALL SELECT invoice_id, 'deterministic', reviewed, 'line_item_' || line_no || '_total', CAST(total AS VARCHAR), 1.0 FROM line JOIN hx USING (invoice_id)
-  UNION ALL SELECT line.invoice_id, 'deterministic', reviewed, 'line_item_' || line_no || '_tax_amount', CAST(line.tax_amount AS VARCHAR), 1.0 FROM line JOIN hx ON hx.invoice_id = line.invoice_id
-  UNION ALL SELECT invoice_id, 'ml_classification', reviewed, 'line_item_' || line_no || '_category', l_returnflag, 0.9 FROM line JOIN hx USING (invoice_id))"""
-
-
-@report("snk_export_long", f"WITH {EXPORT} SELECT invoice_id, method, reviewed, field_name, field_value, CAST(confidence AS DOUBLE) AS confidence FROM ex")
+def _head_arm(field, value, sure, need=None):
+    """One arm of the export's SQL: a header field with its evidence; a patched total has a page and no box."""
+    page, box = "NULL", "NULL"
+    if field in HEAD_BOXES:
+        x = 40 + 100 * HEAD_BOXES.index(field)
+        page, box = "k % 2", f"'[{x}, ' || k % 700 || ', {x + 90}, ' || (k % 700 + 12) || ']'"
+    if field == "grand_total":
+        page, box = f"CASE WHEN k % 10 = 3 THEN 2 ELSE {page} END", f"CASE WHEN k % 10 <> 3 THEN {box} END"
+    where = f" WHERE {need} IS NOT NULL" if need else ""
+    return f"SELECT invoice_id, 'deterministic' AS method, reviewed, '{field}' AS field_name, {value} AS field_value, {sure} AS confidence, CAST({page} AS INTEGER) AS evidence_page, CAST({box} AS VARCHAR) AS evidence_bbox FROM hx{where}"
+
+
+def _line_arm(field, value, method="deterministic", sure="1.0"):
+    page, box = "NULL", "NULL"
+    if field in LINE_BOXES:
+        x = 40 + 100 * LINE_BOXES.index(field)
+        page, box = "0", f"'[{x}, ' || line_no * 20 || ', {x + 90}, ' || (line_no * 20 + 12) || ']'"
+    return f"SELECT line.invoice_id, '{method}', reviewed, 'line_item_' || line_no || '_{field}', {value}, {sure}, CAST({page} AS INTEGER), CAST({box} AS VARCHAR) FROM line JOIN hx ON hx.invoice_id = line.invoice_id"
+
+
+EXPORT = f"""{INVOICE}, hx AS (SELECT inv.* REPLACE (CASE WHEN CAST(invoice_id AS BIGINT) % 10 = 3 THEN CAST(grand_total + 1 AS DECIMAL(18,2)) ELSE grand_total END AS grand_total), CAST(invoice_id AS BIGINT) AS k, c_name,
+   'Box ' || c_custkey || ', ' || c_mktsegment AS address, CASE WHEN c_custkey % 3 = 0 THEN 'DE' || c_custkey END AS tax_id, CASE WHEN c_custkey % 4 = 0 THEN '+49 30 ' || c_custkey END AS phone,
+   CASE WHEN c_custkey % 5 = 0 THEN 'v' || c_custkey || '@example.org' END AS email,
+   CASE WHEN CAST(invoice_id AS BIGINT) % 4 = 0 THEN 0.7 ELSE 0.95 END AS fc, order_status = 'F' AS reviewed FROM inv LEFT JOIN customer ON o_custkey = c_custkey),
+ ex AS (""" + " UNION ALL ".join([
+    _head_arm("invoice_number", "number", "fc"), _head_arm("invoice_date", "CAST(invoice_date AS VARCHAR)", "fc"), _head_arm("vendor_name", "c_name", "0.0"),
+    _head_arm("grand_total", "CAST(grand_total AS VARCHAR)", "fc"), _head_arm("currency", "'EUR'", "fc"), _head_arm("due_date", "CAST(due_date AS VARCHAR)", "0.0", "due_date"),
+    _head_arm("vendor_address", "address", "0.0", "address"), _head_arm("vendor_tax_id", "tax_id", "0.0", "tax_id"), _head_arm("vendor_phone", "phone", "0.0", "phone"), _head_arm("vendor_email", "email", "0.0", "email"),
+    _head_arm("subtotal", "CAST(subtotal AS VARCHAR)", "0.0", "subtotal"), _head_arm("tax_amount", "CAST(tax_amount AS VARCHAR)", "0.0", "tax_amount"),
+    _line_arm("quantity", "CAST(CAST(quantity AS INTEGER) AS VARCHAR)"), _line_arm("unit_price", "CAST(unit_price AS VARCHAR)"), _line_arm("total", "CAST(total AS VARCHAR)"),
+    _line_arm("tax_amount", "CAST(line.tax_amount AS VARCHAR)"), _line_arm("category", "l_returnflag", "ml_classification", "0.9"),
+]) + ")"
+
+
+@report("snk_export_long", f"WITH {EXPORT} SELECT invoice_id, method, reviewed, field_name, field_value, CAST(confidence AS DOUBLE) AS confidence, evidence_page, evidence_bbox FROM ex")
 def snk_export_long(spark, d):
     return invoice_rules.export_long(export_invoices(spark, d), export_lines(spark, d))
 
 
 @report(
     "snk_export_batch_csv",
-    f"""WITH {EXPORT} SELECT ex.invoice_id AS job_id, hx.number AS invoice_number, c_name AS vendor_name, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(grand_total AS DOUBLE) AS grand_total, field_name, field_value
-    FROM ex JOIN hx USING (invoice_id)""",
+    f"""WITH {EXPORT} SELECT ex.invoice_id AS job_id, hx.number AS invoice_number, c_name AS vendor_name, CAST(invoice_date AS VARCHAR) AS invoice_date, CAST(grand_total AS DOUBLE) AS grand_total, field_name, field_value,
+      CAST(confidence AS DOUBLE) AS confidence, evidence_page, evidence_bbox, method, ex.reviewed FROM ex JOIN hx ON hx.invoice_id = ex.invoice_id""",
 )
 def snk_export_batch_csv(spark, d):
-    from tallyframe.sources.sinks import batch_rows
-
-    head = export_invoices(spark, d)
-    return batch_rows(head, invoice_rules.export_long(head, export_lines(spark, d))).select(
-        "job_id", "invoice_number", "vendor_name", "invoice_date", "grand_total", "field_name", "field_value"
-    )
+    """All invoices as CSV files, read back."""
+    path = fresh_dir(spark, "export-batch")
+    rows = invoice_rules.export_long(export_invoices(spark, d), export_lines(spark, d), carry=sinks.BATCH_KEYS)
+    sinks.write_csv(sinks.batch_rows(rows), path)
+    return spark.read.schema(sinks.BATCH_SCHEMA).option("header", True).csv(path)

@@ -608,7 +608,7 @@ def src_csv_txn(spark, d):
     )
     for rows in layouts:
         rows.write.mode("append").option("header", True).csv(path)
-    return csv_txn.normalise(csv_txn.read_csv(spark, path), "1999-12-31").drop("filename", "_malformed")
+    return csv_txn.normalise(csv_txn.read_csv(spark, path, (*csv_txn.FIELDS, "row_index")), "1999-12-31").drop("filename", "_malformed")
 
 
 LOOSE = """coalesce(CAST(TRY_CAST(nullif(regexp_extract(regexp_replace(raw, '[$€£¥,]', '', 'g'), '^\\s*([-+]?(?:\\d+\\.?\\d*|\\.\\d+))', 1), '') AS DECIMAL(18,2)) AS DOUBLE), 0)"""

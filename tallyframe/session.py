@@ -65,6 +65,12 @@ def _remove(jvm, configuration, path: str) -> None:
         place.getFileSystem(configuration).delete(place, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: for a costly input that one plan reads several times.
 

@@ -151,10 +151,9 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoice headers from orders; subtotal and tax come from the lines, so an
-    order without lines has none."""
-    header = table(spark, sf_dir, "orders").select(
+def invoice_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice headers from orders, without what their lines add up to."""
+    return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("invoice_id"),
         F.col("o_custkey"),
         F.col("o_orderkey").cast("string").alias("number"),
@@ -163,6 +162,11 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast(MONEY).alias("grand_total"),
         F.col("o_orderstatus").alias("order_status"),
     )
+
+
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice headers from orders; subtotal and tax come from the lines, so an
+    order without lines has none."""
     sums = (
         invoice_lines(spark, sf_dir)
         .groupBy("invoice_id")
@@ -172,7 +176,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("*").alias("n_lines"),
         )
     )
-    return header.join(sums, "invoice_id", "left")
+    return invoice_headers(spark, sf_dir).join(sums, "invoice_id", "left")
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,48 +40,57 @@ def placed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("offset", F.struct("block", F.monotonically_increasing_id().alias("row")))
 
 
-def header_columns(header: str) -> list[str]:
-    """Lower-case column names of a header line; blank and repeated ones get a name of their own."""
-    names: list[str] = []
-    for k, cell in enumerate(next(csv.reader([header.lstrip("\ufeff")], skipinitialspace=True), [])):
-        name = cell.strip().lower() or f"column_{k + 1}"
-        names.append(name if name not in names else f"{name}_{k + 1}")
-    return names
+#: A cell up to its separator, in a line that ends with one: runs without quotes, and quoted parts.
+CELL = r'((?:[^",]++|"(?:[^"\\]++|\\.|"")*+")*+),'
+#: Columns that ``normalise`` looks for.
+FIELDS = ("date", *DEFAULTS, "amount", "tax_amount")
 
 
-#: The end of each cell of a line: a separator outside quotes, or nothing at the line's end.
-CELL_END = r'(?:"(?:[^"]|"")*"|[^",])*(,|$)'
+def cells_of(line: Column) -> Column:
+    """Cells of a delimited line, trimmed and without their quotes."""
+    bare = F.regexp_replace(line, "^\ufeff|\r$", "")
+    quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
+    inner = lambda c: F.regexp_replace(F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')), r'\\(["\\])', "$1")
+    trimmed = F.transform(F.regexp_extract_all(F.concat(bare, F.lit(",")), F.lit(CELL), F.lit(1)), lambda c: F.trim(c))
+    return F.transform(trimmed, lambda c: F.when(quoted(c), inner(c)).otherwise(c))
 
 
-def by_header(lines: DataFrame) -> DataFrame:
-    """Rows of all files as strings, each file's cells named by its own header line.
+def header_names(header: Column) -> Column:
+    """Lower-case column names of a header line; a blank or repeated one is named by its place."""
+    names = F.transform(cells_of(header), lambda c: F.lower(F.trim(c)))
+    placed_name = lambda k: F.concat(F.lit("column_"), (k + 1).cast("string"))
+    repeated = lambda c, k: F.array_position(names, c) != k + 1
+    return F.transform(names, lambda c, k: F.when(c == "", placed_name(k)).when(repeated(c, k), F.concat(c, F.lit("_"), (k + 1).cast("string"))).otherwise(c))
 
-    The distinct headers, few by nature, come to the driver; files are grouped by header and
-    parsed with its names, and the groups are united by name, so a column that a file lacks is
-    NULL. ``_malformed`` marks rows with another number of cells than their header. Lines
-    equal to the header and blank lines are left out.
+
+def by_header(lines: DataFrame, names: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Rows of all files as strings: filename, ``_malformed``, ``cells`` by name, and a column for each of ``names``.
+
+    A line is cut into cells once, and its own file's header, one row a file that never leaves
+    the executors, names them; so thousands of layouts are read in one pass. A column that a
+    file lacks is NULL; a name also finds a header without its underscores. ``_malformed``
+    marks rows with another number of cells than their header; cells beyond it are left out. Of
+    equal names the first is kept. Lines equal to the header and blank lines are left out.
     """
-    headers = header_of(placed(lines))
-    out = lines.sparkSession.createDataFrame([], "filename string, _malformed boolean")
-    for (header,) in sorted(tuple(r) for r in headers.select("header").distinct().collect()):
-        names = header_columns(header)
-        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-        options = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-        separators = F.size(F.filter(F.regexp_extract_all("value", F.lit(CELL_END), F.lit(1)), lambda c: c == ","))
-        own = lines.join(headers.where(F.col("header") == header), "filename").where((F.col("value") != header) & (F.trim("value") != ""))
-        own = own.select("filename", (separators != len(names) - 1).alias("_malformed"), F.from_csv("value", F.lit(schema), options).alias("_cells"))
-        out = out.unionByName(own.select("filename", "_malformed", *[F.col(f"_cells.`{n}`").alias(n) for n in names]), allowMissingColumns=True)
-    return out
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw string columns with lower-case names, every file's cells bound by its own header line.
+    heads = header_of(placed(lines)).select("filename", "header", header_names(F.col("header")).alias("_names"))
+    own = lines.join(heads, "filename").where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    cut = own.select("filename", "_names", cells_of(F.col("value")).alias("_cells"))
+    entries = F.transform("_names", lambda n, k: F.struct(n.alias("key"), F.get("_cells", k).alias("value"), (k + 1).alias("at")))
+    firsts = F.filter(entries, lambda e: F.array_position("_names", e["key"]) == e["at"])
+    named = cut.select(
+        "filename", (F.size("_cells") != F.size("_names")).alias("_malformed"),
+        F.map_from_entries(F.transform(firsts, lambda e: F.struct(e["key"], e["value"]))).alias("cells"),
+    )
+    return named.select("*", *[F.coalesce(*[F.col("cells")[n] for n in dict.fromkeys((name, name.replace("_", "")))]).alias(name) for name in names])
+
+
+def read_csv(spark: SparkSession, path: str, names: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Raw string columns ``names``, every file's cells bound by its own header line, as ``by_header`` gives them.
 
     Files may differ in order, case and number of columns. Cells may be quoted; a line break
-    inside a cell is not supported. ``filename`` and ``_malformed`` are added. An aggregate of
-    one row per file finds the headers, then every layout is one filtered scan.
+    inside a cell is not supported.
     """
-    return by_header(raw_lines(spark.read.text(path)))
+    return by_header(raw_lines(spark.read.text(path)), names)
 
 
 def _cell(df: DataFrame, name: str) -> Column:

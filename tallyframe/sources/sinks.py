@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.hashing import content_hash16
+from tallyframe.session import exists, staged
 
 
 def append_transactions(df: DataFrame, path: str, currency: str = "EUR") -> None:
@@ -19,12 +22,39 @@ def append_transactions(df: DataFrame, path: str, currency: str = "EUR") -> None
     out.hint("rebalance", "tenant", "month").write.mode("append").partitionBy("tenant", "month").parquet(path)
 
 
-def batch_rows(headers: DataFrame, long_rows: DataFrame) -> DataFrame:
-    """Export rows with the header keys of their invoice in front."""
-    keys = headers.select(
-        "invoice_id", "invoice_number", "vendor_name", "invoice_date", "grand_total"
-    )
-    return long_rows.join(keys, "invoice_id").withColumnRenamed("invoice_id", "job_id")
+#: Header fields that each row of a batch export repeats, and the columns of its files.
+BATCH_KEYS = ("invoice_number", "vendor_name", "invoice_date", "grand_total")
+BATCH_SCHEMA = (
+    "job_id string, invoice_number string, vendor_name string, invoice_date date, grand_total decimal(18,2), field_name string, field_value string, "
+    "confidence double, evidence_page int, evidence_bbox string, method string, reviewed boolean"
+)
+
+
+def batch_rows(long_rows: DataFrame) -> DataFrame:
+    """Export rows that carry ``BATCH_KEYS``, in the order of the file's columns."""
+    return long_rows.withColumnRenamed("invoice_id", "job_id").select(*[c.split()[0] for c in BATCH_SCHEMA.split(", ")])
+
+
+def merge_rows(changes: DataFrame, path: str, keys: list[str], partition: list[str]) -> None:
+    """Replace the rows of a partitioned table whose keys the changes name, and add the changes.
+
+    Only partitions that the changes touch are written, in one job that swaps them in when all
+    its tasks have ended; the files of other partitions stay as they are. The keys must hold the
+    partition columns, so an old row lies where its change goes. NULL keys are equal. A replay,
+    after a failure too, leaves the same rows. A table that is not there yet is made of the changes.
+    """
+    if not set(partition) <= set(keys):
+        raise ValueError("the keys must hold the partition columns")
+    spark = changes.sparkSession
+    changes = staged(changes, "changes")  # read three times
+    rows = changes
+    if exists(spark, path):
+        old, new = spark.read.schema(changes.schema).parquet(path).alias("old"), changes.alias("new")
+        same = lambda names: reduce(Column.__and__, [F.col(f"old.`{c}`").eqNullSafe(F.col(f"new.`{c}`")) for c in names])
+        touched = old.join(new.select(*[f"new.`{c}`" for c in partition]).distinct().alias("new"), same(partition), "left_semi")
+        kept = touched.alias("old").join(new, same(keys), "left_anti")
+        rows = staged(kept.unionByName(changes), "merged")  # a table that is read cannot be written over
+    rows.hint("rebalance", *partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

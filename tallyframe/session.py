@@ -65,6 +65,11 @@ def _remove(jvm, configuration, path: str) -> None:
         place.getFileSystem(configuration).delete(place, True)
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that nothing reads any more."""
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, in whatever store it is."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.session import fresh_dir
+from tallyframe.session import fresh_dir, remove_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,35 @@ def written(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting by which the shuffle files of a query go when it has ended, not when the driver next collects garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Large intermediate tables of one call of an operator, held no longer than they are read.
+
+    Writing one frees the shuffle files that made it, since from then on the table is read in
+    their place; ``drop`` deletes tables whose readers have been written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = fresh_dir(self.spark, name)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path, compression="zstd")
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove_dir(self.spark, self.paths.pop(name))
+
+
 def doc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import small_batches, written
+from tallyframe.llm.common import Scratch, small_batches
 from tallyframe.llm.decontaminate import united, words_of
 
 #: Words in a k-mer, k-mers in a window: equal runs of KMER + WINDOW - 1 words always share a seed.
@@ -49,31 +49,40 @@ def minimal(keys: np.ndarray, window: int) -> np.ndarray:
     return np.unique(views.argmin(axis=1) + np.arange(len(views)))
 
 
+def mixed(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of 16-bit word hashes."""
+    h = (words.astype(np.uint64) + np.uint64(1)) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every ``k`` words that follow each other."""
+    m = len(hashes) - k + 1
+    out = hashes[:m].copy()
+    for i in range(1, k):
+        out = out * ODD + hashes[i : i + m]
+    out *= MIX
+    return out ^ (out >> np.uint64(31))
+
+
 def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and positions of the minimal k-mers of all windows, every occurrence, in order of position."""
-    m = len(hashes) - KMER + 1
-    if m < 1:
+    if len(hashes) < KMER:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    kmers = hashes[:m].copy()
-    for k in range(1, KMER):
-        kmers = kmers * ODD + hashes[k : k + m]
-    kmers = (kmers ^ (kmers >> np.uint64(32))) * MIX
+    kmers = rolled(hashes, KMER)
     at = minimal(kmers, WINDOW)
     return kmers[at], at
 
 
-def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tid, n, words, h, pos): the text's own hash, 16-bit word hashes, seeds.
-
-    A task gives words and seeds of a text once, so copies add one row each and no more.
-    """
+def scanned(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, tid, n) of all rows with the text's own hash, and (tid, words) of each text once, words as 16-bit hashes."""
     small_batches(docs.sparkSession)
-    names = ["tid", "n", "words", "h", "pos"]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["tid", "n", "words"]
+    kinds = [pa.int64(), pa.int32(), pa.binary()]
 
-    @F.arrow_udf("struct<tid: bigint, n: int, words: binary, h: array<bigint>, pos: array<int>>")
+    @F.arrow_udf("struct<tid: bigint, n: int, words: binary>")
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        emitted: set[int] = set()
+        emitted: set[int] = set()  # a task gives the words of a text once, so copies add one row each and no more
         for batch in batches:
             rows = []
             for text in batch.to_pylist():
@@ -81,18 +90,40 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 tid = xxhash.xxh64_intdigest(b" ".join(words))
                 signed = tid - (1 << 64) if tid >> 63 else tid
                 if tid in emitted or len(words) < MIN_WORDS * IDENTITY:
-                    rows.append((signed, len(words), None, None, None))
+                    rows.append((signed, len(words), None))
                     continue
                 if len(emitted) >= EMITTED:
                     emitted.clear()
                 emitted.add(tid)
                 hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                h, pos = seeds(hashes)
-                rows.append((signed, len(words), (hashes >> np.uint64(48)).astype("<u2").tobytes(), h.view(np.int64), pos.astype(np.int32)))
+                rows.append((signed, len(words), (hashes >> np.uint64(48)).astype("<u2").tobytes()))
             columns = list(zip(*rows)) or [[] for _ in kinds]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    return written(docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.*"), "scanned", "zstd")
+    scan_rows = scratch.write(docs.select(F.col(id_col).alias("id"), scan(F.col(text_col)).alias("s")).select("id", "s.*"), "scanned")
+    texts = scratch.write(scan_rows.filter("words is not null").groupBy("tid").agg(F.first("words").alias("words")), "texts")
+    members = scratch.write(scan_rows.select("id", "tid", "n"), "members")
+    scratch.drop("scanned")
+    return members, texts
+
+
+def seed_keys(texts: DataFrame) -> DataFrame:
+    """(tid, h, at): the seeds of every text with their packed places."""
+
+    @F.arrow_udf("struct<h: array<bigint>, at: array<bigint>>")
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [seeds(mixed(np.frombuffer(words.as_py(), "<u2"))) for words in batch]
+            parts = [[h.view(np.int64) for h, _ in rows], [(at << SPAN) | KMER for _, at in rows]]
+            yield pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int64())) for p in parts], names=["h", "at"])
+
+    return exploded(texts.select("tid", find("words").alias("k")))
+
+
+def exploded(keys: DataFrame) -> DataFrame:
+    """(tid, h, at) of rows (tid, k) with ``k`` a struct of two arrays."""
+    pairs = keys.select("tid", F.explode(F.arrays_zip(F.col("k.h").alias("h"), F.col("k.at").alias("at"))).alias("k"))
+    return pairs.select("tid", "k.h", "k.at")
 
 
 def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
@@ -234,16 +265,17 @@ PASSAGE = "array<struct<start: int, end: int, other_start: int, other_end: int,
 PASSAGE_ARROW = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "other_start", "other_end", "equal")]))
 
 
-def met(keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def met(keys: DataFrame, name: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of (h, tid, at): the rows of shared keys with their first holder (``other``), and from these (tid, other, at, other_at).
 
     A key is shared between texts, or held twice by its only holder, which may so meet itself.
     """
     first = keys.groupBy("h").agg(F.min("tid").alias("other"), F.max("tid").alias("last"), F.min("at").alias("low"), F.max("at").alias("high")).filter("other < last or low < high").select("h", "other")
-    # the holder's own position comes with its row of the same join
-    held = written(keys.join(first, "h"), f"held-{name}", "zstd")
+    # the holder's own position comes with its row of the same join; written, so that of the two shuffles of all keys one is held at a time
+    held = scratch.write(keys.join(scratch.write(first, f"first-{name}"), "h"), f"held-{name}")
+    scratch.drop(f"first-{name}")
     # written, so that the join below can split a key that very many texts hold
-    where = written(held.filter("tid = other").groupBy("h").agg(F.min("at").alias("other_at")), f"holders-{name}", "zstd")
+    where = scratch.write(held.filter("tid = other").groupBy("h").agg(F.min("at").alias("other_at")), f"holders-{name}")
     return held, held.join(where, "h").filter("tid <> other or at <> other_at").select("tid", "other", "at", "other_at")
 
 
@@ -256,19 +288,13 @@ def longer_keys(at: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.nd
     near = np.flatnonzero(np.diff(at) < MIN_WORDS - KMER)
     pairs = (h[near] * ODD + h[near + 1]) * MIX
     keys, places = [pairs ^ (pairs >> np.uint64(32))], [(at[near] << SPAN) | (at[near + 1] - at[near] + KMER)]
-    mixed = (words.astype(np.uint64) + np.uint64(1)) * MIX
-    mixed ^= mixed >> np.uint64(29)
+    hashes = mixed(words)
     cut = np.flatnonzero(np.diff(at) > WINDOW)
     for u, v in zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist()):
         low, high = max(u - WINDOW + 1, 0), min(v + WINDOW + KMER - 1, len(words))  # words that such runs may take in
         if high - low < MIN_WORDS:
             continue
-        m = high - low - RUN + 1
-        run = mixed[low : low + m].copy()
-        for k in range(1, RUN):
-            run = run * ODD + mixed[low + k : low + k + m]
-        run *= MIX
-        run ^= run >> np.uint64(31)
+        run = rolled(hashes[low:high], RUN)
         at_run = minimal(run, RUNS)
         keys.append(run[at_run])
         places.append(((low + at_run) << SPAN) | RUN)
@@ -308,10 +334,9 @@ def points(at: np.ndarray, other_at: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def chained(scan: DataFrame) -> DataFrame:
+def chained(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(tid, other, at, other_at): chains of positions between a text and the first holder of its seeds, pairs of seeds or runs."""
-    seed = scan.filter("h is not null").select("tid", F.explode(F.arrays_zip("h", "pos")).alias("s")).select("tid", "s.h", F.shiftleft(F.col("s.pos").cast("long"), SPAN).bitwiseOR(F.lit(KMER)).alias("at"))
-    held, by_seed = met(seed, "seeds")
+    held, by_seed = met(seed_keys(texts), "seeds", scratch)
 
     @F.arrow_udf("struct<h: array<bigint>, at: array<bigint>>")
     def lengthen(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -326,9 +351,9 @@ def chained(scan: DataFrame) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(p, pa.list_(pa.int64())) for p in parts], names=["h", "at"])
 
     shared = held.groupBy("tid").agg(F.collect_set(F.struct("at", "h")).alias("shared"))  # at most the text's own seeds
-    keys = shared.join(words_of_texts(scan), "tid").select("tid", lengthen("shared", "words").alias("k"))
-    keys = keys.select("tid", F.explode(F.arrays_zip(F.col("k.h").alias("h"), F.col("k.at").alias("at"))).alias("k")).select("tid", "k.h", "k.at")
-    _, by_run = met(written(keys, "longer", "zstd"), "longer")
+    keys = exploded(shared.join(texts, "tid").select("tid", lengthen("shared", "words").alias("k")))
+    _, by_run = met(scratch.write(keys, "longer"), "longer", scratch)
+    scratch.drop("longer")
     by_text = by_seed.unionByName(by_run).groupBy("tid").agg(F.collect_set(F.struct("other", "at", "other_at")).alias("m"))
 
     @F.arrow_udf(CHAIN)
@@ -350,17 +375,14 @@ def chained(scan: DataFrame) -> DataFrame:
             yield pa.array(out, CHAIN_ARROW)
 
     found = by_text.select("tid", F.explode(chain(F.col("m"))).alias("c")).select("tid", "c.*")
-    return written(found, "chains", "zstd")
-
-
-def words_of_texts(scan: DataFrame) -> DataFrame:
-    """(tid, words): a row per text."""
-    return scan.filter("words is not null").groupBy("tid").agg(F.first("words").alias("words"))
+    out = scratch.write(found, "chains")
+    scratch.drop("held-seeds", "holders-seeds", "held-longer", "holders-longer")
+    return out
 
 
-def passages(scan: DataFrame) -> DataFrame:
+def passages(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(tid, start, end, other, other_start, other_end, equal): aligned chains that make passages."""
-    found = chained(scan)
+    found = chained(texts, scratch)
     key = ["tid", "first", "other", "other_first"]
     spans = found.select(
         "tid", F.element_at("at", 1).alias("first"), F.element_at("at", -1).alias("last"),
@@ -371,7 +393,7 @@ def passages(scan: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("tid").alias("of"), F.col("first").alias("a"), F.col("last").alias("b")),
         F.struct(F.lit(1).alias("side"), F.col("other").alias("of"), F.col("other_first").alias("a"), F.col("other_last").alias("b")),
     )).alias("x")).select(*key, "x.*", F.when(F.col("x.side") == 0, F.col("at")).alias("at"), F.when(F.col("x.side") == 0, F.col("other_at")).alias("other_at"))
-    words = words_of_texts(scan).withColumnRenamed("tid", "of")
+    words = texts.withColumnRenamed("tid", "of")
     low = F.greatest(F.col("a") - REACH, F.lit(0))
     cut = asked.join(words, "of").select(
         *key, "side", "at", "other_at", low.alias("low"),
@@ -393,7 +415,9 @@ def passages(scan: DataFrame) -> DataFrame:
             yield pa.array(rows, PASSAGE_ARROW)
 
     out = sides.select("tid", "other", F.explode(align("low0", "cut0", "low1", "cut1", "at", "other_at")).alias("p")).select("tid", "other", "p.*")
-    return written(out, "passages")
+    rows = scratch.write(out, "passages")
+    scratch.drop("chains", "texts")
+    return rows
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,10 +435,10 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and represent only texts without any id; repeated rows are copies of each other. Only id
     and text are read; an empty table gives an empty result. Ids must be of one ordered type.
     """
-    scan = scanned(docs, id_col, text_col)
-    found = passages(scan)
-    texts = scan.groupBy("tid").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"))
-    members = scan.select("id", "tid", "n")
+    scratch = Scratch(docs.sparkSession)
+    members, words = scanned(docs, id_col, text_col, scratch)
+    found = passages(words, scratch)
+    texts = members.groupBy("tid").agg(F.min("id").alias("rep_id"), F.count("*").alias("copies"))
     shared = found.join(texts.select(F.col("tid").alias("other"), "rep_id"), "other").select(
         "tid", "start", "end", "rep_id", F.col("other_start").alias("rep_start"), F.col("other_end").alias("rep_end"), "equal", F.lit("passage").alias("kind"),
     )

@@ -188,14 +188,34 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
 def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """How many words further two texts agree without gaps, and how many of them are equal; stops after a loss of ``DROP``."""
     n = min(len(a), len(b), REACH)
-    if not n:
-        return 0, 0
-    equal = a[:n] == b[:n]
-    run = np.cumsum(np.where(equal, 1, -MISMATCH))
-    top = np.maximum.accumulate(np.maximum(run, 0))
-    stop = int(np.argmax(top - run >= DROP)) if (top - run >= DROP).any() else n
-    best = int(run[:stop].argmax()) + 1 if stop and run[:stop].max() > 0 else 0
-    return best, int(equal[:best].sum())
+    best = equal = score = top = at = 0
+    for seen, m in enumerate((a[:n] != b[:n]).nonzero()[0].tolist()):
+        score += m - at
+        if score > top:
+            top, best, equal = score, m, m - seen
+        score -= MISMATCH
+        if top - score >= DROP:
+            return best, equal
+        at, equal_rest = m + 1, n - seen - 1
+    if not at:
+        return n, n
+    return (n, equal_rest) if score + n - at > top else (best, equal)
+
+
+def linked(at: np.ndarray, to: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common words from each position of a chain to the next; stretches at one distance are compared at once."""
+    gap, other_gap = np.diff(at), np.diff(to)
+    out = np.where(gap == other_gap, gap, -1)
+    turns = [0, *(np.flatnonzero(gap != other_gap) + 1).tolist(), len(at)]
+    for i, j in zip(turns, turns[1:]):
+        if j - i > 1:
+            low, high = int(at[i]), int(at[j - 1])
+            unlike = (a[low:high] != b[to[i] : to[j - 1]]).nonzero()[0]
+            if len(unlike):
+                out[i + np.searchsorted(at[i:j] - low, unlike, side="right") - 1] = -1
+    for k in np.flatnonzero(out < 0).tolist():
+        out[k] = common_words(a[at[k] : at[k + 1]], b[to[k] : to[k + 1]])
+    return out
 
 
 def stretched(size: int, equal: int, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int] | None:
@@ -210,33 +230,27 @@ def stretched(size: int, equal: int, before: tuple[np.ndarray, np.ndarray], afte
     return (int(left[i]), int(right[j]), int(same[i, j])) if over[i, j] > -1e-9 else None
 
 
-def aligned(chain: list[tuple[int, int]], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Passages of a chain: start and end in both texts and the number of equal words. Chain positions count from the arrays' starts.
+def aligned(at: np.ndarray, to: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Passages of a chain: start and end in both texts and the number of equal words. Chain positions ``at`` and ``to`` count from the arrays' starts.
 
     The whole chain is one passage if enough of its words agree; one of too few words takes in
     more beyond its ends while enough agree. Otherwise the longest run of
     its seeds that makes a passage is one, and so on to the left and right of it.
     """
-    at, to = np.array(chain).T
-    links = [common_words(a[p:r], b[q:s]) for (p, q), (r, s) in zip(chain, chain[1:])]
-    before = np.concatenate(([0], np.cumsum(links, dtype=np.int64)))
+    before = np.concatenate(([0], np.cumsum(linked(at, to, a, b), dtype=np.int64)))
 
     def ends(js: list[int]) -> tuple[np.ndarray, np.ndarray]:
         return (np.array([extended(a[: at[j]][::-1], b[: to[j]][::-1]) for j in js]).T, np.array([extended(a[at[j] + KMER :], b[to[j] + KMER :]) for j in js]).T)
 
-    last = len(chain) - 1
-    (left, _), (_, right) = (ends([0]), ends([last]))
-    whole = (
-        int(at[0] - left[0, 0]), int(at[last] + KMER + right[0, 0]), int(to[0] - left[0, 0]), int(to[last] + KMER + right[0, 0]),
-        int(before[last] + KMER + left[1, 0] + right[1, 0]),
-    )
+    last = len(at) - 1
+    p, q, x, y = int(at[0]), int(to[0]), int(at[last]) + KMER, int(to[last]) + KMER
+    (left, more_left), (right, more_right) = extended(a[:p][::-1], b[:q][::-1]), extended(a[x:], b[y:])
+    whole = (p - left, x + right, q - left, y + right, int(before[last]) + KMER + more_left + more_right)
     longer = max(whole[1] - whole[0], whole[3] - whole[2])
     if whole[4] >= IDENTITY * longer and longer >= MIN_WORDS:
         return [whole]
     if longer < MIN_WORDS:  # ends with edits, at which ``extended`` stops
-        (p, q), (r, s) = chain[0], chain[-1]
-        n, m = min(p, q, REACH), min(len(a) - r - KMER, len(b) - s - KMER, REACH)
-        x, y = r + KMER, s + KMER
+        n, m = min(p, q, REACH), min(len(a) - x, len(b) - y, REACH)
         more = stretched(max(x - p, y - q), int(before[last]) + KMER, (a[p - n : p][::-1], b[q - n : q][::-1]), (a[x : x + m], b[y : y + m]))
         return [(p - more[0], x + more[1], q - more[0], y + more[1], more[2])] if more else []
     left, right = ends(list(range(last + 1)))
@@ -408,9 +422,11 @@ def passages(texts: DataFrame, scratch: Scratch) -> DataFrame:
     def align(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
             rows = []
-            for low0, cut0, low1, cut1, at, other_at in zip(*(c.to_pylist() for c in columns)):
+            places = [(c.flatten().to_numpy().astype(np.int64), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in columns[4:]]
+            for i, (low0, cut0, low1, cut1) in enumerate(zip(*(c.to_pylist() for c in columns[:4]))):
                 a, b = np.frombuffer(cut0, "<u2"), np.frombuffer(cut1, "<u2")
-                found = aligned([(p - low0, q - low1) for p, q in zip(at, other_at)], a, b)
+                at, to = (values[ends[i] : ends[i + 1]] for values, ends in places)
+                found = aligned(at - low0, to - low1, a, b)
                 rows.append([{"start": s + low0, "end": e + low0, "other_start": os + low1, "other_end": oe + low1, "equal": equal} for s, e, os, oe, equal in found])
             yield pa.array(rows, PASSAGE_ARROW)
 

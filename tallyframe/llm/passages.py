@@ -37,6 +37,8 @@ REACH, MISMATCH, DROP = 64, 2, 8
 #: Bits of a packed place that hold its length in words, below its position.
 SPAN = 20
 LOW = (1 << SPAN) - 1
+#: Length by which a packed place says that it is a run, as a pair of seeds may have ``RUN`` words too.
+IS_RUN = LOW
 #: Texts that a task remembers to have emitted.
 EMITTED = 1_000_000
 
@@ -202,6 +204,47 @@ def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (n, equal_rest) if score + n - at > top else (best, equal)
 
 
+def extended_all(same: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``extended`` for a row of words each, of which ``same`` says where they agree and ``inside`` where both texts have one."""
+    score = np.where(same, 1, -MISMATCH).cumsum(axis=1)
+    top = np.maximum(np.maximum.accumulate(score, axis=1), 0)
+    over = (top - score >= DROP) | ~inside
+    seen = np.where(over.any(axis=1), over.argmax(axis=1), over.shape[1])  # words before the one that stops
+    score[np.arange(over.shape[1]) >= seen[:, None]] = -1
+    best = np.where(score.max(axis=1) > 0, score.argmax(axis=1) + 1, 0)
+    return best, (same & (np.arange(over.shape[1]) < best[:, None])).sum(axis=1)
+
+
+def settled(p: np.ndarray, q: np.ndarray, size: np.ndarray, cuts: list[bytes], other_cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``aligned`` gives for short chains at one distance, for all at once where that is simple.
+
+    Of each chain of ``size`` words from ``p`` and ``q``: the number of its passages, -1 where ``widened`` has to
+    say and -2 where ``aligned`` has, and the passage. Simple are chains of equal words that make a passage as a
+    whole, or have too few equal words within ``REACH`` for any.
+    """
+    a, b = (np.frombuffer(b"".join(c), "<u2") for c in (cuts, other_cuts))
+    ends, other_ends = (np.cumsum([len(x) // 2 for x in c]) for c in (cuts, other_cuts))
+    start, other_start = (np.concatenate(([0], e[:-1])) for e in (ends, other_ends))
+
+    def compared(i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where ``n`` words from each of ``i`` and ``j`` agree, and which there are."""
+        away = np.arange(max(int(n.max()), 1))
+        inside = away < n[:, None]
+        i, j = (np.where(inside, x[:, None] + step * away, 0) for x in (i, j))
+        return (a[i] == b[j]) & inside, inside
+
+    x, y = p + size, q + size
+    core, inside = compared(start + p, other_start + q, size, 1)
+    equal_core = (core == inside).all(axis=1)
+    before = compared(start + p - 1, other_start + q - 1, np.minimum(np.minimum(p, q), REACH), -1)
+    after = compared(start + x, other_start + y, np.minimum(np.minimum(ends - start - x, other_ends - other_start - y), REACH), 1)
+    (left, more_left), (right, more_right) = extended_all(*before), extended_all(*after)
+    length, equal = size + left + right, size + more_left + more_right
+    whole = equal_core & (length >= MIN_WORDS) & (equal >= IDENTITY * length)
+    hopeless = size + before[0].sum(axis=1) + after[0].sum(axis=1) < IDENTITY * MIN_WORDS
+    return np.where(whole, 1, np.where(hopeless, 0, np.where(equal_core & (length < MIN_WORDS), -1, -2))), np.stack([p - left, x + right, q - left, y + right, equal], axis=1)
+
+
 def linked(at: np.ndarray, to: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Common words from each position of a chain to the next; stretches at one distance are compared at once."""
     gap, other_gap = np.diff(at), np.diff(to)
@@ -230,6 +273,13 @@ def stretched(size: int, equal: int, before: tuple[np.ndarray, np.ndarray], afte
     return (int(left[i]), int(right[j]), int(same[i, j])) if over[i, j] > -1e-9 else None
 
 
+def widened(p: int, q: int, x: int, y: int, equal: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The passage, if any, that the words from ``p`` to ``x`` and ``q`` to ``y`` make with more beyond their ends."""
+    n, m = min(p, q, REACH), min(len(a) - x, len(b) - y, REACH)
+    more = stretched(max(x - p, y - q), equal, (a[p - n : p][::-1], b[q - n : q][::-1]), (a[x : x + m], b[y : y + m]))
+    return [(p - more[0], x + more[1], q - more[0], y + more[1], more[2])] if more else []
+
+
 def aligned(at: np.ndarray, to: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Passages of a chain: start and end in both texts and the number of equal words. Chain positions ``at`` and ``to`` count from the arrays' starts.
 
@@ -250,9 +300,7 @@ def aligned(at: np.ndarray, to: np.ndarray, a: np.ndarray, b: np.ndarray) -> lis
     if whole[4] >= IDENTITY * longer and longer >= MIN_WORDS:
         return [whole]
     if longer < MIN_WORDS:  # ends with edits, at which ``extended`` stops
-        n, m = min(p, q, REACH), min(len(a) - x, len(b) - y, REACH)
-        more = stretched(max(x - p, y - q), int(before[last]) + KMER, (a[p - n : p][::-1], b[q - n : q][::-1]), (a[x : x + m], b[y : y + m]))
-        return [(p - more[0], x + more[1], q - more[0], y + more[1], more[2])] if more else []
+        return widened(p, q, x, y, int(before[last]) + KMER, a, b)
     left, right = ends(list(range(last + 1)))
     start, other_start, stop, other_stop = at - left[0], to - left[0], at + KMER + right[0], to + KMER + right[0]
     out, open_runs = [], [(0, last + 1)]
@@ -311,7 +359,7 @@ def longer_keys(at: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.nd
         run = rolled(hashes[low:high], RUN)
         at_run = minimal(run, RUNS)
         keys.append(run[at_run])
-        places.append(((low + at_run) << SPAN) | RUN)
+        places.append(((low + at_run) << SPAN) | IS_RUN)
     return np.concatenate(keys).view(np.int64), np.concatenate(places)
 
 
@@ -322,9 +370,10 @@ def points(at: np.ndarray, other_at: np.ndarray) -> list[tuple[int, int]]:
     words. A run with seeds of its own needs no more positions; another one has one every 2 * KMER words.
     """
     p, q, span, other_span = at >> SPAN, other_at >> SPAN, at & LOW, other_at & LOW
-    full = span == RUN
-    out = set(zip(p[~full].tolist(), q[~full].tolist()))
-    out.update(zip((p + span - KMER)[~full].tolist(), (q + other_span - KMER)[~full].tolist()))
+    full = (span == IS_RUN) & (other_span == IS_RUN)
+    seeded = (span != IS_RUN) & (other_span != IS_RUN)  # a run and a pair of one hash are no match
+    out = set(zip(p[seeded].tolist(), q[seeded].tolist()))
+    out.update(zip((p + span - KMER)[seeded].tolist(), (q + other_span - KMER)[seeded].tolist()))
     if full.any():
         p, q = p[full], q[full]
         order = np.lexsort((p, q - p))
@@ -421,14 +470,32 @@ def passages(texts: DataFrame, scratch: Scratch) -> DataFrame:
     @F.arrow_udf(PASSAGE)
     def align(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for columns in batches:
-            rows = []
-            places = [(c.flatten().to_numpy().astype(np.int64), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in columns[4:]]
-            for i, (low0, cut0, low1, cut1) in enumerate(zip(*(c.to_pylist() for c in columns[:4]))):
-                a, b = np.frombuffer(cut0, "<u2"), np.frombuffer(cut1, "<u2")
-                at, to = (values[ends[i] : ends[i + 1]] for values, ends in places)
-                found = aligned(at - low0, to - low1, a, b)
-                rows.append([{"start": s + low0, "end": e + low0, "other_start": os + low1, "other_end": oe + low1, "equal": equal} for s, e, os, oe, equal in found])
-            yield pa.array(rows, PASSAGE_ARROW)
+            if not len(columns[0]):
+                yield pa.array([], PASSAGE_ARROW)
+                continue
+            low, other_low = (columns[c].to_numpy().astype(np.int64) for c in (0, 2))
+            cuts, other_cuts = (columns[c].to_pylist() for c in (1, 3))
+            (at, ends), (to, _) = ((c.flatten().to_numpy().astype(np.int64), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in columns[4:])
+            p, q, size = at[ends[:-1]] - low, to[ends[:-1]] - other_low, at[ends[1:] - 1] + KMER - at[ends[:-1]]
+            apart = at - to
+            short = np.flatnonzero((np.maximum.reduceat(apart, ends[:-1]) == np.minimum.reduceat(apart, ends[:-1])) & (size <= REACH))
+            found: list = [-2] * len(low)
+            if len(short):
+                number, whole = settled(p[short], q[short], size[short], [cuts[i] for i in short], [other_cuts[i] for i in short])
+                for i, n, one in zip(short.tolist(), number.tolist(), whole.tolist()):
+                    found[i] = [one][:n] if n >= 0 else n
+            for i, rows in enumerate(found):
+                if not isinstance(rows, list):
+                    a, b = np.frombuffer(cuts[i], "<u2"), np.frombuffer(other_cuts[i], "<u2")
+                    if rows == -1:
+                        found[i] = widened(int(p[i]), int(q[i]), int(p[i] + size[i]), int(q[i] + size[i]), int(size[i]), a, b)
+                    else:
+                        found[i] = aligned(at[ends[i] : ends[i + 1]] - low[i], to[ends[i] : ends[i + 1]] - other_low[i], a, b)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.array([row for rows in found for row in rows], np.int64).reshape(-1, 5)
+            flat += np.repeat(np.stack([low, low, other_low, other_low, 0 * low], axis=1), sizes, axis=0)
+            parts = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in flat.T], fields=list(PASSAGE_ARROW.value_type))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), parts).cast(PASSAGE_ARROW)
 
     out = sides.select("tid", "other", F.explode(align("low0", "cut0", "low1", "cut1", "at", "other_at")).alias("p")).select("tid", "other", "p.*")
     rows = scratch.write(out, "passages")

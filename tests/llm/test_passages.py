@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tallyframe.llm import passages
 
 
@@ -83,3 +85,47 @@ def test_recall_of_edited_passages(spark):
             texts.append(some(80) + words + some(80))
     got = found_spans(spark, texts)
     assert sum(len(got[i].intersection(range(80, 80 + n))) >= 0.8 * n for i, n in planted) >= 0.95 * len(planted)
+
+
+def test_pairs_of_seeds_as_long_as_a_run(spark):
+    """A pair of seeds that spans ``RUN`` words in one text and fewer in the other, at its end, is no run."""
+    _, some = zipf(5, 200_000)
+    texts, whole = [], some(60)
+    for gap in [17, 18, 19, 20, 21, 22, 23] * 8:
+        for less in (11, 16):
+            one, two = some(10), some(10)
+            texts += [some(40) + one + some(gap) + two + some(40), some(40) + one + some(gap - less) + two]
+    texts += [whole + some(30), some(30) + whole]
+    got = found_spans(spark, texts)
+    assert not any(got[i] for i in range(len(texts) - 2))
+    assert got[len(texts) - 2] >= set(range(60)) and got[len(texts) - 1] >= set(range(30, 90))
+
+
+def test_points_lie_in_both_texts():
+    at, other_at = np.array([(40 << passages.SPAN) | passages.RUN]), np.array([(25 << passages.SPAN) | 29])
+    assert passages.points(at, other_at) == [(40, 25), (70, 49)]
+    keys, places = passages.longer_keys(np.arange(0, 56, 5), np.arange(12).astype(np.uint64), np.arange(60, dtype=np.uint16))
+    runs = places[(places & passages.LOW) == passages.IS_RUN]
+    assert len(runs) and len(keys) == 11 + len(runs)
+    assert {q - p for p, q in passages.points(runs, runs + (7 << passages.SPAN))} == {7}
+
+
+def test_short_chains_settled_at_once():
+    """All at once as one by one: random texts that agree in most words around a few equal ones, some cut off."""
+    rng = np.random.default_rng(6)
+    cases, want = [], []
+    for _ in range(1500):
+        before, size, after = rng.integers(0, 80), rng.integers(5, 40), rng.integers(0, 80)
+        a = rng.integers(0, 5000, before + size + after).astype("<u2")
+        b = np.where(rng.random(len(a)) < rng.choice([0.02, 0.1, 0.2, 0.5]), rng.integers(0, 5000, len(a)), a).astype("<u2")
+        if rng.random() < 0.8:
+            b[before : before + size] = a[before : before + size]
+        skip, other_skip = (rng.integers(0, before + 1) if rng.random() < 0.3 else 0 for _ in range(2))
+        p, q, a, b = before - skip, before - other_skip, a[skip:], b[other_skip:]
+        cases.append((p, q, size, a.tobytes(), b.tobytes()))
+        at, to = np.array([p, p + size - passages.KMER]), np.array([q, q + size - passages.KMER])
+        want.append((passages.aligned(at, to, a, b), passages.widened(p, q, p + size, q + size, int(size), a, b)))
+    number, rows = passages.settled(*(np.array(c) for c in list(zip(*cases))[:3]), *(list(c) for c in list(zip(*cases))[3:]))
+    assert {-2, -1, 0, 1} <= set(number.tolist())
+    for n, row, (one_by_one, wide) in zip(number.tolist(), rows.tolist(), want):
+        assert n == -2 or one_by_one == (wide if n == -1 else [tuple(row)][:n])

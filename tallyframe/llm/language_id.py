@@ -3,7 +3,8 @@
 Words of letters are padded at the front and closed by an end sign, so each character has one
 n-gram of the full order; the lower orders of a model follow from the distinct n-grams above.
 Discounts, continuation counts and back-off weights are Spark aggregates over all training
-texts. A model is the values of exact n-grams and contexts, in sorted arrays of each language.
+texts. A model is the values of exact n-grams and contexts, in sorted arrays of each language; one
+too large for a worker stays a table, and is joined with the n-grams of the distinct words.
 
 Characters are UTF-16 units, 16 bits each: a letter beyond U+FFFF is two of them, neither of which
 is any other letter or a sign, so n-grams stay exact for all of Unicode.
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import doc_remainder, kept_by_worker, small_batches, written
+from tallyframe.llm.common import doc_remainder, kept_by_worker, small_batches, spare_name, written
 
 ORDER = 4
-#: n-grams of a whole model: beyond a language's and order's equal part of them, the rarest go into the back-off mass.
+#: n-grams and contexts of a model that workers hold whole; ``identify`` joins a larger one. Only ``train``, which makes
+#: a model of bounded size, moves the rarest n-grams beyond a language's and order's equal part into the back-off mass.
 MOST = 1 << 24
 #: Signs before and after a word.
 START, END = "\x01", "\x02"
@@ -104,13 +106,13 @@ def counted(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return parts.groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
-def model_rows(full: DataFrame) -> DataFrame:
+def model_rows(full: DataFrame, most: int | None = None) -> DataFrame:
     """(lang, k, part, h, v): by order and key, the discounted probability of an n-gram ("gram") and the back-off weight of a context ("context").
 
-    A language with more n-grams of an order than its part of ``MOST`` keeps those of the counts
-    above the least threshold that leaves so many; the probability of the others goes to the
-    back-off weight of their context, so the sum stays one. A context without any kept n-gram
-    backs off wholly, as an unknown one does.
+    All n-grams are kept, unless ``most`` is given: then a language with more n-grams of an order than
+    its part of these keeps those of the counts above the least threshold that leaves so many; the
+    probability of the others goes to the back-off weight of their context, so the sum stays one. A
+    context without any kept n-gram backs off wholly, as an unknown one does.
     """
     out, level = None, full
     for k in range(ORDER, 0, -1):
@@ -121,7 +123,7 @@ def model_rows(full: DataFrame) -> DataFrame:
         ones, twos = F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))
         discount = level.groupBy("lang").agg(F.least(F.greatest(F.coalesce(F.try_divide(ones, ones + 2 * twos), F.lit(0.5)), F.lit(0.1)), F.lit(0.9)).alias("d"))
         tagged = level.withColumn("context", F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long"))
-        least = rarest_kept(level)
+        least = {} if most is None else rarest_kept(level, most)
         kept = F.col("n") >= F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("lang")), F.lit(0)) if least else F.lit(True)
         contexts = (
             tagged.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.count_if(kept).alias("kept"), F.coalesce(F.sum(F.when(~kept, F.col("n"))), F.lit(0)).alias("dropped"))
@@ -136,10 +138,10 @@ def model_rows(full: DataFrame) -> DataFrame:
     return out
 
 
-def rarest_kept(level: DataFrame) -> dict[str, int]:
-    """Least count of an n-gram that is kept, of each language with more n-grams than its part of ``MOST``."""
+def rarest_kept(level: DataFrame, most: int) -> dict[str, int]:
+    """Least count of an n-gram that is kept, of each language with more n-grams than its part of ``most``."""
     sizes = {r["lang"]: r["size"] for r in level.groupBy("lang").agg(F.count("*").alias("size")).collect()}
-    most = MOST // (ORDER * max(len(sizes), 1))
+    most //= ORDER * max(len(sizes), 1)
     large = [lang for lang, size in sizes.items() if size > most]
     if not large:
         return {}
@@ -228,28 +230,24 @@ class Scorer:
         self.place.update(zip(new, range(size, size + len(new))))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from all rows with a language; at most ``MOST`` n-grams and as many contexts come to the driver, as numbers."""
+def learned(docs: DataFrame, text_col: str, lang_col: str, most: int | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows of a model with a number for the language, and the languages by number."""
     small_batches(docs.sparkSession)
     full = written(counted(docs.filter(F.col(lang_col).isNotNull()), text_col, lang_col), "order-full")
     langs = sorted(r["lang"] for r in full.select("lang").distinct().collect())
     numbers = F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs))) for x in pair]) if langs else None
-    rows = model_rows(full)
-    return Model(rows.withColumn("lang", (numbers[F.col("lang")] if langs else F.lit(0)).cast("int")).toArrow(), langs)
+    return model_rows(full, most).withColumn("lang", (numbers[F.col("lang")] if langs else F.lit(0)).cast("int")), langs
 
 
-def identify(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, ``held_out``, ``lang_pred``, ``score``, ``cross_entropy``, ``accepted``.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    """A model of bounded size from all rows with a language; at most ``MOST`` n-grams and as many contexts come to the driver, as numbers."""
+    rows, langs = learned(docs, text_col, lang_col, MOST)
+    return Model(rows.toArrow(), langs)
 
-    Trained on rows with a language whose crc32(id as text) modulo ``folds`` is not 1; a NULL id
-    is held out. ``lang_pred`` is the language of the lowest cross-entropy per character (ties:
-    first by name), ``und`` with score 0 if the text is NULL or has no letter, or nothing was
-    learned. ``accepted`` is false where the cross-entropy exceeds what ``ACCEPT`` of the
-    training texts of that language stay below. Only id, text and language are read; repeated
-    rows keep a row each; an empty table gives an empty result.
-    """
-    remainder = doc_remainder(F.col(id_col), folds)
-    model = train(docs.filter(remainder != 1), text_col, lang_col)
+
+def scored_by_worker(docs: DataFrame, rows: DataFrame, langs: list[str], text_col: str) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``cross_entropy`` in place of the text, by a model that each worker holds."""
+    model = Model(rows.toArrow(), langs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred: string, score: double, cross_entropy: double>")
@@ -261,10 +259,91 @@ def identify(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col:
             langs, scores, entropies = zip(*rows) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64())], names=["lang_pred", "score", "cross_entropy"])
 
-    scored = docs.select(
-        F.col(id_col), F.coalesce(remainder == 1, F.lit(True)).alias("held_out"), F.col(lang_col).cast("string").alias("true_lang"), predict(F.col(text_col)).alias("p"),
+    return docs.withColumn("p", predict(F.col(text_col))).select(*[c for c in docs.columns if c != text_col], "p.*")
+
+
+def log_probabilities(grams_needed: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(g, logs): the log probability of each full-order n-gram in each of ``size`` languages, by joins with the model order by order."""
+
+    def by_key(k: int, part: int, key: str, value: str, unknown: float) -> DataFrame:
+        of = rows.filter((F.col("k") == k) & (F.col("part") == part)).groupBy(F.col("h").alias(key))
+        return of.agg(F.array(*[F.coalesce(F.max(F.when(F.col("lang") == i, F.col("v"))), F.lit(unknown)).cast("double") for i in range(size)]).alias(value))
+
+    def every(value: float) -> Column:
+        return F.array_repeat(F.lit(value).cast("double"), size)
+
+    def lowest(k: int, g: str = "g") -> Column:
+        return F.col(g).bitwiseAND(F.lit((1 << 16 * k) - 1).cast("long")) if k < ORDER else F.col(g)
+
+    below = None
+    for k in range(1, ORDER + 1):
+        own = grams_needed.select(lowest(k).alias("g")).distinct()
+        own = own.withColumn("context", F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("long"))
+        found = own.join(by_key(k, 0, "g", "p", 0.0), "g", "left").join(by_key(k, 1, "context", "back", 1.0), "context", "left")
+        found = found.withColumn("lower", every(1.0 / 65536)) if below is None else found.withColumn("end", lowest(k - 1)).join(below, "end")
+        weighed = F.zip_with(F.coalesce("back", every(1.0)), "lower", lambda x, y: x * y)
+        below = found.select(F.col("g").alias("end"), F.zip_with(F.coalesce("p", every(0.0)), weighed, lambda x, y: x + y).alias("lower"))
+        below = written(below, f"scores-{k}")
+    return below.select(F.col("end").alias("g"), F.transform("lower", lambda p: F.log(F.greatest(p, F.lit(1e-12)))).alias("logs"))
+
+
+def scored_by_join(docs: DataFrame, rows: DataFrame, langs: list[str], text_col: str) -> DataFrame:
+    """As ``scored_by_worker``, for a model of any size: n-grams of distinct words are joined with it, and words with their sums."""
+    size = len(langs)
+
+    @F.arrow_udf("struct<n: bigint, words: array<struct<word: string, times: bigint>>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
+        for batch in batches:
+            found = [words_in(text) for text in batch.to_pylist()]
+            n = [sum(map(units, words)) + len(words) for words in found]
+            counts = [[{"word": w, "times": t} for w, t in Counter(words).items()] for words in found]
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(counts, kind)], names=["n", "words"])
+
+    @F.arrow_udf("array<bigint>")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([grams([w])[0].view(np.int64) for w in batch.to_pylist()], pa.list_(pa.int64()))
+
+    def summed(values: str, times: Column | int) -> Column:
+        return F.array(*[F.sum(F.element_at(values, i + 1) * times) for i in range(size)]).alias(values)
+
+    # written, so that the number of a row stays the same
+    number, of = spare_name(docs, "row"), spare_name(docs, "words")
+    numbered = written(docs.withColumn(of, cut(F.col(text_col))).drop(text_col).withColumn(number, F.monotonically_increasing_id()), "words")
+    tokens = numbered.select(F.col(number).alias("row"), F.explode(F.col(of)["words"]).alias("w")).select("row", "w.*")
+    parts = written(tokens.select("word").distinct().select("word", F.explode(packed("word")).alias("g")), "word-grams")
+    words = parts.join(log_probabilities(parts, rows, size), "g").groupBy("word").agg(summed("logs", 1))
+    sums = tokens.join(words, "word").groupBy("row").agg(summed("logs", F.col("times"))).select(F.col("row").alias(number), F.col("logs").alias("sums_"))
+    entropies = F.transform("sums_", lambda x: -x / F.col(of)["n"])
+    least = F.array_min("e_")
+    weights = F.aggregate("e_", F.lit(0.0), lambda total, e: total + F.exp((least - e) * F.least(F.col(of)["n"], F.lit(SURE))))
+    return numbered.join(sums, number, "left").withColumn("e_", entropies).select(
+        *[c for c in docs.columns if c != text_col],
+        F.when(F.col("e_").isNull(), "und").otherwise(F.element_at(F.array(*map(F.lit, langs)), F.array_position("e_", least).cast("int"))).alias("lang_pred"),
+        F.coalesce(1 / weights, F.lit(0.0)).alias("score"), least.alias("cross_entropy"),
+    )
+
+
+def identify(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: id, ``held_out``, ``lang_pred``, ``score``, ``cross_entropy``, ``accepted``.
+
+    Trained on rows with a language whose crc32(id as text) modulo ``folds`` is not 1; a NULL id
+    is held out. ``lang_pred`` is the language of the lowest cross-entropy per character (ties:
+    first by name), ``und`` with score 0 if the text is NULL or has no letter, or nothing was
+    learned. ``accepted`` is false where the cross-entropy exceeds what ``ACCEPT`` of the
+    training texts of that language stay below. Every n-gram of the training texts counts: a model of
+    more than ``MOST`` values is joined as a table instead of sent to the workers. Only id, text and language are read; repeated
+    rows keep a row each; an empty table gives an empty result.
+    """
+    remainder = doc_remainder(F.col(id_col), folds)
+    rows, langs = learned(docs.filter(remainder != 1), text_col, lang_col)
+    rows = written(rows, "model")
+    score = scored_by_join if langs and rows.count() > MOST else scored_by_worker
+    texts = docs.select(
+        F.col(id_col), F.coalesce(remainder == 1, F.lit(True)).alias("held_out"), F.col(lang_col).cast("string").alias("true_lang"), F.col(text_col).alias("text_"),
     )
-    scored = written(scored.select(id_col, "held_out", "true_lang", "p.*"), "languages")
+    scored = written(score(texts, rows, langs, "text_"), "languages")
     limits = (
         scored.filter(~F.col("held_out") & (F.col("true_lang") == F.col("lang_pred")))
         .groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPT, 10_000).alias("limit"))

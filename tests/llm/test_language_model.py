@@ -98,3 +98,33 @@ def test_marks_stay_in_words():
     assert language_id.words_in("नमस्ते दुनिया 12") == ["नमस्ते", "दुनिया"]
     assert language_id.words_in("e\u0301a ก็ \u0301") == ["e\u0301a", "ก็"]
     assert language_id.words_in("\u0301 12 _") == []
+
+
+def test_model_beyond_what_workers_hold(spark, monkeypatch):
+    """A larger model is joined, whole: the same languages and entropies, with no n-gram dropped."""
+    rng = random.Random(9)
+    letters = {"x": "abcde", "y": "cdefé", "z": "abk" + "".join(ASTRAL)}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))), lang) for i, lang in enumerate([*letters] * 20)]
+    rows += [(None, "abc abc", "x"), (60, None, "y"), (61, "12 .", "x"), (62, "aaaaaa 中 ab", None), (62, "aaaaaa 中 ab", None), (63, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    order = lambda df: sorted(df.collect(), key=str)
+    whole = order(language_id.identify(docs))
+    used = []
+    real = language_id.scored_by_join
+    monkeypatch.setattr(language_id, "scored_by_join", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(language_id, "MOST", 40)
+    joined = order(language_id.identify(docs))
+    assert used and len(joined) == len(whole) == len(rows)
+    for a, b in zip(whole, joined):
+        assert (a["doc_id"], a["held_out"], a["lang_pred"]) == (b["doc_id"], b["held_out"], b["lang_pred"])
+        assert b["score"] == pytest.approx(a["score"], abs=1e-4)
+        assert (a["cross_entropy"] is None) == (b["cross_entropy"] is None)
+        assert a["cross_entropy"] is None or b["cross_entropy"] == pytest.approx(a["cross_entropy"], rel=1e-5)
+
+
+def test_only_train_bounds_a_model(spark, monkeypatch):
+    """``identify`` gives what it gave when the limit is too small for its n-grams; no row is learned otherwise."""
+    monkeypatch.setattr(language_id, "MOST", 0)
+    rows = language_id.identify(spark.createDataFrame([(1, "ab", None), (2, None, None)], "doc_id long, text string, lang string")).collect()
+    assert {(r["doc_id"], r["lang_pred"], r["score"]) for r in rows} == {(1, "und", 0.0), (2, "und", 0.0)}
+    assert not language_id.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count()

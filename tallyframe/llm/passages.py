@@ -60,9 +60,12 @@ def mixed(words: np.ndarray) -> np.ndarray:
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every ``k`` words that follow each other."""
     m = len(hashes) - k + 1
-    out = hashes[:m].copy()
-    for i in range(1, k):
-        out = out * ODD + hashes[i : i + m]
+    out, have, block, size = np.zeros(m, np.uint64), 0, hashes, 1
+    while size <= k:  # blocks of doubled size, of which those that add up to k words are put together
+        times = np.uint64(pow(int(ODD), size, 1 << 64))
+        if k & size:
+            out, have = out * times + block[have : have + m], have + size
+        block, size = block[: max(len(block) - size, 0)] * times + block[size:], 2 * size
     out *= MIX
     return out ^ (out >> np.uint64(31))
 
@@ -135,6 +138,9 @@ def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     best one is a prefix maximum over the other text's positions.
     """
     matches = sorted(set(matches))
+    if len(matches) == 2:  # by far the most; as below
+        (a, b), (x, y) = matches
+        return [matches] if a < x and b < y and KMER + GAP * (a + b) - GAP * (x + y) > 0 else []
     rank = {v: i + 1 for i, v in enumerate(sorted({b for _, b in matches}))}
     size = len(rank)
     tree: list[tuple[float, int]] = [(-1e300, -1)] * (size + 1)
@@ -422,20 +428,32 @@ def chained(texts: DataFrame, scratch: Scratch) -> DataFrame:
     @F.arrow_udf(CHAIN)
     def chain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for i in range(len(batch)):
-                m = batch[i].values
-                other, at, other_at = (m.field(c).to_numpy() for c in ("other", "at", "other_at"))
-                order = np.argsort(other, kind="stable")
-                other, at, other_at = other[order], at[order], other_at[order]
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(other)) + 1, [len(other)])).tolist()
-                rows = []
-                for low, high in zip(cut, cut[1:]):
-                    if high - low < SEEDS and at[low] & LOW == KMER:
-                        continue
-                    rows += [{"other": int(other[low]), "at": [p for p, _ in c], "other_at": [q for _, q in c]} for c in chains(points(at[low:high], other_at[low:high]))]
-                out.append(rows)
-            yield pa.array(out, CHAIN_ARROW)
+            if not len(batch):
+                yield pa.array([], CHAIN_ARROW)
+                continue
+            m, ends = batch.flatten(), batch.offsets.to_numpy() - batch.offsets[0].as_py()
+            other, at, other_at = (m.field(c).to_numpy() for c in ("other", "at", "other_at"))
+            row = np.repeat(np.arange(len(batch)), np.diff(ends))
+            order = np.lexsort((other, row))
+            other, at, other_at = other[order], at[order], other_at[order]
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(other) | np.diff(row)) + 1))
+            span, other_span = at & LOW, other_at & LOW
+            with_run = np.maximum.reduceat((span == IS_RUN) | (other_span == IS_RUN), starts).tolist()
+            p, q = at >> SPAN, other_at >> SPAN
+            firsts, lasts = list(zip(p.tolist(), q.tolist())), list(zip((p + span - KMER).tolist(), (q + other_span - KMER).tolist()))
+            sizes, others, places, other_places = np.zeros(len(batch), np.int64), [], [], []
+            for low, high, run, of, i in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], with_run, other[starts].tolist(), row[starts].tolist()):
+                if high - low < SEEDS and at[low] & LOW == KMER:
+                    continue
+                found = chains(points(at[low:high], other_at[low:high]) if run else [*firsts[low:high], *lasts[low:high]])
+                sizes[i] += len(found)
+                for c in found:
+                    others.append(of)
+                    places.append([x for x, _ in c])
+                    other_places.append([y for _, y in c])
+            kind = CHAIN_ARROW.value_type
+            parts = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip((others, places, other_places), kind)], fields=list(kind))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), parts)
 
     found = by_text.select("tid", F.explode(chain(F.col("m"))).alias("c")).select("tid", "c.*")
     out = scratch.write(found, "chains")

@@ -129,3 +129,13 @@ def test_short_chains_settled_at_once():
     assert {-2, -1, 0, 1} <= set(number.tolist())
     for n, row, (one_by_one, wide) in zip(number.tolist(), rows.tolist(), want):
         assert n == -2 or one_by_one == (wide if n == -1 else [tuple(row)][:n])
+
+
+def test_rolled_hashes_word_by_word():
+    hashes = np.random.default_rng(7).integers(0, 1 << 63, 80).astype(np.uint64)
+    for k in (1, passages.KMER, passages.RUN, 80):
+        want = hashes[: 81 - k].copy()
+        for i in range(1, k):
+            want = want * passages.ODD + hashes[i : i + 81 - k]
+        want *= passages.MIX
+        assert (passages.rolled(hashes, k) == want ^ (want >> np.uint64(31))).all()

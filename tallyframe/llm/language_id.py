@@ -340,10 +340,11 @@ def identify(docs: DataFrame, folds: int = 3, id_col: str = "doc_id", text_col:
     rows, langs = learned(docs.filter(remainder != 1), text_col, lang_col)
     rows = written(rows, "model")
     score = scored_by_join if langs and rows.count() > MOST else scored_by_worker
+    text = spare_name(docs.select(id_col), "text_")
     texts = docs.select(
-        F.col(id_col), F.coalesce(remainder == 1, F.lit(True)).alias("held_out"), F.col(lang_col).cast("string").alias("true_lang"), F.col(text_col).alias("text_"),
+        F.col(id_col), F.coalesce(remainder == 1, F.lit(True)).alias("held_out"), F.col(lang_col).cast("string").alias("true_lang"), F.col(text_col).alias(text),
     )
-    scored = written(score(texts, rows, langs, "text_"), "languages")
+    scored = written(score(texts, rows, langs, text), "languages")
     limits = (
         scored.filter(~F.col("held_out") & (F.col("true_lang") == F.col("lang_pred")))
         .groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPT, 10_000).alias("limit"))

@@ -248,8 +248,8 @@ EXPORT_LINE = ("description", "quantity", "unit_price", "total", "tax_amount")
 def export_long(invoices: DataFrame, lines: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Field rows (name, value, confidence, page and box of the evidence, method, reviewed) of headers and lines.
 
-    Lines are exploded where they are and unioned; nothing is gathered per invoice. Line
-    numbers come from the line table. ``carry`` names invoice columns that each row repeats.
+    Lines meet their header whole and are exploded after that, so a shuffle holds a line once and
+    not once a field; nothing is gathered per invoice. Line numbers come from the line table. ``carry`` names invoice columns that each row repeats.
     Headers and lines may hold ``evidence`` (``EVIDENCE``); a field without any has NULL, and a
     box is written as a JSON array. Line confidences are 1 unless ``field_confidence`` has them.
     """
@@ -274,16 +274,15 @@ def export_long(invoices: DataFrame, lines: DataFrame, carry: tuple[str, ...] =
     head = invoices.select(*keep, F.inline(F.array(*[cell(f, f in EXPORT_OPTIONAL) for f in present])))
     head = head.where(~F.col("optional") | F.col("field_value").isNotNull())
     prefix = lambda f: F.concat(F.lit("line_item_"), F.col("line_no").cast("string"), F.lit(f"_{f}"))
-    cells = [
-        F.struct(
-            prefix(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), sure(lines, f, 1.0).alias("confidence"),
-            *seen(lines, f), none.cast("string").alias("m"),
-        )
-        for f in EXPORT_LINE if f in lines.columns
-    ]
-    cells.append(F.struct(
-        prefix("category").alias("field_name"), F.col("category").alias("field_value"), F.col("category_confidence").alias("confidence"),
-        *seen(lines, "category"), F.lit("ml_classification").alias("m"),
-    ))
-    body = lines.select("invoice_id", F.inline(F.array(*cells))).where(F.col("field_value").isNotNull()).join(invoices.select(*keep), "invoice_id")
+    written = [f for f in EXPORT_LINE if f in lines.columns]
+    # the evidence goes into the shuffle as it is written, not as a map
+    read = [c.alias(f"_{n}_{f}") for f in (*written, "category") for n, c in zip(("page", "box"), seen(lines, f))]
+    rated = ["field_confidence"] if "field_confidence" in lines.columns else []
+    whole = lines.select("invoice_id", "line_no", *written, "category", "category_confidence", *rated, *read).join(invoices.select(*keep), "invoice_id")
+    cell = lambda f, confidence, m: F.struct(
+        prefix(f).alias("field_name"), F.col(f).cast("string").alias("field_value"), confidence.alias("confidence"),
+        F.col(f"_page_{f}").alias("evidence_page"), F.col(f"_box_{f}").alias("evidence_bbox"), m.alias("m"),
+    )
+    cells = [cell(f, sure(lines, f, 1.0), none.cast("string")) for f in written] + [cell("category", F.col("category_confidence"), F.lit("ml_classification"))]
+    body = whole.select("invoice_id", "method", "reviewed", *[f"_{c}" for c in carry], F.inline(F.array(*cells))).where(F.col("field_value").isNotNull())
     return head.select(*names).unionByName(body.withColumn("method", F.coalesce("m", "method")).select(*names))

@@ -61,6 +61,27 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_csv_parts(df: DataFrame, path: str, key: str, parts: int = 8) -> None:
+    """Write a long export as gzip CSV files, one job for each part of the hashes of ``key``.
+
+    Every row is in one part, rows of equal key in the same. The condition on the key reaches the
+    sources through joins and unions, so the shuffle files of a part hold that part only; they
+    are removed when its job has ended.
+    """
+    spark, held = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(held, None)
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    if before is not None:  # a setting of Spark 4.1
+        spark.conf.set(held, "true")
+    try:
+        for i in range(parts):
+            rows = df.where(part == i)
+            rows.write.mode("append" if i else "overwrite").option("header", True).option("compression", "gzip").csv(path)
+    finally:
+        if before is not None:
+            spark.conf.set(held, before)
+
+
 def report_sections(summary: DataFrame) -> DataFrame:
     """Report rows as (Section, Field, Value)."""
     rows = [

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.hashing import content_hash16
-from tallyframe.session import exists, staged
+from tallyframe.session import exists, shuffles_removed, staged
 
 
 def append_transactions(df: DataFrame, path: str, currency: str = "EUR") -> None:
@@ -68,18 +68,11 @@ def write_csv_parts(df: DataFrame, path: str, key: str, parts: int = 8) -> None:
     sources through joins and unions, so the shuffle files of a part hold that part only; they
     are removed when its job has ended.
     """
-    spark, held = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(held, None)
     part = F.pmod(F.xxhash64(key), F.lit(parts))
-    if before is not None:  # a setting of Spark 4.1
-        spark.conf.set(held, "true")
-    try:
+    with shuffles_removed(df.sparkSession):
         for i in range(parts):
             rows = df.where(part == i)
             rows.write.mode("append" if i else "overwrite").option("header", True).option("compression", "gzip").csv(path)
-    finally:
-        if before is not None:
-            spark.conf.set(held, before)
 
 
 def report_sections(summary: DataFrame) -> DataFrame:
